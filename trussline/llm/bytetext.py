@@ -101,6 +101,10 @@ class WordIndex:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         self._sums: dict[int, np.ndarray] = {}
 
+    def word_edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte of each word."""
+        return self._coded[self._edges[:-1]] & 255, self._coded[self._edges[1:] - 1] & 255
+
     def windows(self, k: int) -> np.ndarray:
         """Starts of all runs of k words inside one text."""
         if self.n < k:

@@ -1,6 +1,7 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are hashed byte trigrams of the text. A bounded sample of labelled rows (`max_labelled`, a parameter) gives the terms' idf weights and, by a truncated
+Terms are of two families of equal weight: hashed byte trigrams, and hashed pairs of word shapes (kinds of a word's first and last byte,
+and whether it repeats the word before), which show how a text is laid out. A bounded sample of labelled rows (`max_labelled`, a parameter) gives the terms' idf weights and, by a truncated
 SVD of the weighted term matrix, a latent space of `rank` dimensions. The sample's unit vectors and labels are broadcast:
 rank * max_labelled floats, whatever the corpus. Every document is folded into that space, its cosine products with all labelled
 vectors are computed block by block (no index, no pruning), and its `neighbours` nearest vote with their similarity as weight.
@@ -16,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.llm.bytetext import utf8
+from trussline.llm.bytetext import WordIndex, slices, utf8
 
-TERMS = 4096
+#: Bins of hashed trigrams, and all bins.
+LEXICAL, TERMS = 2048, 2560
 
 
 class NeighbourModel(NamedTuple):
@@ -30,13 +32,43 @@ class NeighbourModel(NamedTuple):
     prior: float
 
 
-def term_counts(text: bytes) -> np.ndarray:
-    """Counts of hashed trigrams; a text of fewer than three bytes has none."""
+def _kinds() -> np.ndarray:
+    """0 lower, 1 upper, 2 digit, 3 other ASCII, 4 the rest."""
+    kinds = np.full(256, 3, np.int64)
+    for n, group in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789")):
+        kinds[list(group)] = n
+    kinds[128:] = 4
+    return kinds
+
+
+_KIND = _kinds()
+
+
+def _trigrams(text: bytes) -> np.ndarray:
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     if len(b) < 3:
-        return np.zeros(TERMS, np.float32)
-    h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
-    return np.bincount(h, minlength=TERMS).astype(np.float32)
+        return np.zeros(LEXICAL, np.float32)
+    h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)
+    return np.bincount(h, minlength=LEXICAL).astype(np.float32)
+
+
+def term_counts(texts: list[bytes]) -> np.ndarray:
+    """Counts of hashed trigrams, then of hashed shape pairs; one row a text, all zeros for an empty one."""
+    out = np.zeros((len(texts), TERMS), np.float32)
+    for a, b in slices(texts):
+        index = WordIndex(texts[a:b])
+        if index.n:
+            word = index.hashes(np.arange(index.n), 1)
+            first, last = index.word_edges()
+            same = np.concatenate(([False], (word[1:] == word[:-1]) & (index.doc[1:] == index.doc[:-1])))
+            shape = (_KIND[first] * 5 + _KIND[last]) * 2 + same
+            pair = np.concatenate(([50], np.where(index.doc[1:] == index.doc[:-1], shape[:-1], 50))) * 50 + shape
+            bins = (pair.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(23)).astype(np.int64)
+            counts = np.bincount(index.doc * (TERMS - LEXICAL) + bins, minlength=(b - a) * (TERMS - LEXICAL))
+            out[a:b, LEXICAL:] = counts.reshape(b - a, -1)
+        for i in range(a, b):
+            out[i, :LEXICAL] = _trigrams(texts[i])
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -45,10 +77,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    return _unit(np.log1p(counts) * weight)
+    """Log counts times idf, each family of unit length; zero rows stay zero."""
+    x = np.log1p(counts) * weight
+    return np.concatenate((_unit(x[:, :LEXICAL]), _unit(x[:, LEXICAL:])), 1)
 
 
-def fit(labelled: DataFrame, max_labelled: int = 3000, rank: int = 48, neighbours: int = 15) -> NeighbourModel:
+def fit(labelled: DataFrame, max_labelled: int = 3000, rank: int = 32, neighbours: int = 15) -> NeighbourModel:
     """Fits on at most `max_labelled` rows of labelled (text, label 0/1), chosen by a hash of the text.
 
     Null texts count as empty, rows with a null label are left out. Without any labelled row the model knows only the prior 0.5.
@@ -69,7 +103,7 @@ def fit(labelled: DataFrame, max_labelled: int = 3000, rank: int = 48, neighbour
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        terms = [np.log1p(term_counts(t)).astype(np.float16).tobytes() for t in utf8(batch["text"])]
+        terms = [row.astype(np.float16).tobytes() for row in np.log1p(term_counts(utf8(batch["text"])))]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch["label"]], ["terms", "label"])
 
 
@@ -80,7 +114,7 @@ def vote(model: NeighbourModel, texts: list[bytes], block: int = 256) -> np.ndar
     if not k:
         return out
     for a in range(0, len(texts), block):
-        counts = np.stack([term_counts(t) for t in texts[a : a + block]])
+        counts = term_counts(texts[a : a + block])
         cosine = _unit(_weighted(counts, model.weight) @ model.basis) @ model.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 4
