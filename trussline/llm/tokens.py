@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from trussline.llm.common import text_bytes
 
 MASK = (1 << 64) - 1
-#: Text bytes that a shard is made for; documents are never split.
-SHARD_BYTES = 8 << 20
-#: Words whose ids a worker remembers; it starts anew beyond that.
-MEMO_WORDS = 400_000
+#: Text bytes that a shard is made for, least and most; documents are never split.
+SHARD_BYTES = (8 << 20, 64 << 20)
+#: Shards whose 16-byte bases are broadcast; more (some 100 TB of text) are joined without.
+MAX_BROADCAST_SHARDS = 2_000_000
+#: Words whose ids a worker remembers, about 160 bytes each; beyond that it forgets the later half.
+MEMO_WORDS = 500_000
 
 
 def _scramble(x: np.ndarray, seed: int) -> np.ndarray:
@@ -94,7 +97,8 @@ class Encoder:
     """Ids of whole texts as raw bytes. Space-separated pieces are encoded once and remembered.
 
     A byte-level tokenizer never joins a non-space character with a following space and non-space, so a text may be
-    encoded piece by piece where pieces neither begin nor end with white space; other texts are encoded whole.
+    encoded piece by piece where pieces neither begin nor end with white space; other texts are encoded whole. New pieces are encoded
+    many at a time, as one text: a piece begins where a token begins with the space before it.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -105,32 +109,41 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [p for p in pieces - memo.keys() if p and not p[0].isspace() and not p[-1].isspace()]
-        memo.update(zip(new, self._ids([before + p for p in new]), strict=True))
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.rest) > MEMO_WORDS:  # what came first is mostly what comes often
+            self.rest = dict(islice(self.rest.items(), MEMO_WORDS // 2))
+        new = [p for p in pieces - self.rest.keys() if p and not p[0].isspace() and not p[-1].isspace()]
+        runs = [new[a : a + 4096] for a in range(0, len(new), 4096)]
+        for run, ids in zip(runs, self._ids(["".join([f" {p}" for p in run]) for run in runs]), strict=True):
+            starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            raw = ids.tobytes()
+            self.rest.update(zip(run, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+
+    def _learn_first(self, pieces: set[str]) -> None:
+        if len(self.first) > MEMO_WORDS // 8:
+            self.first.clear()
+        new = [p for p in pieces - self.first.keys() if p and not p[-1].isspace()]
+        self.first.update(zip(new, [x.tobytes() for x in self._ids(new)], strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [t.split(" ") if not any(m in t for m in self.marks) else [""] for t in texts]
         pieces: set[str] = set()
         for s in split:
             pieces.update(s[1:])
-        self._learn(self.first, {s[0] for s in split}, "")
-        self._learn(self.rest, pieces, " ")
+        self._learn_first({s[0] for s in split})
+        self._learn(pieces)
         out: list[bytes] = []
         for t, s in zip(texts, split, strict=True):
-            if any(m in t for m in self.marks):
-                out.append(self._ids([t])[0] + self.end)
-                continue
             try:
                 out.append(self.first[s[0]] + b"".join(map(self.rest.__getitem__, s[1:])) + self.end)
             except KeyError:
-                out.append(self._ids([t])[0] + self.end)
+                out.append(self._ids([t])[0].tobytes() + self.end)
         return out
 
 
@@ -140,7 +153,7 @@ _SHARD = "shard int, n_ids long, payload binary, keys binary, displace binary, p
 
 def _shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
+        encode = _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
         keys: list[int] = []
         ids: list[bytes] = []
         shard = None
@@ -172,18 +185,18 @@ def _shards(path: str, end_id: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: tuple[int, int] = SHARD_BYTES) -> None:
     """Encodes whole texts and writes them as shards under `path`, in ascending doc_id order.
 
     Input: doc_id (integer, not null), text; other columns are ignored. A null text counts as empty and holds the end id
-    alone. Rows of equal doc_id are told apart by their text and all kept: the key of the second and later ones is a hash of
-    doc_id and their rank, so that keyed look-up of doc_id finds the first. Rows without a doc_id have no key and are left out.
+    alone. Rows of equal doc_id are all kept, those of a shard in the order of
+    their texts: the key of the second and later ones of a shard is a hash of doc_id and their rank, so that keyed look-up of doc_id finds a first one. Rows without a doc_id have no key and are left out.
     Raises ValueError if two keys of a shard collide.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     size = text_bytes(docs)
-    n = max(1, size // shard_bytes)
-    sorted_docs = docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    n = max(1, size // min(shard_bytes[1], max(shard_bytes[0], size // 4096)))
+    sorted_docs = docs.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     keyed = sorted_docs.select(F.spark_partition_id().alias("shard"), F.col("doc_id").alias("key"), "text")
     keyed.mapInArrow(_distinct_keys, "shard int, key long, text string").mapInArrow(_shards(tokenizer, end_id), _SHARD).write.option("compression", "zstd").parquet(path)
 
@@ -271,7 +284,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     [x.split()[0] for x in _READ.split(", ")],
                 )
 
-    return shards.join(F.broadcast(with_bases(shards)), "shard").mapInArrow(run, _READ)
+    bases = with_bases(shards)
+    few = shards.select("shard").count() <= MAX_BROADCAST_SHARDS
+    return shards.join(F.broadcast(bases) if few else bases, "shard").mapInArrow(run, _READ)
 
 
 def look_up(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
