@@ -27,11 +27,11 @@ from trussline.llm.common import text_bytes
 
 MASK = (1 << 64) - 1
 #: Text bytes that a shard is made for, least and most; documents are never split.
-SHARD_BYTES = (8 << 20, 64 << 20)
+SHARD_BYTES = (4 << 20, 64 << 20)
 #: Shards whose 16-byte bases are broadcast; more (some 100 TB of text) are joined without.
 MAX_BROADCAST_SHARDS = 2_000_000
 #: Words whose ids a worker remembers, about 160 bytes each; beyond that it forgets the later half.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 
 def _scramble(x: np.ndarray, seed: int) -> np.ndarray:
@@ -169,11 +169,11 @@ def _shards(path: str, end_id: int):
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _SHARD.split(", ")])
 
-        for batch in batches:
-            numbers, rows = batch["shard"].to_pylist(), batch["key"].to_pylist()
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for a in range(0, len(texts), 256):
-                for number, key, x in zip(numbers[a : a + 256], rows[a : a + 256], encode(texts[a : a + 256]), strict=True):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                texts = [t or "" for t in batch["text"].to_pylist()]
+                for number, key, x in zip(batch["shard"].to_pylist(), batch["key"].to_pylist(), encode(texts), strict=True):
                     if shard is not None and number != shard:
                         yield flush()
                         keys, ids = [], []
