@@ -14,6 +14,7 @@ A look-up of one key reads one displacement, one fingerprint and one slice, what
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -102,6 +103,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
+        # a task has one core: threads of the library's own would take others' and hold memory each
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,7 +122,7 @@ class Encoder:
         if len(self.rest) > MEMO_WORDS:  # what came first is mostly what comes often
             self.rest = dict(islice(self.rest.items(), MEMO_WORDS // 2))
         new = [p for p in pieces - self.rest.keys() if p and not p[0].isspace() and not p[-1].isspace()]
-        runs = [new[a : a + 4096] for a in range(0, len(new), 4096)]
+        runs = [new[a : a + 512] for a in range(0, len(new), 512)]
         for run, ids in zip(runs, self._ids(["".join([f" {p}" for p in run]) for run in runs]), strict=True):
             starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
             raw = ids.tobytes()
@@ -170,8 +173,8 @@ def _shards(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _SHARD.split(", ")])
 
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
+            for a in range(0, whole.num_rows, 128):
+                batch = whole.slice(a, 128)
                 texts = [t or "" for t in batch["text"].to_pylist()]
                 for number, key, x in zip(batch["shard"].to_pylist(), batch["key"].to_pylist(), encode(texts), strict=True):
                     if shard is not None and number != shard:
