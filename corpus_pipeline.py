@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trussline.llm import decontam, mixing, nearcopies, quality, tokens
-from trussline.llm.common import new_path, table
+from trussline.llm.common import aside, new_path, table
 from trussline.llm.queries import THRESHOLD, default_tokenizer
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbour vote doesn't reject; it learns from the labels of those that are here."""
     model = quality.fit(quality.labelled_texts(docs, table(spark, sf_dir, "labels"), "quality"))
-    return quality.score(docs, model).where(F.col("score") >= THRESHOLD).select(docs.columns)
+    renamed, own = aside(docs, ["score"])
+    return quality.score(renamed, model).where(F.col("score") >= THRESHOLD).select(own)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; a hit below that share stays as it is."""
-    return decontam.match_benchmark(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    renamed, own = aside(docs, decontam.ADDED)
+    return decontam.match_benchmark(renamed, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(own)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,9 @@ def raw_word_count(column: str = "text"):
     return F.when(squeezed == "", F.lit(0)).otherwise(
         F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1
     ).cast("long")
+
+
+def aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, list]:
+    """docs with columns of the names in `added` renamed out of an operator's way, and the columns that give docs' own back."""
+    held = {c: f"__own_{c}" for c in docs.columns if c in added}
+    return docs.withColumnsRenamed(held), [F.col(f"`{held.get(c, c)}`").alias(c) for c in docs.columns]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trussline.llm.bytetext import folded_words, utf8
+from trussline.llm.common import aside
 
 #: Words of test items in one automaton: at most two states a word, some 100 MB in a worker.
 MAX_AUTOMATON_WORDS = 200_000
@@ -132,6 +133,7 @@ def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[SuffixAut
         yield SuffixAutomaton(block, window)
 
 
+ADDED = ["n_words", "n_hit", "hit_spans", "items", "items_sha256", "contaminated"]
 _HITS = "__hits array<struct<start:long,end:long>>, __items array<string>"
 _HIT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -182,8 +184,7 @@ def match_benchmark(
     A null or empty text has no words and is clean. A null item text counts as no item, a null item_id as ''. Items of the same
     words are all reported. Without items every document is clean. Columns that are already named so are replaced.
     """
-    added = ["n_words", "n_hit", "hit_spans", "items", "items_sha256", "contaminated"]
-    docs = docs.drop(*added, "__hits", "__items")
+    docs = docs.drop(*ADDED, "__hits", "__items")
     spark = docs.sparkSession
     per_mille = round(min_share * 1000)
 
@@ -219,8 +220,9 @@ def cut_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share:
     Columns of docs stay; a text that is cut becomes its remaining white-space separated pieces, see `match_benchmark`
     for what counts. Null and empty texts stay as they are.
     """
-    columns = docs.columns
-    seen = match_benchmark(docs, benchmark, window, min_share, max_words=max_words).where(~F.col("contaminated"))
+    renamed, own = aside(docs, ADDED)
+    seen = match_benchmark(renamed, benchmark, window, min_share, max_words=max_words).where(~F.col("contaminated"))
+    columns = renamed.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -238,4 +240,4 @@ def cut_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share:
                     texts[i] = " ".join(p for p in [*pieces, texts[i][begin:].strip()] if p)
             yield pa.RecordBatch.from_pydict({n: pa.array(texts, pa.string()) if n == "text" else batch[n] for n in columns})
 
-    return seen.mapInArrow(cut, docs.schema)
+    return seen.mapInArrow(cut, renamed.schema).select(own)

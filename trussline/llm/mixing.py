@@ -16,13 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.llm.common import cut, raw_word_count
+from trussline.llm.common import aside, cut, raw_word_count
 
 WEIGHTS = (5, 2, 1)
 #: Knots (time, relative weight) from time 0 to 1, dealt to sources in turn: wanted early, evenly, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 SHARE, CAP = 1.5, 2.0
 ROWS_PER_BIN = 5000
+ADDED = ["size", "source_size", "target", "taken", "starts", "position"]
 
 
 def when_demanded(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
@@ -75,9 +76,8 @@ def mix(
     of them, null if it isn't taken. The order within a source follows a hash of seed, doc_id and text, so reruns agree; equal rows are told apart
     by nothing and take their places among themselves. Empty texts are never taken. Columns of these names are replaced.
     """
-    names = ["size", "source_size", "target", "taken", "starts", "position"]
-    work = docs.drop(*names)
-    columns = work.columns
+    renamed, own = aside(docs.drop(*ADDED), ["key", "order", "bin", "offset", "rank", "at"])
+    work = renamed
     id_text = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
     n_bins = max(16, docs.select("doc_id").count() // ROWS_PER_BIN)
     work = work.withColumns(
@@ -108,7 +108,7 @@ def mix(
         return out
 
     starts = F.when(n_starts > 0, F.transform(F.sequence(F.lit(0).cast("long"), n_starts - 1), time)).otherwise(F.array().cast("array<double>"))
-    out = placed.select(*(F.col(f"`{c}`") for c in columns), "size", "source_size", "target", taken.cast("long").alias("taken"), starts.alias("starts"))
+    out = placed.select(*own, "size", "source_size", "target", taken.cast("long").alias("taken"), starts.alias("starts"))
     return out.withColumn("position", F.get("starts", F.lit(0)))
 
 
@@ -117,6 +117,6 @@ def curriculum(docs: DataFrame, **settings) -> DataFrame:
 
     A document is repeated as often as the mix takes it and never cut; one that it doesn't take is left out.
     """
-    drawn = mix(docs, **settings)
-    rows = drawn.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode("starts").alias("__at"))
+    renamed, own = aside(docs, ADDED)
+    rows = mix(renamed, **settings).select(*own, F.explode("starts").alias("__at"))
     return rows.repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").drop("__at")
