@@ -32,7 +32,8 @@ SHARD_BYTES = (4 << 20, 64 << 20)
 #: Shards whose 16-byte bases are broadcast; more (some 100 TB of text) are joined without.
 MAX_BROADCAST_SHARDS = 2_000_000
 #: Words whose ids a worker remembers, about 160 bytes each; beyond that it forgets the later half.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
+_MARKS = ".,!?;:#$%&*|"
 
 
 def _scramble(x: np.ndarray, seed: int) -> np.ndarray:
@@ -111,6 +112,7 @@ class Encoder:
         self.end = np.array([end_id], np.uint32).tobytes()
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -119,14 +121,30 @@ class Encoder:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
+        """A letter and a following mark are never joined either, so a word before marks is learned without them."""
         if len(self.rest) > MEMO_WORDS:  # what came first is mostly what comes often
             self.rest = dict(islice(self.rest.items(), MEMO_WORDS // 2))
         new = [p for p in pieces - self.rest.keys() if p and not p[0].isspace() and not p[-1].isspace()]
-        runs = [new[a : a + 512] for a in range(0, len(new), 512)]
+        plain, marked = [], []
+        for p in new:
+            core = p.rstrip(_MARKS)
+            if len(core) == len(p) or not core or not core[-1].isalpha():
+                plain.append(p)
+            else:
+                marked.append((p, core))
+        plain += {core for _, core in marked}.difference(self.rest, plain)
+        runs = [plain[a : a + 512] for a in range(0, len(plain), 512)]
         for run, ids in zip(runs, self._ids(["".join([f" {p}" for p in run]) for run in runs]), strict=True):
             starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
             raw = ids.tobytes()
             self.rest.update(zip(run, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+        for p, core in marked:
+            tail = p[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._ids([tail])[0].tobytes()
+            self.rest[p] = self.rest[core] + self.tails[tail]
+        if len(self.tails) > MEMO_WORDS // 8:
+            self.tails.clear()
 
     def _learn_first(self, pieces: set[str]) -> None:
         if len(self.first) > MEMO_WORDS // 8:
