@@ -41,11 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_word_count(column: str = "text"):
-    """Number of raw words, in JVM expressions: white-space runs fold to one space, then separators count."""
-    squeezed = F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(
-        F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1
-    ).cast("long")
+    """Number of raw words, in JVM expressions: words are one more than the spaces between them.
+
+    Other white space is replaced by spaces; only a text with two in a row needs a regular expression to fold them.
+    """
+    text = F.coalesce(F.col(column), F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    text = F.trim(F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text))
+    return F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, list]:
