@@ -32,9 +32,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs)
 
 
+#: Words that the token stage remembers: its workers also serve the other stages, so fewer than op9 alone.
+MEMO_WORDS = 150_000
+
+
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-shards")
-    tokens.write_shards(docs, path, default_tokenizer())
+    tokens.write_shards(docs, path, default_tokenizer(), memo_words=MEMO_WORDS)
     return tokens.read_documents(spark, path)
 
 

@@ -103,12 +103,13 @@ class Encoder:
     many at a time, as one text: a piece begins where a token begins with the space before it.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, memo_words: int = MEMO_WORDS):
         # a task has one core: threads of the library's own would take others' and hold memory each
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.memo_words = memo_words
         self.end = np.array([end_id], np.uint32).tobytes()
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
@@ -122,8 +123,8 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """A letter and a following mark are never joined either, so a word before marks is learned without them."""
-        if len(self.rest) > MEMO_WORDS:  # what came first is mostly what comes often
-            self.rest = dict(islice(self.rest.items(), MEMO_WORDS // 2))
+        if len(self.rest) > self.memo_words:  # what came first is mostly what comes often
+            self.rest = dict(islice(self.rest.items(), self.memo_words // 2))
         new = [p for p in pieces - self.rest.keys() if p and not p[0].isspace() and not p[-1].isspace()]
         plain, marked = [], []
         for p in new:
@@ -143,11 +144,11 @@ class Encoder:
             if tail not in self.tails:
                 self.tails[tail] = self._ids([tail])[0].tobytes()
             self.rest[p] = self.rest[core] + self.tails[tail]
-        if len(self.tails) > MEMO_WORDS // 8:
+        if len(self.tails) > self.memo_words // 8:
             self.tails.clear()
 
     def _learn_first(self, pieces: set[str]) -> None:
-        if len(self.first) > MEMO_WORDS // 8:
+        if len(self.first) > self.memo_words // 8:
             self.first.clear()
         new = [p for p in pieces - self.first.keys() if p and not p[-1].isspace()]
         self.first.update(zip(new, [x.tobytes() for x in self._ids(new)], strict=True))
@@ -168,13 +169,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 _SHARD = "shard int, n_ids long, payload binary, keys binary, displace binary, prints binary, begins binary, counts binary"
 
 
-def _shards(path: str, end_id: int):
+def _shards(path: str, end_id: int, memo_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
+        how = (path, end_id, memo_words)
+        encode = _ENCODERS.get(how) or _ENCODERS.setdefault(how, Encoder(*how))
         keys: list[int] = []
         ids: list[bytes] = []
         shard = None
@@ -206,20 +208,21 @@ def _shards(path: str, end_id: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: tuple[int, int] = SHARD_BYTES) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: tuple[int, int] = SHARD_BYTES, memo_words: int = MEMO_WORDS) -> None:
     """Encodes whole texts and writes them as shards under `path`, in ascending doc_id order.
 
     Input: doc_id (integer, not null), text; other columns are ignored. A null text counts as empty and holds the end id
     alone. Rows of equal doc_id are all kept, those of a shard in the order of
     their texts: the key of the second and later ones of a shard is a hash of doc_id and their rank, so that keyed look-up of doc_id finds a first one. Rows without a doc_id have no key and are left out.
-    Raises ValueError if two keys of a shard collide.
+    Raises ValueError if two keys of a shard collide. A worker keeps its memory of memo_words words from task to task: where other work
+    shares the workers, fewer words leave it more memory and cost CPU time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     size = text_bytes(docs)
     n = max(1, size // min(shard_bytes[1], max(shard_bytes[0], size // 4096)))
     sorted_docs = docs.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     keyed = sorted_docs.select(F.spark_partition_id().alias("shard"), F.col("doc_id").alias("key"), "text")
-    keyed.mapInArrow(_distinct_keys, "shard int, key long, text string").mapInArrow(_shards(tokenizer, end_id), _SHARD).write.option("compression", "zstd").parquet(path)
+    keyed.mapInArrow(_distinct_keys, "shard int, key long, text string").mapInArrow(_shards(tokenizer, end_id, memo_words), _SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def _distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
