@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trussline.jobs import joblog, registry, takeoff
-from trussline.operators import compare, mesh, spatial
+from trussline.operators import compare, health, mesh, patches, routes, spatial
 
 FOLDER = "/root/testdata/sf0.001"
 NODES = [(1, 1, 2, 3), (2, 1, 1, 1), (3, 2, 1, 8), (4, 1, 2, 3), (5, 1, 3, 2), (6, 1, 1, 3), (7, 4, 5, 1), (8, 2, 4, 3), (9, 1, 1, 4), (10, 5, 2, 3)]
@@ -93,3 +93,46 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(order)
     rows = sorted(tuple(shown(r[c]) for c in columns) for r in got.collect())
     assert rows == sorted(tuple(shown(r[order.index(c)]) for c in columns) for r in want.fetchall())
+
+
+def test_two_plates_meet_mid_span(spark):
+    # three level plates and two upright ones that stand on the first, inside it
+    flat = [(i, 2, 0.0, 0.0, z, 4.0, 4.0, z) for i, z in ((1, 0.0), (2, 5.0), (3, 9.0))]
+    rows = [*flat, (4, 0, 1.0, 1.0, 0.0, 1.0, 2.0, 1.0), (5, 0, 0.0, 0.0, 0.0, 0.0, 4.0, 1.0)]
+    plates = spark.createDataFrame(rows, "plate_id long, axis int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    met = {(r.a, r.b): r.contact for r in routes.plate_contacts(plates).collect()}
+    assert met[1, 4] == "mid-span" and met[1, 5] == "edge" and met[5, 1] == "edge" and (2, 4) not in met
+
+
+def test_a_run_that_doubles_back(spark):
+    rows = [("r", 1, 0, 0, 0, 4, 0, 0), ("r", 2, 4, 0, 0, 4, 1, 0), ("r", 3, 4, 1, 0, 0, 1, 0), ("r", 4, 0, 1, 0, 0, 1, 0)]
+    kinds = "system string, seq long, x double, y double, z double, x2 double, y2 double, z2 double"
+    segments = spark.createDataFrame([(*r[:2], *map(float, r[2:])) for r in rows], kinds)
+    assert {(r.i, r.j, r.gap) for r in routes.self_collisions(segments, 0.6).collect()} == {(1, 3, 1.0), (1, 4, 1.0)}
+    assert routes.self_collisions(segments, 0.5).count() == 0
+    faces = spark.createDataFrame([(7, 1.0, 0.0, 0.0, 2.0, -1.0, -1.0, 2.0, 0.5, 1.0)], "face_id long, nx double, ny double, nz double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    assert [(r.seq, r.hx) for r in routes.face_crossings(segments, faces).collect()] == [(1, 2.0)]
+
+
+def test_health_of_a_square(spark):
+    points = [("a", i, float(x), float(y), 0.0) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])]
+    vertices = spark.createDataFrame([*points, ("b", 0, float("nan"), 0.0, 0.0), ("b", 1, 0.0, 0.0, 0.0)], "part string, vertex_id long, x double, y double, z double")
+    good, flat = [("a", 1, 0, 1, 2), ("a", 2, 0, 2, 3)], [("a", 3, 0, 1, 1), ("b", 1, 0, 1, 1)]
+    kinds = "part string, tri_id long, v0 long, v1 long, v2 long"
+    row = health.verdict(health.mesh_health(vertices, spark.createDataFrame(good, kinds))).first()
+    assert (row.area, row.degenerate_tris, row.nonmanifold_edges, row.boundary_edges, row.ok, row.warnings) == (1.0, 0, 0, 4, True, "")
+    rows = {r.part: r for r in health.verdict(health.mesh_health(vertices, spark.createDataFrame(good + flat, kinds))).collect()}
+    assert rows["a"].degenerate_tris == 1 and rows["a"].collapsed_tris == 1 and rows["a"].problems == "degenerate" and "non-finite" in rows["b"].problems
+
+
+def test_two_cells_share_a_wall(spark):
+    kinds = "cell_id long, priority long, cantilever boolean, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
+    cells = spark.createDataFrame([(1, 1, False, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), (2, 5, False, 1.0, 0.0, 0.0, 2.0, 1.0, 1.0)], kinds)
+    faces = patches.shared_faces(cells).collect()
+    assert sum(not f.internal for f in faces) == 10 and [(f.cell_id, f.side) for f in faces if f.internal and f.kept] == [(2, "x0")]
+
+
+def test_chains_break_at_bends_and_branches(spark):
+    rows = [(1, "s", 0, 0, 1, 0), (2, "s", 2, 0, 1, 0), (3, "s", 2, 0, 2, 1), (4, "t", 5, 5, 6, 5), (5, "t", 6, 5, 7, 5), (6, "t", 6, 5, 6, 6)]
+    beams = spark.createDataFrame([(b, s, float(x), float(y), 0.0, float(p), float(q), 0.0) for b, s, x, y, p, q in rows], "beam_id long, section string, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    assert {r.beam_id: r.chain for r in patches.beam_chains(beams).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}

@@ -87,3 +87,58 @@ def owners(derived: DataFrame, sources: DataFrame) -> DataFrame:
     prefixes = derived.where(F.length("derived_key") > 1).select("derived_key", F.explode(F.transform(ends, lambda i: F.substring(F.col("derived_key"), F.lit(1), i))).alias("source_key"))
     found = prefixes.join(sources.select("source_key").distinct(), "source_key").groupBy("derived_key").agg(F.max_by("source_key", F.length("source_key")).alias("source_key"))
     return derived.select("derived_key").join(found, "derived_key", "left")
+
+
+#: Fields of the client's metrics that are timed.
+PHASES = ("ttfb_ms", "download_ms", "decompress_ms", "parse_ms", "prepare_ms", "first_render_ms")
+CLIENT = ", ".join(f"{p} double" for p in PHASES) + ", profile_frames array<struct<fn: string, self_ms: double, total_ms: double>>"
+
+
+def view_load_metrics(log: DataFrame) -> DataFrame:
+    """By file of view jobs: counts, exact percentiles of the load's phases, and the class (io, network, cpu, gpu) with the largest median; earlier ones win ties.
+
+    Phases are read from the JSON in client_metrics; one that is missing doesn't count in its percentile. Without any time the class is unknown.
+    """
+    loads = log.where("action = 'view' and client_metrics is not null and file_key is not null").withColumn("m", F.from_json("client_metrics", CLIENT))
+    failed = F.col("status").isin("error", "failed")
+    out = loads.groupBy("file_key").agg(
+        F.count("*").alias("n"), F.count_if(failed).alias("n_failed"), F.expr("percentile(duration_ms, 0.5)").alias("total_p50"), F.expr("percentile(duration_ms, 0.95)").alias("total_p95"),
+        *(F.expr(f"percentile(m.{p}, 0.5)").alias(p) for p in PHASES),
+    )
+    zero = F.lit(0.0)
+    known = {p: F.coalesce(p, zero) for p in PHASES}
+    classes = {"io": known["ttfb_ms"], "network": known["download_ms"], "cpu": known["decompress_ms"] + known["parse_ms"] + known["prepare_ms"], "gpu": known["first_render_ms"]}
+    most = F.greatest(*classes.values())
+    dominant = F.when(most <= 0, "unknown")
+    for name, took in classes.items():
+        dominant = dominant.when(took == most, name)
+    return out.withColumn("dominant", dominant)
+
+
+def frame_hotspots(log: DataFrame, action: str = "view", limit: int = 100) -> DataFrame:
+    """The functions with most self time over all profiled frames of view or render jobs: fn, samples, self_ms, mean_ms, total_max, is_wasm."""
+    frames = log.where(F.col("action") == action).select(F.explode(F.from_json("client_metrics", CLIENT)["profile_frames"]).alias("f")).select("f.*").where("fn <> ''")
+    sums = frames.groupBy("fn").agg(F.count("*").alias("samples"), F.sum("self_ms").alias("self_ms"), F.avg("self_ms").alias("mean_ms"), F.max("total_ms").alias("total_max"))
+    return sums.orderBy(F.desc_nulls_last("self_ms"), "fn").limit(limit).withColumn("is_wasm", F.lower("fn").contains("wasm"))
+
+
+def top_functions(profiles: DataFrame, keep: int) -> DataFrame:
+    """Each job's `keep` functions of most cumulative time, with rank from 0."""
+    rank = F.row_number().over(Window.partitionBy("audit_id").orderBy(F.desc("cumtime"), "func")) - 1
+    return profiles.withColumn("rank", rank).where(F.col("rank") < keep)
+
+
+def profile_hotspots(profiles: DataFrame, log: DataFrame, source_ext: str | None = None, limit: int = 25) -> DataFrame:
+    """The functions with most cumulative time over the conversions of one source extension: func, cumtime, ncalls, profiles."""
+    jobs = log.where("action = 'convert'")
+    if source_ext:
+        jobs = jobs.where(extension(F.col("file_key")) == source_ext.lower().lstrip("."))
+    met = profiles.join(jobs.select(F.col("id").alias("audit_id")), "audit_id")
+    sums = met.groupBy("func").agg(F.sum("cumtime").alias("cumtime"), F.sum("ncalls").alias("ncalls"), F.count_distinct("audit_id").alias("profiles"))
+    return sums.orderBy(F.desc("cumtime"), "func").limit(limit)
+
+
+def with_newest_run(parity: DataFrame, log: DataFrame) -> DataFrame:
+    """parity rows (job_id, ...) with the run_id of the job's newest log row, null where no row has one."""
+    runs = log.where("run_id is not null").groupBy("job_id").agg(F.max_by("run_id", "id").alias("run_id"))
+    return parity.join(runs, "job_id", "left")

@@ -3,37 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trussline.functions.names import extension, field_category, safe_name
 from trussline.functions.sections import area, inertia
-from trussline.jobs import joblog, takeoff
+from trussline.jobs import joblog, layout, takeoff  # noqa: F401 - layout registers its own queries
+from trussline.jobs.catalogue import QUERIES, SQL, query, rounded  # noqa: F401
 from trussline.operators import compare, mesh, results, spatial
-from trussline.sources.fixtures import Tables, with_views
+from trussline.sources.fixtures import Tables
 from trussline.streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            SQL[f.__name__] = with_views(sql)
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many decimals: sums come in any order."""
-    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
-
-
 AREA = "case kind when 'box' then h * w - (h - 2 * t) * (w - 2 * t) when 'tube' then pi() / 4 * (h * h - (h - 2 * t) * (h - 2 * t)) when 'bar' then h * w else pi() / 4 * h * h end"
 BEAMS = f"""weighed as (select b.*, {AREA} * length * 7850.0::double / 1000 as mass, x1 + case axis when 0 then length / 2 else 0 end as mx, y1 + case axis when 1 then length / 2 else 0 end as my,
     z1 + case axis when 2 then length / 2 else 0 end as mz from v_beams b join v_sections using (section))"""

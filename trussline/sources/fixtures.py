@@ -56,6 +56,39 @@ VIEWS = {
         select event_id as id, ts, case event_id % 3 when 0 then 'ifc' when 1 then 'step' else 'sat' end as source_ext, case event_id % 2 when 0 then 'glb' else 'obj' end as target,
             'failed at 2024-01-0' || cast(1 + event_id % 9 as varchar(5)) || 'T10:00:00 in /tmp/job' || cast(event_id as varchar(20)) || '/part.stp:' || cast(event_id % 500 as varchar(5)) || ' code E' || cast(event_id % 6 as varchar(5)) as message
         from events where event_type = 'error'""",
+    "v_segments": """
+        select * from (select system, seq, x, y, z, lead(x) over (partition by system order by seq) as x2, lead(y) over (partition by system order by seq) as y2, lead(z) over (partition by system order by seq) as z2
+            from (select l_orderkey as system, cast(l_linenumber as bigint) as seq, cast(min(l_partkey % 40) as double) as x, cast(min(l_suppkey % 10) as double) as y, cast(min(l_linenumber) as double) as z
+                from lineitem group by l_orderkey, l_linenumber) route) ends where x2 is not null""",
+    "v_planes": "select s_suppkey as plane_id, s_suppkey % 3 as axis, cast(s_suppkey % 8 as double) + 0.5 as level from supplier",
+    "v_faces": """
+        select face_id, case axis when 0 then 1e0 else 0e0 end as nx, case axis when 1 then 1e0 else 0e0 end as ny, case axis when 2 then 1e0 else 0e0 end as nz, x0, y0, z0,
+            x0 + case axis when 0 then 0e0 else 3e0 end as x1, y0 + case axis when 1 then 0e0 else 3e0 end as y1, z0 + case axis when 2 then 0e0 else 3e0 end as z1
+        from (select p_partkey as face_id, p_size % 3 as axis, cast(p_partkey % 20 as double) + 5e-1 as x0, cast(floor(p_partkey / 20) % 10 as double) + 5e-1 as y0, cast(p_size % 5 as double) + 5e-1 as z0 from part) corner""",
+    "v_rooms": """
+        select s_suppkey as room_id, cast(s_suppkey * 3 % 20 as double) as x0, cast(s_suppkey * 3 % 20 + 4 as double) as x1, cast(s_suppkey * 7 % 100 as double) as y0, cast(s_suppkey * 7 % 100 + 5 as double) as y1 from supplier""",
+    "v_rails": """
+        select o_orderkey as beam_id, o_orderstatus as section, cast(o_orderkey % 50 as double) as x1, cast(floor(o_orderkey / 50) as double) as y1, 0e0 as z1,
+            cast(o_orderkey % 50 + 1 as double) as x2, cast(floor(o_orderkey / 50) as double) as y2, 0e0 as z2 from orders where o_orderkey % 50 < 49""",
+    "v_tri_vertices": """
+        select part, vertex_id, cast(node % 50 as double) as x, cast(floor(node / 50) as double) as y, 0e0 as z
+        from (select o_orderpriority as part, o_orderkey * 8 + k as vertex_id, o_orderkey + case when k = 2 and o_orderkey % 101 = 0 then 1 when k = 1 then 1 when k in (2, 4) then 51 when k = 5 then 50 else 0 end as node
+            from orders cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) six where o_orderkey % 50 < 49) placed""",
+    "v_triangles": """
+        select o_orderpriority as part, o_orderkey * 2 + j as tri_id, o_orderkey * 8 + 3 * j as v0, o_orderkey * 8 + 3 * j + 1 as v1, o_orderkey * 8 + 3 * j + 2 as v2
+        from orders cross join (select 0 as j union all select 1) two where o_orderkey % 50 < 49""",
+    "v_cells": """
+        select p_partkey as cell_id, p_size as priority, p_size = 7 as cantilever, cast(p_partkey % 10 as double) as x0, cast(floor(p_partkey / 10) % 10 as double) as y0, cast(floor(p_partkey / 100) as double) as z0,
+            cast(p_partkey % 10 + 1 as double) as x1, cast(floor(p_partkey / 10) % 10 + 1 as double) as y1, cast(floor(p_partkey / 100) + 1 as double) as z1 from part""",
+    "v_client": """
+        select event_id as id, case when event_type in ('view', 'click') then 'view' else 'render' end as action, 'f' || cast(user_id % 40 as varchar(20)) || '.glb' as file_key, case when value > 80 then 'error' else 'ok' end as status,
+            value * 100 as duration_ms, '{"ttfb_ms": ' || cast(event_id % 41 as varchar(20)) || ', "parse_ms": ' || cast(event_id % 29 as varchar(20)) || case when event_id % 5 = 0 then '' else ', "download_ms": ' || cast(user_id % 37 as varchar(20)) end
+            || ', "first_render_ms": ' || cast(user_id % 60 as varchar(20)) || ', "profile_frames": [{"fn": "draw' || cast(event_id % 13 as varchar(20)) || '", "self_ms": ' || cast(event_id % 17 as varchar(20)) || ', "total_ms": 20}, {"fn": "wasm-function['
+            || cast(event_id % 7 as varchar(20)) || ']", "self_ms": ' || cast(event_id % 11 as varchar(20)) || ', "total_ms": ' || cast(event_id % 90 as varchar(20)) || '}]}' as client_metrics
+        from events""",
+    "v_profiles": """
+        select event_id as audit_id, 'fn' || cast((event_id + n * 5) % 23 as varchar(20)) as func, cast(event_id * (n + 3) % 1000 as double) / 4 as cumtime, event_id % 10 + n as ncalls
+        from events cross join (select 0 as n union all select 1 union all select 2 union all select 3) four""",
 }
 
 
