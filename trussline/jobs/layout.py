@@ -66,7 +66,7 @@ def _end_gap(p: str, a: str, b: str) -> str:
         {_end_gap('p@', 'q@', 'q@2')}, {_end_gap('p@2', 'q@', 'q@2')}, {_end_gap('q@', 'p@', 'p@2')}, {_end_gap('q@2', 'p@', 'p@2')}) as gap from st)
     select system, i, j, round(gap, 5) as gap from g where gap < 1.7""")
 def self_collisions(t: Tables) -> DataFrame:
-    return rounded(routes.self_collisions(t.view("v_segments"), 0.85), 5)
+    return rounded(routes.self_collisions(t.view("v_segments"), 0.85, size=16.0), 5)
 
 
 @query("select box_id from v_boxes b where exists (select 1 from v_rooms r where b.x0 >= r.x0 and b.x1 <= r.x1 and b.y0 >= r.y0 and b.y1 <= r.y1)")

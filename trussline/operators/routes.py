@@ -31,18 +31,32 @@ def plane_penetrations(segments: DataFrame, planes: DataFrame, size: float = 2.0
 def face_crossings(segments: DataFrame, faces: DataFrame, tol: float = 1e-6, size: float = 2.0) -> DataFrame:
     """system, seq, face_id, hx, hy, hz: where a segment meets a face's plane within the face's box; segments along the plane have none.
 
-    faces: face_id, normal nx, ny, nz, box x0..z1 (its low corner lies in the plane). The pair counts in the one cell that holds the hit.
+    faces: face_id, unit normal nx, ny, nz along one axis, box x0..z1 flat along it; slanted faces are left out. Segments first meet the distinct
+    planes of all faces, and each meeting point looks into one cell of its plane.
     """
-    wide = faces.withColumns({f"{c}0": F.col(f"{c}0") - tol for c in "xyz"} | {f"{c}1": F.col(f"{c}1") + tol for c in "xyz"})
-    held = _in_cells(wide, size).select("face_id", "nx", "ny", "nz", *(F.col(f"{c}{i}").alias(f"f{c}{i}") for c in "xyz" for i in "01"), "cx", "cy", "cz")
-    met = _in_cells(_boxed(segments, tol), size).join(held, ["cx", "cy", "cz"])
-    normal, start, step = point("nx", "ny", "nz"), point("x", "y", "z"), minus(point("x2", "y2", "z2"), point("x", "y", "z"))
-    inside = minus(tuple(F.col(f"f{c}0") + tol for c in "xyz"), start)
-    met = met.withColumns({"across": dot(normal, step), "away": dot(normal, inside)}).where(F.abs("across") >= tol).withColumn("t", F.try_divide("away", "across"))
-    met = met.where(F.col("t").between(0, 1)).withColumns({f"h{c}": start[i] + F.col("t") * step[i] for i, c in enumerate("xyz")})
+    along = [F.abs(f"n{c}") > 1 - tol for c in "xyz"]
+    flat = faces.withColumn("axis", F.when(along[0], 0).when(along[1], 1).when(along[2], 2)).where("axis is not null")
+    flat = flat.withColumn("level", F.when(F.col("axis") == 0, F.col("x0")).when(F.col("axis") == 1, F.col("y0")).otherwise(F.col("z0")))
+    planes = flat.select("axis", "level").distinct().withColumn("level_cell", cell(F.col("level"), size))
+
+    spans = F.array(*(F.struct(F.lit(i).alias("axis"), F.col(c).alias("p"), F.col(f"{c}2").alias("q")) for i, c in enumerate("xyz")))
+    probes = segments.select("system", "seq", "x", "y", "z", "x2", "y2", "z2", F.explode(spans).alias("s")).where(F.abs(F.col("s.q") - F.col("s.p")) >= tol)
+    probes = probes.withColumns({"lo": F.least("s.p", "s.q"), "hi": F.greatest("s.p", "s.q"), "axis": F.col("s.axis")})
+    probes = probes.withColumn("level_cell", F.explode(F.sequence(cell(F.col("lo"), size), cell(F.col("hi"), size))))
+    met = probes.join(planes, ["axis", "level_cell"]).where("level between lo and hi").withColumn("t", (F.col("level") - F.col("s.p")) / (F.col("s.q") - F.col("s.p")))
+    met = met.select("system", "seq", "axis", "level", *((F.col(c) + F.col("t") * (F.col(f"{c}2") - F.col(c))).alias(f"h{c}") for c in "xyz"))
+
+    def in_plane(prefix: str, suffix: str) -> tuple[Column, Column]:
+        x, y, z = (F.col(f"{prefix}{c}{suffix}") for c in "xyz")
+        return F.when(F.col("axis") == 0, y).otherwise(x), F.when(F.col("axis") == 2, y).otherwise(z)
+
+    keyed = met.withColumns({k: cell(v, size) for k, v in zip(("cu", "cv"), in_plane("h", ""), strict=True)})
+    for k, lo, hi in zip(("cu", "cv"), in_plane("", "0"), in_plane("", "1"), strict=True):
+        flat = flat.withColumn(k, F.explode(F.sequence(cell(lo - tol, size), cell(hi + tol, size))))
+    hits = keyed.join(flat.select("face_id", "axis", "level", "cu", "cv", *(f"{c}{i}" for c in "xyz" for i in "01")), ["axis", "level", "cu", "cv"])
     for c in "xyz":
-        met = met.where(F.col(f"h{c}").between(F.col(f"f{c}0"), F.col(f"f{c}1")) & (cell(F.col(f"h{c}"), size) == F.col(f"c{c}")))
-    return met.select("system", "seq", "face_id", "hx", "hy", "hz")
+        hits = hits.where(F.col(f"h{c}").between(F.col(f"{c}0") - tol, F.col(f"{c}1") + tol))
+    return hits.select("system", "seq", "face_id", "hx", "hy", "hz")
 
 
 def runs_through_boxes(segments: DataFrame, boxes: DataFrame, half: float, own: DataFrame | None = None, samples: int = 24, size: float = 2.0) -> DataFrame:
