@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else 0x20 for c in range(256))
 _IS_SPACE = np.zeros(256, bool)
@@ -35,7 +36,28 @@ def folded_words(text: bytes) -> list[bytes]:
     return text.lower().translate(_FOLD).split()
 
 
-def slices(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+#: Text bytes that are worked on at once; arrays of words and hashes take some 50 times as much.
+SLICE_BYTES = 1 << 19
+
+
+def parts(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch by rows of about `limit` text bytes (one row at least), each with its texts as UTF-8 bytes.
+
+    Only one part's texts are Python objects at a time, however large Spark's batches are.
+    """
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch[column].cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, limit + (ends[start - 1] if start else 0), "right")))
+        part = batch.slice(start, stop - start)
+        yield part, utf8(part[column])
+        start = stop
+
+
+def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of about `limit` bytes (one text at least), so that arrays stay small."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.llm.bytetext import WordIndex, slices, utf8
+from trussline.llm.bytetext import WordIndex, parts, slices, utf8
 
 #: Bins of hashed trigrams, and all bins.
 LEXICAL, TERMS = 2048, 2560
@@ -127,8 +127,9 @@ def vote(model: NeighbourModel, texts: list[bytes], block: int = 256) -> np.ndar
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            votes = [vote(shared.value, texts) for _, texts in parts(batch)]
             kept = {n: batch[n] for n in batch.schema.names if n != "score"}
-            yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(vote(shared.value, utf8(batch["text"])), pa.float64())})
+            yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(np.concatenate([np.zeros(0), *votes]), pa.float64())})
 
     return run
 
