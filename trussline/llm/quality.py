@@ -91,14 +91,20 @@ def fit(labelled: DataFrame, max_labelled: int = 3000, rank: int = 32, neighbour
     counted = clean.orderBy(F.xxhash64("text"), "label", "text").limit(max_labelled).mapInArrow(_count_rows, "terms binary, label int")
     rows = counted.collect()  # at most max_labelled rows of TERMS half floats
     labels = np.array([r.label for r in rows], np.float32)
-    counts = np.array([np.frombuffer(r.terms, np.float16) for r in rows], np.float32).reshape(len(rows), TERMS)
-    weight = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x = _weighted(np.expm1(counts), weight)
+    logs = np.frombuffer(b"".join([r.terms for r in rows]), np.float16).reshape(len(rows), TERMS)
+    n_rows, n_with = len(rows), (logs > 0).sum(0)
+    del rows, counted
+    weight = (np.log((1 + n_rows) / (1 + n_with)) + 1).astype(np.float32)
+    # by blocks of rows: the driver holds the half floats and one matrix, no copies of it
+    x = np.zeros((n_rows, TERMS), np.float32)
+    for a in range(0, n_rows, 128):
+        x[a : a + 128] = _weighted(np.expm1(logs[a : a + 128].astype(np.float32)), weight)
+    del logs
     # truncated SVD by subspace iteration
     y = np.random.default_rng(7).standard_normal((TERMS, min(rank, TERMS))).astype(np.float32)
     for _ in range(6):
         y, _r = np.linalg.qr(x.T @ (x @ y))
-    return NeighbourModel(weight, y.astype(np.float32), _unit(x @ y).astype(np.float32), labels, neighbours, float(labels.mean()) if len(rows) else 0.5)
+    return NeighbourModel(weight, y.astype(np.float32), _unit(x @ y).astype(np.float32), labels, neighbours, float(labels.mean()) if n_rows else 0.5)
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
