@@ -112,6 +112,46 @@ def test_licences(spark):
     assert (got[5].n_base, got[5].first_word, got[5].last_word) == (3, 0, 6)
 
 
+def edits_by_force(pattern, text):
+    row = list(range(len(text) + 1))
+    for i, p in enumerate(pattern, 1):
+        last, row = row, [i]
+        for j, c in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != c)))
+    return row[-1]
+
+
+def spans_by_force(text, pattern, k, lo=0, hi=None):
+    hi = len(text) if hi is None else hi
+    size = len(pattern)
+    spans = [(edits_by_force(pattern, text[a:b]), a, b) for a in range(lo, hi) for b in range(a + size - k, min(hi, a + size + k) + 1)]
+    d, a, b = min(spans, default=(k + 1, 0, 0))
+    return [*spans_by_force(text, pattern, k, lo, a), (a, b, d), *spans_by_force(text, pattern, k, b, hi)] if d <= k else []
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_licence_spans_equal_brute_force(seed):
+    r = random.Random(seed)
+    notice = licences.notice("under the mit license", "mit")
+    text = []
+    for _ in range(5):
+        own = list("under the mit license")
+        for _ in range(r.randrange(4)):
+            own[r.randrange(len(own))] = r.choice(["", "x", "li", " "])
+        text.append("".join(own) + r.choice(["", " ", " and ", "license "]))
+    text = "".join(text)
+    assert [(f.start, f.end, f.edits) for f in licences.find_notices(text, [notice])] == spans_by_force(text, "under the mit license", 2)
+
+
+def test_licence_misspelt_before_clean():
+    notice = licences.notice("licensed under the mit license", "mit")
+    for between in (" and ", " and then again later ", " "):
+        for pair in (("licensed undr the mit license", "licensed under the mit license"), ("licensed under the mit license", "licensed undr the mit license")):
+            assert sorted(f.edits for f in licences.find_notices(between.join(pair), [notice])) == [0, 1]
+    many = " ".join(["licensed undr the mit license", "licensed under the mit license"] * 3000)
+    assert len(licences.find_notices(many, [notice])) == 6000
+
+
 def near_by_force(rows, least):
     sets = {i: set(zip(*[t.split()[a:] for a in range(5)], strict=False)) for i, t in rows}
     label = {i: i for i, _ in rows}

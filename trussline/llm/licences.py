@@ -1,17 +1,20 @@
 """Fuzzy search for short licence notices.
 
 A notice that occurs with at most k errors, cut into k + 1 pieces, has one piece that occurs exactly (pigeonhole). Each piece is sought
-as it is; around each find the regex library matches the whole notice with at most k edits and its best span is reported. Besides,
-base phrases are counted exactly, word by word.
+as it is; around each find the whole notice is aligned with every span of the text (Sellers' rows, vectorised over the text). Spans with at
+most k edits are taken best first, and what lies before and after a taken span is searched on. Besides, base phrases are counted exactly,
+word by word.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from trussline.llm.bytetext import fold, utf8
@@ -36,6 +39,10 @@ NOTICES = (
 )
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 10
+#: A span's rank is _EDIT times its edits plus its start.
+_EDIT = 1 << 32
+#: Text characters that are aligned at once.
+_BLOCK = 1 << 15
 
 
 class Notice(NamedTuple):
@@ -43,14 +50,61 @@ class Notice(NamedTuple):
     size: int
     edits: int
     pieces: tuple[tuple[int, str], ...]
-    pattern: regex.Pattern
+    chars: np.ndarray
 
 
 def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT) -> Notice:
     k = len(text) // chars_per_edit
     cuts = [round(i * len(text) / (k + 1)) for i in range(k + 2)]
     pieces = tuple((a, text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return Notice(label, len(text), k, pieces, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}"))
+    return Notice(label, len(text), k, pieces, code_points(text))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def best_ends(n: Notice, chars: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """For each end from lo to hi, the least rank of the spans of chars[lo:hi] that end there."""
+    here = chars[lo:hi]
+    inserted = np.arange(hi - lo + 1, dtype=np.int64) * _EDIT
+    row = np.arange(lo, hi + 1, dtype=np.int64)
+    for c in n.chars:
+        best = row + _EDIT
+        np.minimum(best[1:], row[:-1] + np.where(here == c, 0, _EDIT), out=best[1:])
+        row = np.minimum.accumulate(best - inserted) + inserted
+    return row
+
+
+def spans_in(n: Notice, chars: np.ndarray, begin: int, end: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of the spans of an area taken one by one, each the best (fewest edits, then least start and end) that overlaps none before it."""
+    reach, limit = n.size + n.edits, (n.edits + 1) * _EDIT
+    queue: list[tuple[int, int]] = []
+    for at in range(begin, end, _BLOCK):
+        lo = max(begin, at - reach)
+        ranks = best_ends(n, chars, lo, min(at + _BLOCK, end))
+        queue += ((int(ranks[i]), lo + int(i)) for i in np.flatnonzero(ranks < limit) if lo + i > at)
+    heapify(queue)
+    starts: list[int] = []
+    ends: list[int] = []
+    edits: list[int] = []
+    behind: dict[int, np.ndarray] = {}
+    while queue:
+        rank, e = heappop(queue)
+        i = bisect_left(ends, e)
+        if i < len(ends) and starts[i] < e:
+            continue
+        lo = ends[i - 1] if i else begin
+        if rank % _EDIT >= lo:
+            starts.insert(i, rank % _EDIT)
+            ends.insert(i, e)
+            edits.insert(i, rank // _EDIT)
+        elif e - lo >= n.size - n.edits:  # its best span is in part taken: the best of the rest takes its place
+            if lo not in behind:
+                behind[lo] = best_ends(n, chars, lo, min(lo + reach, end))
+            if behind[lo][e - lo] < limit:
+                heappush(queue, (int(behind[lo][e - lo]), e))
+    return list(zip(starts, ends, edits, strict=True))
 
 
 class Find(NamedTuple):
@@ -64,6 +118,7 @@ class Find(NamedTuple):
 def find_notices(folded: str, notices: list[Notice]) -> list[Find]:
     """Best non-overlapping finds of each notice in a folded text, in order of place."""
     out: list[Find] = []
+    chars = None
     for n in notices:
         areas: list[list[int]] = []
         for offset, piece in n.pieces:
@@ -79,10 +134,10 @@ def find_notices(folded: str, notices: list[Notice]) -> list[Find]:
                 merged[-1][1] = max(a[1], merged[-1][1])
             else:
                 merged.append(a)
+        if merged and chars is None:
+            chars = code_points(folded)
         for begin, end in merged:
-            for m in n.pattern.finditer(folded, begin, min(end, len(folded))):
-                edits = sum(m.fuzzy_counts)
-                out.append(Find(m.start(), m.end(), n.label, edits, 1 - edits / n.size))
+            out += (Find(a, b, n.label, edits, 1 - edits / n.size) for a, b, edits in spans_in(n, chars, begin, min(end, len(folded))))
     return sorted(out)
 
 
