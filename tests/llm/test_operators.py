@@ -152,6 +152,33 @@ def test_licence_misspelt_before_clean():
     assert len(licences.find_notices(many, [notice])) == 6000
 
 
+CLOSE = [
+    ("gnu general public license version 2", "gpl-2"), ("gnu general public license version 3", ""), ("gnu general public license version 3 2 0", ""), ("gnu general public license version 20", ""),
+    ("gnu generl public licence version 2", "gpl-2"), ("this work is licensed under the gnu general public license version 3", "gpl-3"),
+    ("this work is licensed under the gnu general public license version 2", "gpl-2"), ("this work is lisensed under the gnu general public license version 3", "gpl-3"),
+    ("licensed under cc by nc 4 0", "cc-by-nc"), ("licensed under cc by sa 4 0", "cc-by-sa"), ("licensd under cc by sa 4 0", "cc-by-sa"), ("licensed under cc by nd 4 0", ""),
+    ("licensed under the mit license", "mit"), ("licensed under the bsd license", ""), ("released under the isc license", ""), ("relased undr teh mit licence", ""), ("relased under teh mit license", "mit"),
+    ("licensed under the apache license version 2 0", "apache-2"), ("licensed under the apache license version 1 1", ""), ("licensed under the apach license version 2", "apache-2"),
+    ("mozilla public license version 2 0", "mpl-2"), ("mozilla public license version 1 1", ""), ("gnu lesser general public license version 2 1", "lgpl"), ("gnu lesser general public license version 3", "lgpl"),
+    ("gnu affero general public license version 2", ""), ("gnu lesser general public license version 2", "lgpl"),
+    ("gnu affero general public license version 3", ""), ("creative commons attribution noncomercial", "cc-by-nc"), ("creative commons atribution sharealike", "cc-by-sa"),
+]
+
+
+def test_close_licences(spark):
+    docs = [(i, f"x {t} y") for i, (t, _) in enumerate(CLOSE)]
+    got = {r.doc_id: r for r in licences.scan_licences(table(spark, docs)).collect()}
+    base = {i: {label for phrase, label in licences.BASE if f" {phrase} " in f" {t} "} for i, (t, _) in enumerate(CLOSE)}
+    assert {i: {s.label for s in got[i].spans} for i in got} == {i: {label} - {""} for i, (_, label) in enumerate(CLOSE)}
+    assert {i: got[i].labels for i in got} == {i: ",".join(sorted(base[i] | {label} - {""})) for i, (_, label) in enumerate(CLOSE)}
+
+
+def test_notices_of_other_labels_do_not_match():
+    known = [licences.notice(t, label, exact=licences.EXACT.get(label, ())) for t, label in licences.NOTICES]
+    for t, label in licences.NOTICES:
+        assert {f.label for f in licences.find_notices(t, known)} == {label}
+
+
 def near_by_force(rows, least):
     sets = {i: set(zip(*[t.split()[a:] for a in range(5)], strict=False)) for i, t in rows}
     label = {i: i for i, _ in rows}

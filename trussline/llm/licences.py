@@ -2,7 +2,8 @@
 
 A notice that occurs with at most k errors, cut into k + 1 pieces, has one piece that occurs exactly (pigeonhole). Each piece is sought
 as it is; around each find the whole notice is aligned with every span of the text (Sellers' rows, vectorised over the text). Spans with at
-most k edits are taken best first, and what lies before and after a taken span is searched on. Besides, base phrases are counted exactly,
+most k edits are taken best first, and what lies before and after a taken span is searched on. Words that tell licences apart admit no edit:
+they stand in the text as they are, right after the word before them (which may be misspelt). Besides, base phrases are counted exactly,
 word by word.
 """
 
@@ -37,10 +38,14 @@ NOTICES = (
     ("redistribution and use in source and binary forms", "bsd"),
     ("all rights reserved", "all-rights-reserved"),
 )
+#: Words of each label's notices that tell it from others within the error bound: no edit in them.
+EXACT = {"mit": ("mit",), "apache-2": ("2",), "cc-by-nc": ("nc",), "cc-by-sa": ("sa",), "gpl-2": ("gnu", "2"), "gpl-3": ("gnu", "3"), "mpl-2": ("2",)}
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 10
 #: A span's rank is _EDIT times its edits plus its start.
 _EDIT = 1 << 32
+#: More than any notice's edits, and what no sum of edits reaches.
+_WALL, _NEVER = 1 << 40, 1 << 60
 #: Text characters that are aligned at once.
 _BLOCK = 1 << 15
 
@@ -51,13 +56,25 @@ class Notice(NamedTuple):
     edits: int
     pieces: tuple[tuple[int, str], ...]
     chars: np.ndarray
+    exact: frozenset[int]  # places of exact words and of the space before each
+    firsts: frozenset[int]  # of exact words
+    lasts: frozenset[int]
+    solid: frozenset[int]  # places of the words before them
 
 
-def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT) -> Notice:
+def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT, exact: tuple[str, ...] = ()) -> Notice:
     k = len(text) // chars_per_edit
+    words, at, firsts, lasts, still, solid = text.split(" "), 0, set(), set(), set(), set()
+    for i, w in enumerate(words):
+        if w in exact:
+            firsts.add(at)
+            lasts.add(at + len(w) - 1)
+            still |= set(range(max(0, at - 1), at + len(w)))
+            solid |= set(range(at - 1 - len(words[i - 1]), at - 1)) if i else set()
+        at += len(w) + 1
     cuts = [round(i * len(text) / (k + 1)) for i in range(k + 2)]
     pieces = tuple((a, text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return Notice(label, len(text), k, pieces, code_points(text))
+    return Notice(label, len(text), k, pieces, code_points(text), *map(frozenset, (still, firsts, lasts, solid - still)))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -69,10 +86,30 @@ def best_ends(n: Notice, chars: np.ndarray, lo: int, hi: int) -> np.ndarray:
     here = chars[lo:hi]
     inserted = np.arange(hi - lo + 1, dtype=np.int64) * _EDIT
     row = np.arange(lo, hi + 1, dtype=np.int64)
-    for c in n.chars:
+    if n.exact:
+        space = here == ord(" ")
+        solid = inserted.copy()
+        solid[1:] += np.cumsum(space) * _WALL
+        inside = np.ones(hi - lo + 1, bool)  # not at an end of a word
+        inside[1:] &= ~space
+        inside[:-1] &= ~space
+        inside[0] &= lo > 0 and chars[lo - 1] != ord(" ")
+        inside[-1] &= hi < len(chars) and chars[hi] != ord(" ")
+    for i, c in enumerate(n.chars):
+        if i in n.exact:
+            best = np.full(len(row), _NEVER)
+            if i in n.firsts:
+                row = np.where(inside, _NEVER, row)
+            best[1:] = np.where(here == c, row[:-1], _NEVER)
+            if i in n.lasts:
+                best[inside] = _NEVER
+                best = np.minimum.accumulate(best - inserted) + inserted
+            row = best
+            continue
+        steps, other = (solid, np.where(space, _NEVER, _EDIT)) if i in n.solid else (inserted, _EDIT)
         best = row + _EDIT
-        np.minimum(best[1:], row[:-1] + np.where(here == c, 0, _EDIT), out=best[1:])
-        row = np.minimum.accumulate(best - inserted) + inserted
+        np.minimum(best[1:], row[:-1] + np.where(here == c, 0, other), out=best[1:])
+        row = np.minimum(np.minimum.accumulate(best - steps) + steps, _NEVER)
     return row
 
 
@@ -162,21 +199,21 @@ _OUT = "n_words long, n_base long, first_word long, last_word long, base_labels
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("edits", pa.int32())]))
 
 
-def scan_licences(docs: DataFrame, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT, text: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT, text: str = "text", exact=EXACT) -> DataFrame:
     """Adds to each row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     Texts are folded: A-Z lower-cased, runs of a-z, 0-9 and non-ASCII characters joined by one space. n_base counts all places of
     base phrases; first_word and last_word are the smallest and largest word they start at, from 0, else null. labels holds base labels and those of
     fuzzy finds, distinct and sorted; score is the best find's 1 - edits / length (1 with a base phrase, 0 without finds); spans
-    are fuzzy finds in the folded text. Null and empty texts have no words and score 0. Columns of these names are replaced; other columns and all rows stay.
+    are fuzzy finds in the folded text. exact gives, by label, the words of its notices that admit no edit. Null and empty texts have no words and score 0. Columns of these names are replaced; other columns and all rows stay.
     """
     kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), _SPAN]
     names = [x.split()[0] for x in _OUT.split(", ")]
     docs = docs.drop(*names)
-    pairs = tuple(notices)
+    sought = tuple((t, label, tuple(exact.get(label, ()))) for t, label in notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [notice(t, label, chars_per_edit) for t, label in pairs]
+        known = [notice(t, label, chars_per_edit, still) for t, label, still in sought]
         for batch in batches:
             rows = []
             for t in utf8(batch[text]):
