@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from trussline.functions import sections
 from trussline.jobs import joblog, registry, takeoff
 from trussline.operators import compare, health, mesh, patches, routes, spatial
 
@@ -136,3 +137,57 @@ def test_chains_break_at_bends_and_branches(spark):
     rows = [(1, "s", 0, 0, 1, 0), (2, "s", 2, 0, 1, 0), (3, "s", 2, 0, 2, 1), (4, "t", 5, 5, 6, 5), (5, "t", 6, 5, 7, 5), (6, "t", 6, 5, 6, 6)]
     beams = spark.createDataFrame([(b, s, float(x), float(y), 0.0, float(p), float(q), 0.0) for b, s, x, y, p, q in rows], "beam_id long, section string, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
     assert {r.beam_id: r.chain for r in patches.beam_chains(beams).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+SECTIONS = [("i", 0.3, 0.2, 0.01, 0.02, None, None), ("u", 0.3, 0.2, 0.01, 0.02, 0.1, 0.03), ("tee", 0.3, 0.2, 0.01, 0.02, None, None), ("angle", 0.2, 0.1, 0.01, 0.012, None, None), ("channel", 0.3, 0.1, 0.01, 0.015, None, None), ("poly", 0.3, 0.1, 0.0, None, None, None), ("blob", 1.0, 1.0, 0.1, None, None, None)]
+
+
+def section_by_force(kind, h, w, t, tf, wb, tb, n=60_000):
+    """Area and inertia by thin strips."""
+    tf, wb = tf or t, wb or w
+    tb, total, first, second = {"tee": 0}.get(kind, tb or tf), 0.0, 0.0, 0.0
+    for i in range(n):
+        z = (i + 0.5) * h / n
+        low, high = z < (tf if kind == "angle" else tb), z > h - tf and kind != "angle"
+        wide = (wb if kind in "iu" and low else w) if low or high else t
+        total, first, second = total + wide * h / n, first + wide * z * h / n, second + wide * z * z * h / n
+    return total, second - first * first / total
+
+
+def test_section_kinds(spark):
+    rows = spark.createDataFrame([("i" if k == "u" else k, k, *r) for k, *r in SECTIONS], "kind string, section string, h double, w double, t double, tf double, wb double, tb double")
+    columns = [F.col(c) for c in ("kind", "h", "w", "t", "tf", "wb", "tb")]
+    got = {r.section: r for r in rows.select("section", sections.area(*columns).alias("a"), sections.inertia(*columns).alias("i")).collect()}
+    for row in SECTIONS[:5]:
+        want = section_by_force(*row)
+        assert got[row[0]].a == pytest.approx(want[0], rel=1e-3) and got[row[0]].i == pytest.approx(want[1], rel=1e-3)
+    assert got["poly"].a == got["poly"].i == 0 and got["blob"].a is None
+    beams = spark.createDataFrame([(s, 0.0, 0.0, 0.0, 0, 2.0) for s in ("i", "blob", "unlisted", "unlisted")], "section string, x1 double, y1 double, z1 double, axis int, length double")
+    weighed = takeoff.weighed_beams(beams, rows)
+    assert {r.section: (r.n, r.length) for r in takeoff.by_section(weighed).collect()} == {"i": (1, 2.0), "blob": (1, 2.0), "unlisted": (2, 4.0)}
+    assert {tuple(r) for r in takeoff.unweighed(weighed).collect()} == {("blob", 1, 2.0), ("unlisted", 2, 4.0)}
+
+
+def test_takeoff_by_discipline(spark):
+    kinds = "run_id string, object_type string, segment_class string, size string, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, a double, density double, w double, h double"
+    rows = [
+        ("p", "straight", None, "60", 0, 0, 0, 2, 0, 0, 0.01, None, None, None), ("p", "elbow", None, "60", 2, 0, 0, 2, 3, 4, 0.01, None, None, None), ("q", "straight", None, "60", 0, 0, 0, 0, 0, 4, 0.01, 1000, None, None),
+        ("d", "beam", "IfcDuctSegment", "DU", 0, 0, 0, 0, 5, 0, 0.02, 0, 0.3, 0.2), ("t", "beam", "IfcCableSegment", "TR", 0, 0, 0, 1, 0, 0, None, None, None, None),
+        ("b", "beam", None, "I", 0, 0, 0, 10, 0, 0, 0.01, None, None, None), ("e", "shape", None, "E", 0, 0, 0, 1, 0, 0, 9.0, None, None, None),
+    ]
+    rows = [(*r[:4], *(None if x is None else float(x) for x in r[4:])) for r in rows]
+    weighed = takeoff.weighed_runs(spark.createDataFrame(rows, kinds))
+    sizes = {r["size"]: r for r in takeoff.runs_by_size(weighed).collect()}
+    assert set(sizes) == {"60", "DU", "TR"} and (sizes["60"].segments, sizes["60"].length, sizes["60"].elbows) == (2, 6.0, 1)
+    assert sizes["60"].mass == pytest.approx(0.157 + 0.04) and sizes["DU"].area == pytest.approx(5.0) and sizes["DU"].mass == pytest.approx(0.785)
+    assert takeoff.flanges(weighed).first().flanges == 4
+    got = {r.discipline: r for r in takeoff.by_discipline(weighed).collect()}
+    assert set(got) == {"piping", "hvac", "electrical", "structural", "other", None} and got["electrical"].n_unweighed == 1 and got[None].n == 6
+    assert got["piping"].mass == pytest.approx(0.157 + 0.3925 + 0.04) and got[None].mass == pytest.approx(0.5895 + 0.785 + 0.785)
+
+
+def test_joint_takeoff(spark):
+    rows = [("j1", "k", "member", "b2"), ("j1", "k", "member", "b1"), ("j1", "k", "member", "b2"), ("j1", "k", "plate", "p"), ("j1", "k", "weld", "w"), ("j1", "k", "weld", "v"), ("j2", "k", "member", "b1")]
+    items = takeoff.joint_items(spark.createDataFrame(rows, "joint string, slug string, role string, name string"))
+    assert {tuple(map(str, r)) for r in items.collect()} == {("j1", "k", "['b1', 'b2']", "1", "2"), ("j2", "k", "['b1']", "0", "0")}
+    assert [tuple(r) for r in takeoff.joints_by_type(items).collect()] == [("k", 2)]

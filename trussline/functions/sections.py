@@ -8,29 +8,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def area(kind: Column, h: Column, w: Column, t: Column) -> Column:
-    """Steel area of box, tube, bar and round sections; others are null. h of a tube or round is its outer diameter."""
+def _flanges(kind: Column, w: Column, t: Column, tf: Column | None, wb: Column | None, tb: Column | None) -> tuple[Column, Column, Column]:
+    """Thickness of the top flange, width and thickness of the bottom one: t, w and the top flange's where not given, none below a tee."""
+    top = t if tf is None else F.coalesce(tf, t)
+    below = top if tb is None else F.coalesce(tb, top)
+    return top, (w if wb is None else F.coalesce(wb, w)), F.when(kind == "tee", 0.0).otherwise(below)
+
+
+def area(kind: Column, h: Column, w: Column, t: Column, tf: Column | None = None, wb: Column | None = None, tb: Column | None = None) -> Column:
+    """Steel area of box, tube, bar, round, i, tee, angle and channel sections; poly has none (0) and others are null.
+
+    h of a tube or round is its outer diameter. t is the web's thickness; tf the (top) flange's, wb and tb width and thickness of an i's bottom flange.
+    An angle's w and tf are of its one flange.
+    """
+    tf, wb, tb = _flanges(kind, w, t, tf, wb, tb)
     return (
         F.when(kind == "box", h * w - (h - 2 * t) * (w - 2 * t))
         .when(kind == "tube", math.pi / 4 * (h * h - (h - 2 * t) * (h - 2 * t)))
         .when(kind == "bar", h * w)
         .when(kind == "round", math.pi / 4 * h * h)
+        .when(kind.isin("i", "tee"), w * tf + t * (h - tf - tb) + wb * tb)
+        .when(kind == "angle", t * (h - tf) + w * tf)
+        .when(kind == "channel", 2 * w * tf + t * (h - 2 * tf))
+        .when(kind == "poly", 0.0)
     )
 
 
-def inertia(kind: Column, h: Column, w: Column, t: Column) -> Column:
-    """Second moment of area about the strong axis."""
+def inertia(kind: Column, h: Column, w: Column, t: Column, tf: Column | None = None, wb: Column | None = None, tb: Column | None = None) -> Column:
+    """Second moment of area about the strong axis; of angles and unequal flanges about the axis through the centroid, parallel to the flanges."""
     def cube(x: Column) -> Column:
         return x * x * x
 
     def fourth(x: Column) -> Column:
         return x * x * x * x
 
+    def stacked(*parts: tuple[Column, Column, Column]) -> Column:
+        """Of rectangles: width, height and level of the middle."""
+        size = sum((b * d for b, d, _ in parts[1:]), parts[0][0] * parts[0][1])
+        level = sum((b * d * z for b, d, z in parts[1:]), parts[0][0] * parts[0][1] * parts[0][2]) / size
+        own = [b * cube(d) / 12 + b * d * (z - level) * (z - level) for b, d, z in parts]
+        return sum(own[1:], own[0])
+
+    tf, wb, tb = _flanges(kind, w, t, tf, wb, tb)
     return (
         F.when(kind == "box", (w * cube(h) - (w - 2 * t) * cube(h - 2 * t)) / 12)
         .when(kind == "tube", math.pi / 64 * (fourth(h) - fourth(h - 2 * t)))
         .when(kind == "bar", w * cube(h) / 12)
         .when(kind == "round", math.pi / 64 * fourth(h))
+        .when(kind.isin("i", "tee"), stacked((w, tf, h - tf / 2), (t, h - tf - tb, tb + (h - tf - tb) / 2), (wb, tb, tb / 2)))
+        .when(kind == "angle", stacked((t, h - tf, tf + (h - tf) / 2), (w, tf, tf / 2)))
+        .when(kind == "channel", stacked((w, tf, h - tf / 2), (t, h - 2 * tf, h / 2), (w, tf, tf / 2)))
+        .when(kind == "poly", 0.0)
     )
 
 
