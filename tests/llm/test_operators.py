@@ -98,6 +98,33 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(table(spark, [(1, text)]), "other").first().text != out
 
 
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pseudonyms_of_other_forms(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005", "30569309025904", "3056-930902-5904", "4222222222222", "6304000000000000000", "6304 0000 0000 0000 000", "60110000000000004"]
+    phones = ["+1 (974) 555-3436", "(974) 555-3436", "974-555-3436", "974.555.3436", "+1-974-555-3436", "+1 974 555 3436", "+19745553436", "1-974-555-3436", "+44 20 7946 0958", "+49 (0)30 901820", "+442079460958"]
+    cards = [c for c in cards if luhn(c.replace(" ", "").replace("-", ""))]
+    assert len(cards) >= 10
+    left = ["4111-1111 1111 1111", "4111 1111 1111 1112", "1234567890123", "41111111111111111111", "10.0.0", "555-3436", "1.12.05.2020"]
+    kinds = {"card": cards, "phone": phones, "date": ["ended.2024-02-29", "ended.29.02.2024"], "": left}
+    rows = [(k, t) for k, own in kinds.items() for t in own]
+    docs = [(i, f"call {t} now") for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, docs), "k").collect()}
+    for i, (kind, t) in enumerate(rows):
+        new = got[i].text.removeprefix("call ").removesuffix(" now")
+        assert (got[i].private_kinds, got[i].n_private) == (kind, int(kind != "")) and (new == t) == (kind == ""), t
+        assert ["0" if c.isdigit() else c for c in new] == ["0" if c.isdigit() else c for c in t]
+        assert kind != "card" or luhn("".join(c for c in new if c.isdigit()))
+    bare = {(k, "".join(c for c in t if c.isdigit())[-10:] if k == "phone" else "".join(c for c in t if c.isdigit())): set() for k, t in rows if k in ("card", "phone")}
+    for i, (k, t) in enumerate(rows):
+        if k in ("card", "phone"):
+            d = ["".join(c for c in x if c.isdigit()) for x in (t, got[i].text)]
+            bare[k, d[0][-10:] if k == "phone" else d[0]].add(d[1][-10:] if k == "phone" else d[1])
+    assert all(len(x) == 1 for x in bare.values())
+
+
 def test_feistel_is_a_permutation(spark):
     x = spark.range(7 * 13).select(pii.feistel(F.col("id"), 7, 13, "k", "t").alias("y"))
     assert sorted(r.y for r in x.collect()) == list(range(91))

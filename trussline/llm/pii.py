@@ -6,8 +6,10 @@ different values different ones; whoever holds the key can go back.
 
 Kinds, all of them found in one pass of one pattern:
 
-* card: 16 digits with a valid check digit: 15 digits are permuted, the check digit is made anew;
-* phone: +1 (AAA) BBB-CCCC: its ten digits;
+* card: 13 to 19 digits with a valid check digit, in one piece or in groups (4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-3) with spaces or hyphens: all digits
+  but the last are permuted, the check digit is made anew, separators stay;
+* phone: ten digits as AAA-BBB-CCCC, AAA.BBB.CCCC or (AAA) BBB-CCCC, with or without 1 or +1 (then spaces and no separators too): those ten; or + and
+  8 to 15 digits of another country: all but the first two. Separators stay, and a number gets the same pseudonym however it is written;
 * ip: four octets of 0 to 255, as a 32-bit number;
 * ssn: AAA-GG-SSSS in the issued ranges, which are kept;
 * date: a real yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy of 1800 to 2199: its day number in those 400 years;
@@ -23,11 +25,12 @@ ROUNDS = 5
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9_À-ɏ][A-Za-z0-9._%+À-ɏ-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])",
-    "date": r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
+    "phone": r"(?:(?:\+1[ .-]?|(?<![0-9.+-])1[ .-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|(?:\([0-9]{3}\)[ .-]?|(?<![0-9.+-])[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9]|[.-][0-9])"
+    r"|\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|\+[2-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])",
+    "date": r"(?<![0-9])(?<![0-9]\.)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9]{16}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|" + "|".join(s.join(f"[0-9]{{{n}}}" for n in sizes) for s in " -" for sizes in ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))) + r")(?![0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -37,7 +40,7 @@ def _keyed(key: str, *parts) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts)), 256)
 
 
-def feistel(x: Column, a: int, b: int, key: str, kind: str) -> Column:
+def feistel(x: Column, a: int | Column, b: int | Column, key: str, kind: str | Column) -> Column:
     """Permutes 0 .. a*b-1."""
 
     def value(i: Column, half: str, of: Column, most: int) -> Column:
@@ -48,11 +51,11 @@ def feistel(x: Column, a: int, b: int, key: str, kind: str) -> Column:
         left = (at["l"] + value(i, "l", at["r"], a)) % a
         return F.struct(left.alias("l"), ((at["r"] + value(i, "r", left, b)) % b).alias("r"))
 
-    start = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).cast("long").alias("r"))
+    start = F.struct(F.round((x - x % b) / b).cast("long").alias("l"), (x % b).cast("long").alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda at: at["l"] * b + at["r"])
 
 
-def _digit_sum(number: Column, first: int) -> Column:
+def _digit_sum(number: Column, first: int | Column) -> Column:
     """Luhn's sum of a digit string whose first digit is doubled if first is 1."""
 
     def add(total: Column, i: Column) -> Column:
@@ -68,15 +71,50 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def _permuted(digits: Column, key: str, kind: str, usual: int) -> Column:
+    """Digits of any number up to 18 permuted among those of as many; each length has its own permutation."""
+    n = F.length(digits)
+    half = F.floor(n / 2).cast("int")
+
+    def power(i: Column) -> Column:
+        return F.element_at(F.array(*(F.lit(10**k).cast("long") for k in range(1, 10))), i)
+
+    named = F.when(n == usual, F.lit(kind)).otherwise(F.concat(F.lit(kind), n.cast("string")))
+    return F.lpad(feistel(digits.cast("long"), power(half), power(n - half), key, named).cast("string"), n, "0")
+
+
+def _refill(m: Column, digits: Column) -> Column:
+    """m with its digits replaced one by one, all else in place."""
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+
+    def step(had: Column, c: Column) -> Column:
+        is_digit = c.between("0", "9")
+        return F.struct((had["at"] + is_digit.cast("int")).alias("at"), F.concat(had["out"], F.when(is_digit, F.substring(digits, had["at"], F.lit(1))).otherwise(c)).alias("out"))
+
+    return F.aggregate(F.split(m, ""), start, step, lambda had: had["out"])
+
+
 def _card(m: Column, key: str) -> Column:
-    body = F.lpad(feistel(F.substring(m, 1, 15).cast("long"), 10**7, 10**8, key, "card").cast("string"), 15, "0")
-    done = _let(body, lambda b: F.concat(b, ((10 - _digit_sum(b, 1) % 10) % 10).cast("string")))
-    return F.when(_digit_sum(m, 1) % 10 == 0, done).otherwise(m)
+    def of(d: Column) -> Column:
+        first = 1 - F.length(d) % 2
+        body = _permuted(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", 15)
+        done = _let(body, lambda b: F.concat(b, ((10 - _digit_sum(b, first) % 10) % 10).cast("string")))
+        return F.when(_digit_sum(d, first) % 10 == 0, _let(done, lambda x: _refill(m, x))).otherwise(m)
+
+    return _let(_digits(m), of)
 
 
 def _phone(m: Column, key: str) -> Column:
-    digits = F.lpad(feistel(F.regexp_replace(F.substring(m, 3, 99), "[^0-9]", "").cast("long"), 10**5, 10**5, key, "phone").cast("string"), 10, "0")
-    return _let(digits, lambda d: F.concat(F.lit("+1 ("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4)))
+    def of(d: Column) -> Column:
+        kept = F.when(m.startswith("+") & ~m.startswith("+1"), 2).otherwise(F.length(d) - 10)
+        new = _permuted(F.substring(d, kept + 1, F.length(d)), key, "phone", 10)
+        return _let(F.concat(F.substring(d, F.lit(1), kept), new), lambda x: _refill(m, x))
+
+    return _let(_digits(m), of)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -125,11 +163,12 @@ def _secret(m: Column, key: str) -> Column:
 
 def _kind(m: Column) -> Column:
     """Of a match: which pattern made it."""
-    at, dashes = F.substring(m, 5, 1), F.length(m) - F.length(F.replace(m, F.lit("-"), F.lit("")))
+    def whole(kind: str) -> Column:
+        return m.rlike(f"^(?:{PATTERNS[kind]})$")
+
     return (
-        F.when(m.contains("@"), "email").when(m.startswith("+"), "phone").when(F.length(m) == 40, "secret").when(F.length(m) == 16, "card")
-        .when((F.length(m) == 10) & (at == "-") & (dashes == 2) | (F.length(m) == 10) & m.rlike(r"^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), "date")
-        .when(dashes == 2, "ssn").otherwise("ip")
+        F.when(m.contains("@"), "email").when(F.length(m) == 40, "secret").when(whole("phone"), "phone").when(whole("date"), "date").when(whole("ssn"), "ssn")
+        .when(F.length(_digits(m)) > 12, "card").otherwise("ip")
     )
 
 
@@ -157,7 +196,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     work = docs.drop("n_private", "private_kinds", "__found", "__between")
     columns = [c for c in work.columns]
     # most texts hold none of the signs that every pattern needs
-    likely = column.rlike(r"[0-9]{3}|@|[0-9]\.[0-9]|[0-9A-Fa-f]{40}")
+    likely = column.rlike(r"[0-9]{3}|@|[0-9]\.[0-9]|\+[0-9]|[0-9A-Fa-f]{40}")
     work = work.withColumn("__found", F.when(likely, found)).withColumn("__between", F.when(F.size("__found") > 0, between))
     joined = F.concat_ws("", F.flatten(F.zip_with("__between", F.col("__found.new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
     changed = F.filter("__found", lambda x: x["old"] != x["new"])
