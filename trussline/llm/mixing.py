@@ -115,7 +115,8 @@ def mix(
 def curriculum(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself in training order: docs' rows, once for each taking, range-sorted by position; docs' columns and no others.
 
-    A document is repeated as often as the mix takes it and never cut; one that it doesn't take is left out.
+    A document is repeated as often as the mix takes it and never cut; one that it doesn't take is left out. One that `taken` counts in part is
+    emitted whole: there are ceil(taken / size) rows of it, and a source passes its target by less than one document.
     """
     renamed, own = aside(docs, ADDED)
     rows = mix(renamed, **settings).select(*own, F.explode("starts").alias("__at"))
