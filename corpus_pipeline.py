@@ -28,7 +28,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order; the token shards after it are sorted by doc_id and don't hold it."""
     return mixing.curriculum(docs)
 
 
@@ -49,7 +49,8 @@ STAGES = [
     ("mixing", mix_sources),
     ("token_ids", write_ids),
 ]
-#: The neighbour vote and the sketches aren't SQL; tests hold each stage against brute force.
+#: The neighbour vote and the sketches aren't SQL. tests/llm/test_pipeline.py holds near_dedup and mixing against plain versions, checks decontamination on planted
+#: passages, the vote on clear cases and token counts of the run.
 ORACLE_SQL = None
 
 

@@ -226,6 +226,11 @@ def mode_comparison(t: Tables) -> DataFrame:
     return results.mode_table(t.view("v_modes").withColumn("f_hz", F.col("f_hz").cast("double")), (0, 3, 7), "f_hz")
 
 
+@query("select mode, case_id, max(cast(f_hz as double)) as value from v_modes group by mode, case_id")
+def mode_values(t: Tables) -> DataFrame:
+    return results.mode_values(t.view("v_modes").withColumn("f_hz", F.col("f_hz").cast("double")), "f_hz")
+
+
 @query("select step, count(*) as n, count(distinct elem_id) as n_elements from v_results group by step")
 def steps(t: Tables) -> DataFrame:
     return t.view("v_results").groupBy("step").agg(F.count("*").alias("n"), F.countDistinct("elem_id").alias("n_elements"))

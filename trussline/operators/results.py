@@ -54,3 +54,8 @@ def modal_totals(modes: DataFrame, directions: Sequence[str]) -> DataFrame:
 def mode_table(modes: DataFrame, cases: Sequence[int], value: str) -> DataFrame:
     """mode by case."""
     return modes.where(F.col("case_id").isin(*cases)).groupBy("mode").pivot("case_id", list(cases)).agg(F.max(value)).select("mode", *(F.col(str(c)).alias(f"c{c}") for c in cases))
+
+
+def mode_values(modes: DataFrame, value: str) -> DataFrame:
+    """mode, case_id, value for all cases, in long form."""
+    return modes.groupBy("mode", "case_id").agg(F.max(value).alias("value"))
