@@ -4,11 +4,13 @@ Terms are of two families of equal weight: hashed byte trigrams, and hashed pair
 and whether it repeats the word before), which show how a text is laid out. A bounded sample of labelled rows (`max_labelled`, a parameter) gives the terms' idf weights and, by a truncated
 SVD of the weighted term matrix, a latent space of `rank` dimensions. The sample's unit vectors and labels are broadcast:
 rank * max_labelled floats, whatever the corpus. Every document is folded into that space, its cosine products with all labelled
-vectors are computed block by block (no index, no pruning), and its `neighbours` nearest vote with their similarity as weight.
+vectors are computed block by block (no index, no pruning), and its `neighbours` nearest vote with their similarity as weight. A text never
+votes on itself: labelled rows of the same text are left out of its neighbours, so its own label is no input of its score.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.llm.bytetext import WordIndex, parts, slices, utf8
+from trussline.llm.bytetext import WordIndex, parts, slices
 
 #: Bins of hashed trigrams, and all bins.
 LEXICAL, TERMS = 2048, 2560
@@ -28,6 +30,7 @@ class NeighbourModel(NamedTuple):
     basis: np.ndarray  # TERMS x rank
     vectors: np.ndarray  # labelled x rank, unit rows
     labels: np.ndarray
+    keys: np.ndarray  # a 64-bit hash of each labelled text
     neighbours: int
     prior: float
 
@@ -85,13 +88,15 @@ def _weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, max_labelled: int = 3000, rank: int = 32, neighbours: int = 15) -> NeighbourModel:
     """Fits on at most `max_labelled` rows of labelled (text, label 0/1), chosen by a hash of the text.
 
-    Null texts count as empty, rows with a null label are left out. Without any labelled row the model knows only the prior 0.5.
+    Null texts count as empty, rows with a null label are left out. Without any labelled row the model knows only the prior 0.5, and a text that is the only labelled one gets 0.5.
     """
     clean = labelled.where("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    counted = clean.orderBy(F.xxhash64("text"), "label", "text").limit(max_labelled).mapInArrow(_count_rows, "terms binary, label int")
-    rows = counted.collect()  # at most max_labelled rows of TERMS half floats
+    # counted where the texts are: only rows of fixed size meet
+    counted = clean.select(F.xxhash64("text").alias("order"), "text", "label").mapInArrow(_count_rows, "order long, key long, terms binary, label int")
+    rows = counted.orderBy("order", "label", "key").limit(max_labelled).collect()  # at most max_labelled rows of TERMS half floats
     labels = np.array([r.label for r in rows], np.float32)
     logs = np.frombuffer(b"".join([r.terms for r in rows]), np.float16).reshape(len(rows), TERMS)
+    keys = np.array([r.key for r in rows], np.int64)
     n_rows, n_with = len(rows), (logs > 0).sum(0)
     del rows, counted
     weight = (np.log((1 + n_rows) / (1 + n_with)) + 1).astype(np.float32)
@@ -104,29 +109,40 @@ def fit(labelled: DataFrame, max_labelled: int = 3000, rank: int = 32, neighbour
     y = np.random.default_rng(7).standard_normal((TERMS, min(rank, TERMS))).astype(np.float32)
     for _ in range(6):
         y, _r = np.linalg.qr(x.T @ (x @ y))
-    return NeighbourModel(weight, y.astype(np.float32), _unit(x @ y).astype(np.float32), labels, neighbours, float(labels.mean()) if n_rows else 0.5)
+    return NeighbourModel(weight, y.astype(np.float32), _unit(x @ y).astype(np.float32), labels, keys, neighbours, float(labels.mean()) if n_rows else 0.5)
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        terms = [row.astype(np.float16).tobytes() for row in np.log1p(term_counts(utf8(batch["text"])))]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch["label"]], ["terms", "label"])
+        for part, texts in parts(batch):
+            terms = [row.astype(np.float16).tobytes() for row in np.log1p(term_counts(texts))]
+            yield pa.RecordBatch.from_arrays([part["order"], pa.array(text_keys(texts)), pa.array(terms, pa.binary()), part["label"]], ["order", "key", "terms", "label"])
+
+
+def text_keys(texts: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts], np.int64)
 
 
 def vote(model: NeighbourModel, texts: list[bytes], block: int = 256) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest; the prior where nothing is similar."""
+    """Similarity-weighted share of label 1 among the nearest other texts; the prior (without the text's own labels) where nothing is similar."""
     out = np.full(len(texts), model.prior)
     k = min(model.neighbours, len(model.labels))
     if not k:
         return out
+    known = set(model.keys.tolist())
     for a in range(0, len(texts), block):
-        counts = term_counts(texts[a : a + block])
-        cosine = _unit(_weighted(counts, model.weight) @ model.basis) @ model.vectors.T
+        cosine = _unit(_weighted(term_counts(texts[a : a + block]), model.weight) @ model.basis) @ model.vectors.T
+        prior = np.full(len(cosine), model.prior)
+        for i, key in enumerate(text_keys(texts[a : a + block]).tolist()):
+            if key in known:
+                own = model.keys == key
+                cosine[i, own] = -1
+                prior[i] = model.labels[~own].mean() if not own.all() else 0.5
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 4
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
         total = weight.sum(1)
         share = (weight * model.labels[near]).sum(1) / np.where(total > 0, total, 1)
-        out[a : a + block] = np.where(total > 0, share, model.prior)
+        out[a : a + block] = np.where(total > 0, share, prior)
     return np.clip(out, 0, 1)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.llm.bytetext import WordIndex, mix, slices, utf8
+from trussline.llm.bytetext import WordIndex, mix, parts
 
 #: Hash bins: the first half for words, the second for character n-grams.
 BINS = 8192
@@ -75,7 +75,9 @@ def fit_quality(labelled: DataFrame, max_labelled: int = 3000, ridge: float = 1e
     Null texts count as empty; null labels are left out. With fewer than eight rows or one class all texts get that class's share.
     """
     clean = labelled.where("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    rows = clean.orderBy(F.xxhash64("text"), "label", "text").limit(max_labelled).mapInArrow(_feature_rows, "x binary, label int").collect()
+    # features are made where the texts are: only rows of fixed size meet
+    made = clean.select(F.xxhash64("text").alias("order"), "text", "label").mapInArrow(_feature_rows, "order long, x binary, label int")
+    rows = made.orderBy("order", "label", "x").limit(max_labelled).collect()  # at most max_labelled rows of BINS half floats
     y = np.array([r.label for r in rows], np.float32)
     if len(rows) < 8 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(rows) else 0.5, 0.01, 0.99))
@@ -99,7 +101,9 @@ def fit_quality(labelled: DataFrame, max_labelled: int = 3000, ridge: float = 1e
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([features(t, word_bins(WordIndex([t]))).astype(np.float16).tobytes() for t in utf8(batch["text"])], pa.binary()), batch["label"]], ["x", "label"])
+        for part, texts in parts(batch):
+            x = [features(t, word_bins(WordIndex([t]))).astype(np.float16).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([part["order"], pa.array(x, pa.binary()), part["label"]], ["order", "x", "label"])
 
 
 def repeat_words(index: WordIndex, n_docs: int, window: int = REPEAT_WINDOW) -> np.ndarray:
@@ -138,10 +142,8 @@ def apply_rules(docs: DataFrame, model: QualityModel, threshold: float = 0.3, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch[text])
             columns: list[list] = [[] for _ in names]
-            for a, b in slices(texts):
-                part = texts[a:b]
+            for _, part in parts(batch, text):
                 index = WordIndex(part)
                 n_words = np.diff(index.bounds)
                 repeats = repeat_words(index, len(part))
