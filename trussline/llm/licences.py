@@ -1,8 +1,8 @@
 """Fuzzy search for short licence notices.
 
 A notice that occurs with at most k errors, cut into k + 1 pieces, has one piece that occurs exactly (pigeonhole). Each piece is sought
-as it is; around each find the whole notice is aligned with every span of the text (Sellers' rows, vectorised over the text). Spans with at
-most k edits are taken best first, and what lies before and after a taken span is searched on. Words that tell licences apart admit no edit:
+as it is; every run of whole words that could hold the notice around such a find is a candidate, and the regex library's bounded-error
+matching verifies it and counts its edits. Candidates are taken best first, none overlapping another. Words that tell licences apart admit no edit:
 they stand in the text as they are, right after the word before them (which may be misspelt). Besides, base phrases are counted exactly,
 word by word.
 """
@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
-from trussline.llm.bytetext import fold, utf8
+from trussline.llm.bytetext import fold, parts
 
 #: Exact phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -42,12 +41,6 @@ NOTICES = (
 EXACT = {"mit": ("mit",), "apache-2": ("2",), "cc-by-nc": ("nc",), "cc-by-sa": ("sa",), "gpl-2": ("gnu", "2"), "gpl-3": ("gnu", "3"), "mpl-2": ("2",)}
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 10
-#: A span's rank is _EDIT times its edits plus its start.
-_EDIT = 1 << 32
-#: More than any notice's edits, and what no sum of edits reaches.
-_WALL, _NEVER = 1 << 40, 1 << 60
-#: Text characters that are aligned at once.
-_BLOCK = 1 << 15
 
 
 class Notice(NamedTuple):
@@ -55,93 +48,29 @@ class Notice(NamedTuple):
     size: int
     edits: int
     pieces: tuple[tuple[int, str], ...]
-    chars: np.ndarray
-    exact: frozenset[int]  # places of exact words and of the space before each
-    firsts: frozenset[int]  # of exact words
-    lasts: frozenset[int]
-    solid: frozenset[int]  # places of the words before them
+    pattern: regex.Pattern
 
 
 def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT, exact: tuple[str, ...] = ()) -> Notice:
     k = len(text) // chars_per_edit
-    words, at, firsts, lasts, still, solid = text.split(" "), 0, set(), set(), set(), set()
-    for i, w in enumerate(words):
-        if w in exact:
-            firsts.add(at)
-            lasts.add(at + len(w) - 1)
-            still |= set(range(max(0, at - 1), at + len(w)))
-            solid |= set(range(at - 1 - len(words[i - 1]), at - 1)) if i else set()
-        at += len(w) + 1
     cuts = [round(i * len(text) / (k + 1)) for i in range(k + 2)]
     pieces = tuple((a, text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return Notice(label, len(text), k, pieces, code_points(text), *map(frozenset, (still, firsts, lasts, solid - still)))
-
-
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4")
-
-
-def best_ends(n: Notice, chars: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """For each end from lo to hi, the least rank of the spans of chars[lo:hi] that end there."""
-    here = chars[lo:hi]
-    inserted = np.arange(hi - lo + 1, dtype=np.int64) * _EDIT
-    row = np.arange(lo, hi + 1, dtype=np.int64)
-    if n.exact:
-        space = here == ord(" ")
-        solid = inserted.copy()
-        solid[1:] += np.cumsum(space) * _WALL
-        inside = np.ones(hi - lo + 1, bool)  # not at an end of a word
-        inside[1:] &= ~space
-        inside[:-1] &= ~space
-        inside[0] &= lo > 0 and chars[lo - 1] != ord(" ")
-        inside[-1] &= hi < len(chars) and chars[hi] != ord(" ")
-    for i, c in enumerate(n.chars):
-        if i in n.exact:
-            best = np.full(len(row), _NEVER)
-            if i in n.firsts:
-                row = np.where(inside, _NEVER, row)
-            best[1:] = np.where(here == c, row[:-1], _NEVER)
-            if i in n.lasts:
-                best[inside] = _NEVER
-                best = np.minimum.accumulate(best - inserted) + inserted
-            row = best
-            continue
-        steps, other = (solid, np.where(space, _NEVER, _EDIT)) if i in n.solid else (inserted, _EDIT)
-        best = row + _EDIT
-        np.minimum(best[1:], row[:-1] + np.where(here == c, 0, other), out=best[1:])
-        row = np.minimum(np.minimum.accumulate(best - steps) + steps, _NEVER)
-    return row
-
-
-def spans_in(n: Notice, chars: np.ndarray, begin: int, end: int) -> list[tuple[int, int, int]]:
-    """Start, end and edits of the spans of an area taken one by one, each the best (fewest edits, then least start and end) that overlaps none before it."""
-    reach, limit = n.size + n.edits, (n.edits + 1) * _EDIT
-    queue: list[tuple[int, int]] = []
-    for at in range(begin, end, _BLOCK):
-        lo = max(begin, at - reach)
-        ranks = best_ends(n, chars, lo, min(at + _BLOCK, end))
-        queue += ((int(ranks[i]), lo + int(i)) for i in np.flatnonzero(ranks < limit) if lo + i > at)
-    heapify(queue)
-    starts: list[int] = []
-    ends: list[int] = []
-    edits: list[int] = []
-    behind: dict[int, np.ndarray] = {}
-    while queue:
-        rank, e = heappop(queue)
-        i = bisect_left(ends, e)
-        if i < len(ends) and starts[i] < e:
-            continue
-        lo = ends[i - 1] if i else begin
-        if rank % _EDIT >= lo:
-            starts.insert(i, rank % _EDIT)
-            ends.insert(i, e)
-            edits.insert(i, rank // _EDIT)
-        elif e - lo >= n.size - n.edits:  # its best span is in part taken: the best of the rest takes its place
-            if lo not in behind:
-                behind[lo] = best_ends(n, chars, lo, min(lo + reach, end))
-            if behind[lo][e - lo] < limit:
-                heappush(queue, (int(behind[lo][e - lo]), e))
-    return list(zip(starts, ends, edits, strict=True))
+    words, found, loose = text.split(" "), [], ""
+    for i, w in enumerate(words):
+        w = w if i == 0 else f" {w}"
+        if words[i] in exact:
+            found += _loosely(loose, k) + [regex.escape(w) + "(?![^ ])"]
+            loose = ""
+        elif i + 1 < len(words) and words[i + 1] in exact:  # no edit parts it from the next
+            found += _loosely(loose + w[: -len(words[i])], k) + [f"(?:{regex.escape(words[i])}){{e<={k}:[^ ]}}"]
+            loose = ""
+        else:
+            loose += w
+    return Notice(label, len(text), k, pieces, regex.compile("(?b)" + "".join(found + _loosely(loose, k))))
+
+
+def _loosely(text: str, k: int) -> list[str]:
+    return [f"(?:{regex.escape(text)}){{e<={k}}}"] if text else []
 
 
 class Find(NamedTuple):
@@ -153,28 +82,39 @@ class Find(NamedTuple):
 
 
 def find_notices(folded: str, notices: list[Notice]) -> list[Find]:
-    """Best non-overlapping finds of each notice in a folded text, in order of place."""
+    """Finds of each notice in a folded text, in order of place: of its spans of whole words within the bound those of fewest edits, then least start and end, none overlapping another."""
     out: list[Find] = []
-    chars = None
+    starts: list[int] = []
+    ends: list[int] = []
     for n in notices:
-        areas: list[list[int]] = []
+        candidates = set()
         for offset, piece in n.pieces:
             at = folded.find(piece)
             while at >= 0:
-                begin = max(0, at - offset - n.edits)
-                areas.append([begin, at - offset + n.size + n.edits])
+                if not starts:
+                    ends = [i for i, c in enumerate(folded) if c == " "] + [len(folded)]
+                    starts = [0, *(e + 1 for e in ends[:-1])]
+                first = at - offset
+                for i in range(bisect_left(starts, first - n.edits), len(starts)):
+                    a = starts[i]
+                    if a > first + n.edits:
+                        break
+                    for j in range(bisect_left(ends, a + n.size - n.edits), len(ends)):
+                        if ends[j] > a + n.size + n.edits:
+                            break
+                        candidates.add((a, ends[j]))
                 at = folded.find(piece, at + 1)
-        areas.sort()
-        merged: list[list[int]] = []
-        for a in areas:
-            if merged and a[0] <= merged[-1][1]:
-                merged[-1][1] = max(a[1], merged[-1][1])
-            else:
-                merged.append(a)
-        if merged and chars is None:
-            chars = code_points(folded)
-        for begin, end in merged:
-            out += (Find(a, b, n.label, edits, 1 - edits / n.size) for a, b, edits in spans_in(n, chars, begin, min(end, len(folded))))
+        spans = []
+        for a, b in candidates:
+            m = n.pattern.fullmatch(folded, a, b)
+            if m and sum(m.fuzzy_counts) <= n.edits:
+                spans.append((sum(m.fuzzy_counts), a, b))
+        taken: list[tuple[int, int]] = []
+        for edits, a, b in sorted(spans):
+            i = bisect_left(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                taken.insert(i, (a, b))
+                out.append(Find(a, b, n.label, edits, 1 - edits / n.size))
     return sorted(out)
 
 
@@ -216,7 +156,7 @@ def scan_licences(docs: DataFrame, notices=NOTICES, chars_per_edit: int = CHARS_
         known = [notice(t, label, chars_per_edit, still) for t, label, still in sought]
         for batch in batches:
             rows = []
-            for t in utf8(batch[text]):
+            for t in (t for _, texts in parts(batch, text) for t in texts):
                 folded = fold(t)
                 n_base, first, last, base = base_places(folded)
                 finds = find_notices(folded.decode("utf-8", "replace"), known)
