@@ -143,3 +143,12 @@ class WordIndex:
             self._sums[seed] = sums
         sums, a, b = self._sums[seed], self._edges[start], self._edges[start + k]
         return mix((sums[b] - sums[a]) * powers.down[a])
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 3) -> np.ndarray:
+    """64-bit hashes of byte runs: of a run's bytes and length alone."""
+    powers = _HASHES.setdefault(seed, _Powers(seed))
+    powers.reach(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(powers.table[data] * powers.up[: len(data)], out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * powers.down[start] + size.astype(np.uint64))
