@@ -3,7 +3,7 @@
 A shard is one row of a Parquet table, so Spark's own commit protocol, any store and lost executors are taken care
 of. Its columns are the file format:
 
-* shard, base: its number and how many ids all shards before it hold;
+* shard, n_ids: its number and how many ids it holds; low, high: its smallest and greatest doc_id;
 * payload: ids of its documents one after the other, raw little-endian unsigned 32-bit integers;
 * keys: its document keys in order, raw 64-bit integers; for scans and re-builds only;
 * displace, prints, begins, counts: the index. A key's slot is found from one displacement word; the slot's stored
@@ -14,26 +14,39 @@ A look-up of one key reads one displacement, one fingerprint and one slice, what
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trussline.llm.common import text_bytes
+from trussline.llm.bytetext import parts, span_hashes
+from trussline.llm.common import cut, text_bytes
 
 MASK = (1 << 64) - 1
 #: Text bytes that a shard is made for, least and most; documents are never split.
 SHARD_BYTES = (4 << 20, 64 << 20)
 #: Shards whose 16-byte bases are broadcast; more (some 100 TB of text) are joined without.
 MAX_BROADCAST_SHARDS = 2_000_000
-#: Words whose ids a worker remembers, about 160 bytes each; beyond that it forgets the later half.
-MEMO_WORDS = 600_000
-_MARKS = ".,!?;:#$%&*|"
+#: Pieces of text whose ids a worker remembers, about 50 bytes each; beyond that it forgets the later half. Longer pieces than MAX_PIECE bytes aren't remembered.
+MEMO_WORDS, MAX_PIECE = 600_000, 256
+
+
+def _bytes_of(wanted: str) -> np.ndarray:
+    flags = np.zeros(256, bool)
+    flags[list(wanted.encode())] = True
+    return flags
+
+
+_SPACE, _SOLID = _bytes_of(" \t\n\x0b\x0c\r"), _bytes_of("".join(map(chr, range(0x21, 0x7F))))
+_LETTER, _MARK = _bytes_of(string.ascii_letters), _bytes_of(string.punctuation.replace("'", ""))
 
 
 def _scramble(x: np.ndarray, seed: int) -> np.ndarray:
@@ -95,12 +108,109 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return _scramble(keys, 3).astype(np.uint32)
 
 
+class _Memo:
+    """Ids of pieces by 64-bit hash: an open-addressed table of arrays, 50 bytes or so a piece."""
+
+    def __init__(self, limit: int):
+        self.limit, self.n, self.used = limit, 0, 0
+        self.mask = np.uint64((1 << (2 * limit).bit_length()) - 1)
+        self.ends, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.place = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash (never 0), -1 where it isn't known."""
+        out, still, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & self.mask
+        while len(still):
+            held = self.keys[slot]
+            hit = held == h[still]
+            out[still[hit]] = self.place[slot[hit]]
+            more = ~hit & (held != 0)
+            still, slot = still[more], slot[more] + np.uint64(1) & self.mask
+        return out
+
+    def _insert(self, h: np.ndarray, number: np.ndarray) -> None:
+        slot = h & self.mask
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            mine = free & (self.keys[slot] == h)
+            self.place[slot[mine]] = number[mine]
+            h, number, slot = h[~mine], number[~mine], slot[~mine] + np.uint64(1) & self.mask
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """New distinct hashes and their ids."""
+        self._insert(h, np.arange(self.n, self.n + len(h)))
+        ends = self.used + np.cumsum([len(x) for x in ids])
+        self.ends, self.ids = _grown(self.ends, self.n + len(h)), _grown(self.ids, int(ends[-1]))
+        self.ends[self.n : self.n + len(h)] = ends
+        self.ids[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - self.used)
+        self.n, self.used = self.n + len(h), int(ends[-1])
+
+    def trim(self) -> None:
+        """Beyond the limit the later half is forgotten: what came first is mostly what comes often."""
+        if self.n > self.limit or self.used > 8 * self.limit:
+            self.n //= 2
+            self.used = int(self.ends[self.n - 1]) if self.n else 0
+            kept = (self.keys != 0) & (self.place < self.n)
+            keys, place = self.keys[kept], self.place[kept]
+            self._clear()
+            self._insert(keys, place)
+            self.ends, self.ids = self.ends[: self.n].copy(), self.ids[: self.used].copy()
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and the number of each piece's."""
+        end = self.ends[number]
+        begin = np.where(number > 0, self.ends[number - 1], 0)
+        counts = end - begin
+        at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return self.ids[at], counts
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) >= n else np.concatenate((x, np.zeros(max(n, len(x) + len(x) // 2) - len(x), x.dtype)))
+
+
+def piece_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where a byte-level tokenizer that splits by the common expression has a token boundary, whatever stands around it.
+
+    These are: before white space that follows none, after a single newline inside words, and between a Latin letter and an ASCII mark other than
+    an apostrophe. `first` are the starts of texts. Next to white space beyond ASCII there is no cut.
+    """
+    mark = np.zeros(len(data) + 1, bool)
+    mark[first] = True
+    at = np.flatnonzero(_SPACE[data])
+    at = at[at > 2]
+    last, second, third = data[at - 1], data[at - 2], data[at - 3]
+    wide = (second == 0xC2) | (third >= 0xE1) & (third <= 0xE3) & ((second == 0x80) | (second == 0x81) | (second == 0x9A))
+    mark[at[_SOLID[last] | (last >= 0x80) & ~wide]] = True
+    at = np.flatnonzero(data[: max(0, len(data) - 1)] == 0x0A)
+    at = at[at > 0]
+    mark[at[_SOLID[data[at - 1]] & _SOLID[data[at + 1]]] + 1] = True
+    at = np.flatnonzero(_MARK[data])
+    at = at[at > 1]
+    last = data[at - 1]
+    mark[at[_LETTER[last] | (data[at - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]] = True  # 0xC3: U+00C0 to U+00FF, less two signs
+    return np.flatnonzero(mark[:-1])
+
+
+def splits_by_words(path: str) -> bool:
+    """Whether a tokenizer file is a byte-level one of the kind that `piece_starts` is about."""
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    before = kind.get("pre_tokenizer") or {}
+    plain = not kind.get("normalizer") and not kind.get("truncation") and not kind.get("padding") and not kind["model"].get("dropout")
+    return plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+
+
 class Encoder:
-    """Ids of whole texts as raw bytes. Space-separated pieces are encoded once and remembered.
+    """Ids of whole texts as raw bytes.
 
-    A byte-level tokenizer never joins a non-space character with a following space and non-space, so a text may be
-    encoded piece by piece where pieces neither begin nor end with white space; other texts are encoded whole. New pieces are encoded
-    many at a time, as one text: a piece begins where a token begins with the space before it.
+    With a byte-level tokenizer texts are cut where tokens always end (`piece_starts`), and a distinct piece is encoded once and remembered: all
+    lookups and the laying out of ids are array work on many texts at a time. Texts with an added token or a piece of over MAX_PIECE bytes, and all
+    texts of tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int, memo_words: int = MEMO_WORDS):
@@ -109,77 +219,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo_words = memo_words
+        self.by_piece = splits_by_words(path)
+        self.memo = _Memo(memo_words if self.by_piece else 1)
         self.end = np.array([end_id], np.uint32).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """A letter and a following mark are never joined either, so a word before marks is learned without them."""
-        if len(self.rest) > self.memo_words:  # what came first is mostly what comes often
-            self.rest = dict(islice(self.rest.items(), self.memo_words // 2))
-        new = [p for p in pieces - self.rest.keys() if p and not p[0].isspace() and not p[-1].isspace()]
-        plain, marked = [], []
-        for p in new:
-            core = p.rstrip(_MARKS)
-            if len(core) == len(p) or not core or not core[-1].isalpha():
-                plain.append(p)
-            else:
-                marked.append((p, core))
-        plain += {core for _, core in marked}.difference(self.rest, plain)
-        runs = [plain[a : a + 512] for a in range(0, len(plain), 512)]
-        for run, ids in zip(runs, self._ids(["".join([f" {p}" for p in run]) for run in runs]), strict=True):
-            starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
-            raw = ids.tobytes()
-            self.rest.update(zip(run, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
-        for p, core in marked:
-            tail = p[len(core) :]
-            if tail not in self.tails:
-                self.tails[tail] = self._ids([tail])[0].tobytes()
-            self.rest[p] = self.rest[core] + self.tails[tail]
-        if len(self.tails) > self.memo_words // 8:
-            self.tails.clear()
-
-    def _learn_first(self, pieces: set[str]) -> None:
-        if len(self.first) > self.memo_words // 8:
-            self.first.clear()
-        new = [p for p in pieces - self.first.keys() if p and not p[-1].isspace()]
-        self.first.update(zip(new, [x.tobytes() for x in self._ids(new)], strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if not any(m in t for m in self.marks) else [""] for t in texts]
-        pieces: set[str] = set()
-        for s in split:
-            pieces.update(s[1:])
-        self._learn_first({s[0] for s in split})
-        self._learn(pieces)
-        out: list[bytes] = []
-        for t, s in zip(texts, split, strict=True):
-            try:
-                out.append(self.first[s[0]] + b"".join(map(self.rest.__getitem__, s[1:])) + self.end)
-            except KeyError:
-                out.append(self._ids([t])[0].tobytes() + self.end)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece. Those of one space and no white space at the end are encoded many at a time: in such a run a piece begins where a token begins with a space."""
+        out: list[list[int]] = [[]] * len(pieces)
+        usual = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and p.count(" ") == 1]
+        runs = [usual[a : a + 256] for a in range(0, len(usual), 256)]
+        rest = sorted(set(range(len(pieces))).difference(usual))
+        for run, ids in zip(runs, self._ids(["".join([pieces[i] for i in run]) for run in runs]), strict=True):
+            starts = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(starts) != len(run):
+                rest += run
+                continue
+            for i, a, b in zip(run, starts, [*starts[1:], len(ids)], strict=True):
+                out[i] = ids[a:b]
+        for i, ids in zip(rest, self._ids([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
-
-_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
-_SHARD = "shard int, n_ids long, payload binary, keys binary, displace binary, prints binary, begins binary, counts binary"
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        whole = np.array([not self.by_piece or any(m in t for m in self.marks) for t in texts], bool)
+        laid = b"".join([b"" if w else t for t, w in zip(texts, whole.tolist(), strict=True)])
+        ends = np.cumsum([0 if w else len(t) for t, w in zip(texts, whole.tolist(), strict=True)])
+        starts = piece_starts(np.frombuffer(laid, np.uint8), np.concatenate(([0], ends[:-1])))
+        sizes = np.diff(np.append(starts, len(laid)))
+        of = np.searchsorted(starts, np.concatenate(([0], ends)))  # pieces of text i: of[i] to of[i + 1]
+        short = sizes <= MAX_PIECE
+        long_before = np.concatenate(([0], np.cumsum(~short)))
+        whole |= long_before[of[1:]] > long_before[of[:-1]]
+        self.memo.trim()
+        h = span_hashes(np.frombuffer(laid, np.uint8), starts, sizes) | np.uint64(1)
+        number = self.memo.find(h)
+        new = np.flatnonzero((number < 0) & short)
+        if len(new):
+            distinct, where = np.unique(h[new], return_index=True)
+            pieces = [laid[a : a + n].decode("utf-8", "replace") for a, n in zip(starts[new[where]].tolist(), sizes[new[where]].tolist(), strict=True)]
+            self.memo.add(distinct, self._new_ids(pieces))
+            number[new] = self.memo.find(h[new])
+        ids, counts = self.memo.gather(number[short])
+        spread = np.zeros(len(sizes), np.int64)
+        spread[short] = counts
+        bounds = np.concatenate(([0], np.cumsum(spread)))[of].tolist()
+        rest = iter(self._ids([t.decode("utf-8", "replace") for t, w in zip(texts, whole.tolist(), strict=True) if w]))
+        return [(np.array(next(rest), np.uint32) if w else ids[bounds[i] : bounds[i + 1]]).tobytes() + self.end for i, w in enumerate(whole.tolist())]
+
+
+@lru_cache(1)
+def _encoder(path: str, end_id: int, memo_words: int) -> Encoder:
+    """One for each worker, kept from task to task. It is found through this module: what a task's function holds itself is sent, and made, anew with each task."""
+    return Encoder(path, end_id, memo_words)
+
+
+_SHARD = "shard int, n_ids long, low long, high long, payload binary, keys binary, displace binary, prints binary, begins binary, counts binary"
 
 
 def _shards(path: str, end_id: int, memo_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how = (path, end_id, memo_words)
-        encode = _ENCODERS.get(how) or _ENCODERS.setdefault(how, Encoder(*how))
+        encode = _encoder(path, end_id, memo_words)
         keys: list[int] = []
         ids: list[bytes] = []
-        shard = None
+        shard = last = None
+        times = 0
 
         def flush() -> pa.RecordBatch:
             key = np.array(keys, np.int64)
@@ -188,20 +298,19 @@ def _shards(path: str, end_id: int, memo_words: int):
             slot = index.slots(key.view(np.uint64))
             prints, begins, sizes = np.zeros(len(key), np.uint32), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
             prints[slot], begins[slot], sizes[slot] = fingerprint(key.view(np.uint64)), np.cumsum(counts) - counts, counts
-            row = (shard, int(counts.sum()), b"".join(ids), key.tobytes(), index.displace.tobytes(), prints.tobytes(), begins.tobytes(), sizes.tobytes())
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+            row = (shard, int(counts.sum()), keys[0], last, b"".join(ids), key.tobytes(), index.displace.tobytes(), prints.tobytes(), begins.tobytes(), sizes.tobytes())
+            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _SHARD.split(", ")])
 
-        for whole in batches:
-            for a in range(0, whole.num_rows, 128):
-                batch = whole.slice(a, 128)
-                texts = [t or "" for t in batch["text"].to_pylist()]
-                for number, key, x in zip(batch["shard"].to_pylist(), batch["key"].to_pylist(), encode(texts), strict=True):
+        for batch in batches:
+            for part, texts in parts(batch):
+                for number, key, x in zip(part["shard"].to_pylist(), part["key"].to_pylist(), encode(texts), strict=True):
                     if shard is not None and number != shard:
                         yield flush()
-                        keys, ids = [], []
-                    shard = number
-                    keys.append(key), ids.append(x)
+                        keys, ids, last = [], [], None
+                    shard, times = number, times + 1 if key == last else 0
+                    last = key
+                    keys.append(repeat_key(key, times) if times else key), ids.append(x)
         if keys:
             yield flush()
 
@@ -222,23 +331,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     n = max(1, size // min(shard_bytes[1], max(shard_bytes[0], size // 4096)))
     sorted_docs = docs.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     keyed = sorted_docs.select(F.spark_partition_id().alias("shard"), F.col("doc_id").alias("key"), "text")
-    keyed.mapInArrow(_distinct_keys, "shard int, key long, text string").mapInArrow(_shards(tokenizer, end_id, memo_words), _SHARD).write.option("compression", "zstd").parquet(path)
-
-
-def _distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Later rows of the same doc_id in a shard get keys of their own."""
-    last, times = None, 0
-    for batch in batches:
-        keys = batch["key"].to_numpy().copy()
-        if last is not None and keys[0] == last or (keys[1:] == keys[:-1]).any():
-            for i, k in enumerate(keys.tolist()):
-                times = times + 1 if k == last else 0
-                last = k
-                if times:
-                    keys[i] = repeat_key(k, times)
-        else:
-            last, times = int(keys[-1]), 0
-        yield pa.RecordBatch.from_arrays([batch["shard"], pa.array(keys, pa.int64()), batch["text"]], ["shard", "key", "text"])
+    keyed.mapInArrow(_shards(tokenizer, end_id, memo_words), _SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def repeat_key(key: int, times: int) -> int:
@@ -263,7 +356,6 @@ class Shard:
 
     def __init__(self, row: dict):
         self.payload = row["payload"]
-        self.keys = np.frombuffer(row["keys"], np.int64)
         self.prints, self.begins, self.counts = (np.frombuffer(row[x], k) for x, k in (("prints", np.uint32), ("begins", np.int64), ("counts", np.int64)))
         self.index = PerfectHash(np.frombuffer(row["displace"], np.uint32), len(self.prints))
 
@@ -294,59 +386,54 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     shards = spark.read.schema(_SHARD).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                there, begins, counts = shard.find(shard.keys)
-                if not there.all() or not (begins == np.cumsum(counts) - counts).all():
-                    raise ValueError(f"shard {row['shard']}: index and payload disagree")
-                view = memoryview(shard.payload)
-                crc = [zlib.crc32(view[4 * b : 4 * (b + c)]) for b, c in zip(begins.tolist(), counts.tolist(), strict=True)]
-                ids, repeat = originals(shard.keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in ((ids, pa.int64()), (begins + row["base"], pa.int64()), (counts, pa.int64()), (crc, pa.int64()), (repeat, pa.int32()))],
-                    [x.split()[0] for x in _READ.split(", ")],
-                )
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+            shard, keys = Shard(row), np.frombuffer(row["keys"], np.int64)
+            there, begins, counts = shard.find(keys)
+            if not there.all() or not (begins == np.cumsum(counts) - counts).all():
+                raise ValueError(f"shard {row['shard']}: index and payload disagree")
+            view = memoryview(shard.payload)
+            crc = [zlib.crc32(view[4 * b : 4 * (b + c)]) for b, c in zip(begins.tolist(), counts.tolist(), strict=True)]
+            ids, repeat = originals(keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in ((ids, pa.int64()), (begins + row["base"], pa.int64()), (counts, pa.int64()), (crc, pa.int64()), (repeat, pa.int32()))],
+                [x.split()[0] for x in _READ.split(", ")],
+            )
 
     bases = with_bases(shards)
     few = shards.select("shard").count() <= MAX_BROADCAST_SHARDS
     return shards.join(F.broadcast(bases) if few else bases, "shard").mapInArrow(run, _READ)
 
 
+#: Wanted keys that are sent to the shards' rows as they are; more are joined, and then the wanted shards' rows are shuffled once.
+MAX_SENT_KEYS = 100_000
+#: Wanted shards that are named in the filter on the files.
+MAX_NAMED_SHARDS = 5_000
+
+
 def look_up(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """Ids of the documents named in keys.doc_id: doc_id, ids (array); keys that no shard holds give no row.
 
-    Shards hold ranges of keys, so each wanted key is sent to the shards whose range holds it.
+    Only the ranges of the shards are read to place the keys, and only wanted shards' rows after that: a file holds one shard, so others are skipped by
+    their statistics. In a shard a key costs one displacement, one fingerprint and one slice of the payload. Of repeated doc_ids a first one is found.
     """
     shards = spark.read.schema(_SHARD).parquet(path)
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ranges = shards.select("shard", "low", "high")  # three numbers a shard, at most MAX_BROADCAST_SHARDS are sent
+    ranges = F.broadcast(ranges) if ranges.count() <= MAX_BROADCAST_SHARDS else ranges
+    # a doc_id whose rows are over two shards starts in the first of them
+    placed = wanted.join(ranges, F.col("doc_id").between(F.col("low"), F.col("high"))).groupBy("doc_id").agg(F.min("shard").alias("shard"))
+    per = cut(placed.groupBy("shard").agg(F.collect_list("doc_id").alias("wanted")))
+    size = per.agg(F.sum(F.size("wanted")).alias("keys"), F.count("*").alias("shards")).first()
+    if size.shards <= MAX_NAMED_SHARDS:
+        shards = shards.where(F.col("shard").isin([r.shard for r in per.select("shard").collect()]))
+    held = shards.join(F.broadcast(per) if (size["keys"] or 0) <= MAX_SENT_KEYS else per, "shard").select("payload", "displace", "prints", "begins", "counts", "wanted")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(k, np.int64) for k in batch["keys"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["shard"], pa.array([int(k[0]) for k in keys], pa.int64())], ["shard", "low"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                shard, asked = Shard(row), np.array(row["wanted"], np.int64)
+                found = [(k, shard.ids(b, c).tolist()) for k, ok, b, c in zip(asked.tolist(), *(x.tolist() for x in shard.find(asked)), strict=True) if ok]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    lows = shards.select("shard", "keys").mapInArrow(ranges, "shard int, low long").orderBy("low").toPandas()  # one row a shard
-    cuts, names = lows["low"].to_numpy(), lows["shard"].to_numpy()
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch["doc_id"].to_numpy()
-            at = np.maximum(np.searchsorted(cuts, wanted, "left") - 1, 0)
-            exact = np.minimum(np.searchsorted(cuts, wanted, "left"), len(cuts) - 1)
-            at = np.where(cuts[exact] == wanted, exact, at)
-            yield pa.RecordBatch.from_arrays([pa.array(names[at], pa.int32()), batch["doc_id"]], ["shard", "doc_id"])
-
-    def fetch(one: pa.Table, wanted: pa.Table) -> pa.Table:
-        out_keys, out_ids = [], []
-        if one.num_rows and wanted.num_rows:
-            shard = Shard(one.to_pylist()[0])
-            keys = wanted["doc_id"].to_numpy()
-            for k, ok, b, c in zip(keys.tolist(), *(x.tolist() for x in shard.find(keys)), strict=True):
-                if ok:
-                    out_keys.append(k), out_ids.append(shard.ids(b, c).tolist())
-        return pa.table({"doc_id": pa.array(out_keys, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64()))})
-
-    if not len(cuts):
-        return spark.createDataFrame([], "doc_id long, ids array<long>")
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().mapInArrow(place, "shard int, doc_id long")
-    return shards.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(fetch, "doc_id long, ids array<long>")
+    return held.mapInArrow(fetch, "doc_id long, ids array<long>")
