@@ -5,6 +5,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,18 @@ def test_repeats_equal_brute_force(spark, k):
     assert got == removed_by_force(rows, k)
 
 
+def test_chunk_is_the_same_in_parts():
+    rows = [(i, " ".join(words(40, i % 9, 30))) for i in range(50)] + [(None, "x " * 60), (60, None), (61, "")]
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+    plan = substring.layout(10**6, 10)
+    whole, cut = substring._Chunk(table, plan), substring._Chunk(table, plan, 200)
+    assert len(cut.cuts) > 5 and len(whole.cuts) == 1
+    hit = np.arange(whole.n + 1) % 13 == 0
+    start = whole.candidates(hit)
+    for x, y in (*zip(whole.anchors(), cut.anchors(), strict=True), (start, cut.candidates(hit)), *zip(whole.full(start), cut.full(start), strict=True)):
+        assert (x == y).all() and len(x)
+
+
 def test_repeats_of_odd_rows(spark):
     rows = substring.repeated_passages(odd(spark)).collect()
     assert len(rows) == 8

@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.llm.bytetext import WordIndex, utf8
+from trussline.llm.bytetext import WordIndex, slices, utf8
 from trussline.llm.common import text_bytes
 
+#: Text bytes whose words are indexed at once, some 70 MB in a task.
+PART = 2 << 20
 _SENT = "chunk long, bucket long, kind int, n int, data binary, more binary"
 _BACK = "chunk long, bucket long, kind int, n int, data binary"
 
@@ -40,42 +42,71 @@ class Layout(NamedTuple):
 
 
 def layout(size: int, window: int) -> Layout:
-    """Chunks of 2 to 64 MB and buckets for 8 to 256 MB of text: about 4096 of each while sizes allow."""
+    """Chunks of 2 to 32 MB and buckets for 8 to 64 MB of text: about 4096 of each while sizes allow."""
     mb = 1 << 20
-    chunk = min(64 * mb, max(2 * mb, size // 4096))
-    bucket = min(256 * mb, max(8 * mb, size // 4096))
+    chunk = min(32 * mb, max(2 * mb, size // 4096))
+    bucket = min(64 * mb, max(8 * mb, size // 4096))
     return Layout(max(16, size // chunk), max(16, size // bucket), window, window // 2)
 
 
 class _Chunk:
-    """The documents of a chunk in an order that each pass repeats."""
+    """The documents of a chunk in an order that each pass repeats.
 
-    def __init__(self, rows: pa.Table, plan: Layout):
+    Words are indexed by slices of whole texts (PART bytes or one text), one at a time; what is kept for the chunk is a few numbers a word.
+    """
+
+    def __init__(self, rows: pa.Table, plan: Layout, part: int = PART):
         ids, texts = rows["doc_id"].to_pylist(), utf8(rows["text"])
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.ids, self.texts, self.plan = [ids[i] for i in order], [texts[i] for i in order], plan
         #: a null id has no order: such a document takes no part in comparison
         self.n_known = sum(i is not None for i in self.ids)
-        self.index = WordIndex(self.texts)
+        self.cuts = list(slices(self.texts, part))
+        self.only = WordIndex(self.texts) if len(self.cuts) == 1 else None
+        bounds = [np.zeros(1, np.int64)]
+        for _, _, index in self._parts():
+            bounds.append(index.bounds[1:] + bounds[-1][-1])
+        #: words of document d: bounds[d] to bounds[d + 1]
+        self.bounds = np.concatenate(bounds)
+        self.n = int(self.bounds[-1])
+
+    def _parts(self):
+        """First document, first word and index of each slice."""
+        word = 0
+        for a, b in self.cuts:
+            index = self.only or WordIndex(self.texts[a:b])
+            yield a, word, index
+            word += index.n
 
     def anchors(self):
         """Rolling windows with the 32 bits sent, their buckets, and whether they are aligned blocks."""
-        start = self.index.windows(self.plan.block)
-        start = start[self.index.doc[start] < self.n_known]
-        h = self.index.hashes(start, self.plan.block)
-        aligned = (start - self.index.bounds[self.index.doc[start]]) % self.plan.block == 0
-        return start, h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) % np.uint64(self.plan.buckets), aligned
+        found = []
+        for a, word, index in self._parts():
+            start = index.windows(self.plan.block)
+            start = start[index.doc[start] + a < self.n_known]
+            h = index.hashes(start, self.plan.block)
+            aligned = (start - index.bounds[index.doc[start]]) % self.plan.block == 0
+            found.append((start + word, h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) % np.uint64(self.plan.buckets), aligned))
+        return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, bool)]
 
     def candidates(self, hit: np.ndarray) -> np.ndarray:
         """Starts of windows that hold a hit; hit: per word, whether a hit starts there."""
-        start = self.index.windows(self.plan.window)
         seen = np.concatenate(([0], np.cumsum(hit)))
+        start = np.concatenate([np.zeros(0, np.int64), *(index.windows(self.plan.window) + word for _, word, index in self._parts())])
         return start[seen[start + self.plan.window - self.plan.block + 1] > seen[start]]
 
+    def doc(self, start: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, start, "right") - 1
+
     def full(self, start: np.ndarray):
-        """Distinct candidate windows: for each start its group; of each group bucket, hash, first document."""
-        h, other = (self.index.hashes(start, self.plan.window, seed) for seed in (1, 2))
-        bucket, doc = other % np.uint64(self.plan.buckets), self.index.doc[start]
+        """Distinct candidate windows (starts ascend): for each start its group; of each group bucket, hash, first document."""
+        hashes = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for _, word, index in self._parts():
+            own = start[np.searchsorted(start, word) : np.searchsorted(start, word + index.n)] - word
+            if len(own):
+                hashes.append(tuple(index.hashes(own, self.plan.window, seed) for seed in (1, 2)))
+        h, other = (np.concatenate(x) for x in zip(*hashes, strict=True))
+        bucket, doc = other % np.uint64(self.plan.buckets), self.doc(start)
         order = np.lexsort((doc, h, bucket))
         h, bucket, doc = h[order], bucket[order], doc[order]
         new = np.ones(len(order), bool)
@@ -153,10 +184,10 @@ def _extend(plan: Layout):
         chunk = _Chunk(docs, plan)
         start, low, bucket, _ = chunk.anchors()
         _, inverse = np.unique(bucket << np.uint64(32) | low, return_inverse=True)
-        hit = np.zeros(chunk.index.n + 1, bool)
+        hit = np.zeros(chunk.n + 1, bool)
         hit[start] = _ordered(back, 0)[inverse]
         start = chunk.candidates(hit)
-        mark = np.zeros(chunk.index.n, bool)
+        mark = np.zeros(chunk.n, bool)
         mark[start] = True
         _, bucket, h, doc = chunk.full(start)
         ids = np.array(chunk.ids[: chunk.n_known] or [0], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
@@ -189,16 +220,16 @@ def _remove(plan: Layout):
         if chunk:
             start = np.flatnonzero(_ordered(back, 1))
             group, _, _, first = chunk.full(start)
-            doc = chunk.index.doc[start]
+            doc = chunk.doc(start)
             known = np.array([*chunk.ids[: chunk.n_known], 0], np.int64)
             earlier = _ordered(back, 0)[group] if len(start) else np.zeros(0, bool)
             gone = start[earlier | (known[doc] > known[first[group]])] if len(start) else start
-            edge = np.zeros(chunk.index.n + 1, np.int64)
+            edge = np.zeros(chunk.n + 1, np.int64)
             np.add.at(edge, gone, 1)
             np.add.at(edge, gone + plan.window, -1)
             covered = np.cumsum(edge[:-1]) > 0
             for i, text in enumerate(chunk.texts):
-                a, b = chunk.index.bounds[i], chunk.index.bounds[i + 1]
+                a, b = chunk.bounds[i], chunk.bounds[i + 1]
                 words, out = text.split(), covered[a:b]
                 if out.any():
                     turn = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0]))))
