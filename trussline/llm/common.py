@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; set to a local one only where none is set (local tests)."""
+    """The folder in spark.checkpoint.dir. Where none is set, a local one in local mode; elsewhere that is an error, as executors wouldn't see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else None
     if not path:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="trussline-")
         spark.sparkContext.setCheckpointDir(path)
     return path
