@@ -68,3 +68,55 @@ def simple_beam(load: Column, length: Column, x: Column, e_mod: Column, inertia:
     moment = load * x / 2 * (length - x)
     deflection = load * x / (24 * e_mod * inertia) * (length * length * length - 2 * length * x * x + x * x * x)
     return shear, moment, deflection
+
+
+def weak_inertia(kind: Column, h: Column, w: Column, t: Column) -> Column:
+    """Second moment of area about the weak axis of box, tube, bar and round sections; others are null."""
+    inner = w - 2 * t
+    hollow = h - 2 * t
+    fourth = h * h * h * h - hollow * hollow * hollow * hollow
+    return (
+        F.when(kind == "box", (h * w * w * w - (h - 2 * t) * inner * inner * inner) / 12).when(kind == "tube", math.pi / 64 * fourth)
+        .when(kind == "bar", h * w * w * w / 12).when(kind == "round", math.pi / 64 * h * h * h * h)
+    )
+
+
+#: How section texts begin, in the order in which they are tried, and which numbers of the text are height, width, web and flange.
+_NUMBER = r"([0-9]*\.?[0-9]+)"
+TEXT_FORMS = (
+    ("box", ("BOX", "BG", "CG"), 4, (1, 2, 3, 4)),
+    ("box", ("SHS",), 2, (1, 1, 2, 2)),
+    ("box", ("URHS", "RHS"), 3, (1, 2, 3, 3)),
+    ("i", ("IG",), 4, (1, 2, 3, 4)),
+    ("tee", ("TG",), 4, (1, 2, 3, 4)),
+    ("tube", ("TUB", "PIPE", "OD"), 2, (1, None, 2, None)),
+)
+PROFILES = ("HEA", "HEB", "HEM", "IPE")
+
+
+def from_text(text: Column, scale: float = 0.001) -> Column:
+    """kind, h, w, t, tf and profile of a section text such as BG200x150x10x12; the first form that fits is taken.
+
+    Numbers are in units of `scale`; a tube's first number is its radius, h its diameter. A rolled profile (IPE200) has kind profile and its name, for a join with a
+    table of profiles; a text of no form has kind null.
+    """
+    out = None
+    for kind, heads, n, places in TEXT_FORMS:
+        pattern = rf"(?i)^(?:{'|'.join(heads)})" + "x".join([_NUMBER] * n)
+        number = [None if p is None else F.regexp_extract(text, pattern, p).try_cast("double") * scale for p in places]
+        if kind == "tube":
+            number[0] = number[0] * 2
+        none = F.lit(None).cast("double")
+        found = F.struct(F.lit(kind).alias("kind"), *((none if v is None else v).alias(c) for c, v in zip(("h", "w", "t", "tf"), number, strict=True)), F.lit(None).cast("string").alias("profile"))
+        out = F.when(text.rlike(pattern), found) if out is None else out.when(text.rlike(pattern), found)
+    rolled = rf"(?i)^(?:{'|'.join(PROFILES)})[0-9]+"
+    empty = [F.lit(None).cast("double").alias(c) for c in ("h", "w", "t", "tf")]
+    out = out.when(text.rlike(rolled), F.struct(F.lit("profile").alias("kind"), *empty, F.upper(F.regexp_extract(text, rolled, 0)).alias("profile")))
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), *empty, F.lit(None).cast("string").alias("profile")))
+
+
+def load_vector(dof: Column, magnitude: Column, angle: Column) -> Column:
+    """Force in global axes: the local direction (nulls as 0) times the magnitude, turned by `angle` about z."""
+    local = F.transform(dof, lambda d: F.coalesce(d, F.lit(0.0)) * magnitude)
+    x, y, z = (F.get(local, F.lit(i)) for i in range(3))
+    return F.array(x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle), z)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.functions.names import extension, fingerprint, stable_text
+from trussline.functions.names import extension, failure_fingerprint
 
 #: Thresholds of the verdict.
 THRESHOLDS = {"rss_per_mb_p95": 20.0, "duration_p95_ms": 60_000.0, "peak_rss_mb": 3200.0, "failure_rate": 0.05, "cpu_fraction": 0.30, "min_samples": 5}
@@ -32,7 +32,7 @@ def conversion_metrics(log: DataFrame) -> DataFrame:
     failed = F.col("status").isin("error", "failed")
     n = F.count("*")
     return jobs.groupBy("source_ext", "target").agg(
-        n.alias("n"), F.count_if(failed).alias("n_failed"), F.count_if(~failed).alias("n_ok"), F.expr("percentile(duration_ms, 0.5)").alias("duration_p50"),
+        n.alias("n"), F.count_if(failed).alias("n_failed"), F.count_if(F.col("status").isin("ok", "done")).alias("n_ok"), F.expr("percentile(duration_ms, 0.5)").alias("duration_p50"),
         F.expr("percentile(duration_ms, 0.95)").alias("duration_p95"), F.max("duration_ms").alias("duration_max"), F.max(F.col("peak_kb") / 1024).alias("peak_rss_mb"),
         F.expr("percentile(peak_kb / 1024 / mb, 0.95) filter (where mb > 0)").alias("rss_per_mb_p95"),
         F.when(F.sum("duration_ms") > 0, F.sum("cpu_ms") / F.sum("duration_ms")).alias("cpu_fraction"), (F.count_if(failed) / n).alias("failure_rate"),
@@ -74,8 +74,87 @@ def run_progress(log: DataFrame, expected: int) -> DataFrame:
 
 def failure_fingerprints(errors: DataFrame) -> DataFrame:
     """Failures that differ only in times, paths and numbers are one: fingerprint, n, first_id."""
-    print_ = fingerprint(F.col("source_ext"), F.col("target"), stable_text(F.col("message")))
-    return errors.groupBy(print_.alias("fingerprint")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    print_ = failure_fingerprint(*(F.col(c) for c in ("source_ext", "target", "message", "traceback")))
+    return errors.groupBy(print_.alias("fingerprint")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min("ts").alias("first_seen"))
+
+
+def open_failures(errors: DataFrame, closed: DataFrame) -> DataFrame:
+    """Fingerprints that closed.fingerprint doesn't hold, with rank: most reproductions first, then by fingerprint."""
+    rows = failure_fingerprints(errors).join(closed.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    # one row a fingerprint: a table of problems, not of jobs
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "fingerprint")))
+
+
+def audit_page(
+    log: DataFrame, user: int | None = None, action: str | None = None, target: str | None = None, statuses: Sequence[str] = (), contains: str | None = None, before_id: int | None = None, limit: int = 100
+) -> DataFrame:
+    """A page of the log, newest first: all filters that are given hold; contains goes by any case; limit is 1 to 500."""
+    for column, value in (("user_id", user), ("action", action), ("target", target)):
+        log = log if value is None else log.where(F.col(column) == value)
+    if statuses:
+        log = log.where(F.col("status").isin(*statuses))
+    if contains:
+        log = log.where(F.contains(F.lower("file_key"), F.lit(contains.lower())))
+    if before_id is not None:
+        log = log.where(F.col("id") < before_id)
+    return log.orderBy(F.desc("id")).limit(min(500, max(1, limit)))
+
+
+def run_jobs(log: DataFrame, statuses: Sequence[str] = ()) -> DataFrame:
+    """Jobs of all runs (or those of some statuses) with rank: their stable order in a run by file, target and id."""
+    jobs = log.where("run_id is not null")
+    jobs = jobs.where(F.col("status").isin(*statuses)) if statuses else jobs
+    return jobs.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy("file_key", "target", "id")))
+
+
+def runs_page(log: DataFrame, limit: int = 20, before: str | None = None) -> DataFrame:
+    """Runs that started before a time, newest first: run_id, started, jobs, job_ms (the summed time of their jobs)."""
+    runs = log.where("run_id is not null").groupBy("run_id").agg(F.min("ts").alias("started"), F.count("*").alias("jobs"), F.sum("duration_ms").alias("job_ms"))
+    runs = runs.where(F.col("started") < F.lit(before).cast("timestamp_ntz")) if before else runs
+    return runs.orderBy(F.desc("started"), "run_id").limit(limit)
+
+
+def users_and_jobs(users: DataFrame, log: DataFrame) -> DataFrame:
+    """user_id, name, jobs, failed of all users, those without a job too, and of jobs whose user is unknown (name null)."""
+    per = log.groupBy("user_id").agg(F.count("*").alias("jobs"), F.count_if(F.col("status").isin("error", "failed")).alias("failed"))
+    return users.join(per, "user_id", "full_outer").select("user_id", "name", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
+#: Fields of a render window.
+RENDER = ("fps_p50", "fps_min", "frame_ms_p50", "frame_ms_p95", "gpu_ms_p50", "draw_calls", "triangles", "long_frames", "frame_count")
+
+
+def render_metrics(log: DataFrame) -> DataFrame:
+    """By file of render windows: medians, extremes and sums, and whether the processor or the graphics card bounds it; empty numbers are none."""
+    rows = log.where("action = 'render' and client_metrics is not null and file_key is not null")
+    rows = rows.select("file_key", *(F.nullif(F.get_json_object("client_metrics", f"$.{c}"), F.lit("")).try_cast("double").alias(c) for c in RENDER))
+    half = {f"{c}_mid": F.expr(f"percentile({c}, 0.5)") for c in ("fps_p50", "frame_ms_p50", "gpu_ms_p50", "draw_calls", "triangles")}
+    out = rows.groupBy("file_key").agg(
+        F.count("*").alias("windows"), *(v.alias(k) for k, v in half.items()), F.min("fps_min").alias("fps_min"), F.expr("percentile(frame_ms_p95, 0.95)").alias("frame_ms_p95"),
+        F.max("draw_calls").alias("draw_calls_max"), F.sum("long_frames").alias("long_frames"), F.sum("frame_count").alias("frames"),
+    )
+    cpu, gpu = F.col("frame_ms_p50_mid"), F.col("gpu_ms_p50_mid")
+    bound = F.when(gpu.isNull() & cpu.isNull(), "unknown").when(cpu.isNull() | (gpu > cpu), "gpu").otherwise("cpu")
+    return out.withColumn("bound", bound)
+
+
+def catalogue_fingerprints(equipment: DataFrame, systems: DataFrame) -> DataFrame:
+    """scope, fingerprint: 16 hex digits that change with any item that isn't archived. equipment: scope, slug, revision, cad_key, archived; systems without cad_key.
+
+    A scope's catalogue is small (its items' names and revisions meet in one row).
+    """
+
+    def digest(items: DataFrame, name: str, *parts: Column) -> DataFrame:
+        live = items.where(~F.col("archived")).groupBy("scope").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slug", F.concat_ws(":", *parts).alias("t")))), lambda x: x["t"]), ",").alias("t"))
+        return live.select("scope", F.md5(F.col("t").cast("binary")).alias(name))
+
+    revision = F.col("revision").cast("string")
+    eq = digest(equipment, "eq", F.col("slug"), revision, F.coalesce("cad_key", F.lit("")))
+    sy = digest(systems, "sy", F.col("slug"), revision)
+    scopes = equipment.select("scope").union(systems.select("scope")).distinct()
+    empty = F.md5(F.lit("").cast("binary"))
+    both = scopes.join(eq, "scope", "left").join(sy, "scope", "left")
+    return both.select("scope", F.substring(F.sha2(F.concat(F.lit("eq:"), F.coalesce("eq", empty), F.lit("|sy:"), F.coalesce("sy", empty)), 256), 1, 16).alias("fingerprint"))
 
 
 def owners(derived: DataFrame, sources: DataFrame) -> DataFrame:

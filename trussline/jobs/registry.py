@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.functions.names import extension, field_category, safe_name
+from trussline.functions.names import extension, field_category, layer_label, public_key, safe_identifier, safe_name, scope_token
 from trussline.functions.sections import area, inertia
-from trussline.jobs import joblog, layout, takeoff  # noqa: F401 - layout registers its own queries
+from trussline.jobs import decks, joblog, layout, modelling, resultstore, steelwork, takeoff  # noqa: F401 - most register their own queries
 from trussline.jobs.catalogue import QUERIES, SQL, query, rounded  # noqa: F401
 from trussline.operators import compare, mesh, results, spatial
 from trussline.sources.fixtures import Tables
@@ -236,10 +236,15 @@ def steps(t: Tables) -> DataFrame:
     return t.view("v_results").groupBy("step").agg(F.count("*").alias("n"), F.countDistinct("elem_id").alias("n_elements"))
 
 
-@query("""select event_type, case when upper(event_type) like 'U%' or upper(event_type) like '%DISP%' then 'displacement' when upper(event_type) like 'RF%' or upper(event_type) like '%REAC%' then 'reaction'
-    when upper(event_type) like 'S%' or upper(event_type) like '%STRESS%' then 'stress' when upper(event_type) like 'E%' or upper(event_type) like '%STRAIN%' then 'strain' else 'other' end as category, count(*) as n from events group by 1, 2""")
+FIELDS = """fields as (select event_id, case event_id % 11 when 0 then 'U_DISP' when 1 then 'rvnoddis' when 2 then 'DEPL' when 3 then 'RF' when 4 then 'RVFORCES' when 5 then 'Sigma' when 6 then 'SIEF_ELGA' when 7 then 'EPSI_NOEU' when 8 then event_type when 9 then 'reaction' else 'S' end as name from events)"""
+
+
+@query(f"""with {FIELDS} select name, case when regexp_matches(upper(name), 'DISP|DEPL|RVNODDIS') then 'displacement' when regexp_matches(upper(name), 'REAC|RF|RVFORCES') then 'reaction'
+    when regexp_matches(upper(name), 'STRESS|SIGMA|SIEF|RVSTRESS') then 'stress' when regexp_matches(upper(name), 'STRAIN|EPSI|EPS') then 'strain' else 'other' end as category, count(*) as n from fields group by 1, 2""")
 def field_categories(t: Tables) -> DataFrame:
-    return t.raw("events").groupBy("event_type", field_category(F.col("event_type")).alias("category")).agg(F.count("*").alias("n"))
+    t.raw("events").createOrReplaceTempView("events")
+    fields = t.spark.sql(f"with {FIELDS} select * from fields")
+    return fields.groupBy("name", field_category(F.col("name")).alias("category")).agg(F.count("*").alias("n"))
 
 
 # ---- spatial ---------------------------------------------------------------------------------------------------------------------------
@@ -378,12 +383,94 @@ def run_progress(t: Tables) -> DataFrame:
     return joblog.run_progress(t.view("v_audit"), 110)
 
 
-@query(r"""select substring(sha256(source_ext || '|' || target || '|' || regexp_replace(regexp_replace(regexp_replace(message, '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}', '<ts>', 'g'), '/tmp/[A-Za-z0-9_./-]+', '<tmp>', 'g'), ':[0-9]+', ':<n>', 'g')), 1, 16) as fingerprint,
-    count(*) as n, min(id) as first_id from v_errors group by 1""")
+STABLE = {}
+for _name, _column in (("message", "trim(message)"), ("frame", "rtrim(list_filter(string_split(traceback, chr(10)), lambda x: trim(x) <> '')[-1])")):
+    _text = f"regexp_replace({_column}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?([+-][0-9]{{2}}:?[0-9]{{2}}|Z)?', '<ts>', 'g')"
+    _text = f"regexp_replace({_text}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', '<date>', 'g')"
+    _text = f"""regexp_replace({_text}, '/(tmp|var/folders)/[^ ''"<>]+', '/tmp/<x>', 'g')"""
+    _text = f"regexp_replace({_text}, '\\b[0-9a-fA-F]{{8,}}\\b', '<hex>', 'g')"
+    _text = f"regexp_replace({_text}, ':[0-9]+', ':<n>', 'g')"
+    STABLE[_name] = f"regexp_replace({_text}, '\\b0x[0-9a-fA-F]+\\b', '<addr>', 'g')"
+PRINTS = f"prints as (select substring(sha256(lower(source_ext) || '|' || lower(target) || '|' || {STABLE['message']} || '|' || {STABLE['frame']}), 1, 16) as fingerprint, id, ts, source_ext from v_errors)"
+
+
+@query(f"with {PRINTS} select fingerprint, count(*) as n, min(id) as first_id, min(ts) as first_seen from prints group by 1")
 def failure_fingerprints(t: Tables) -> DataFrame:
     return joblog.failure_fingerprints(t.view("v_errors"))
 
 
+@query(f"""with {PRINTS}, f as (select fingerprint, count(*) as n, min(id) as first_id, min(ts) as first_seen from prints group by 1)
+    select *, row_number() over (order by n desc, fingerprint) as rank from f where fingerprint not in (select fingerprint from prints where source_ext = 'sat')""")
+def open_failures(t: Tables) -> DataFrame:
+    errors = t.view("v_errors")
+    closed = joblog.failure_fingerprints(errors.where("source_ext = 'sat'"))
+    return joblog.open_failures(errors, closed).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("select id, file_key, target, status from v_audit where action = 'convert' and status in ('error', 'failed') and file_key ilike '%F1%' and id < 900 order by id desc limit 500")
+def audit_page(t: Tables) -> DataFrame:
+    return joblog.audit_page(t.view("v_audit"), action="convert", statuses=("error", "failed"), contains="F1", before_id=900, limit=1000).select("id", "file_key", "target", "status")
+
+
+@query("select run_id, id, row_number() over (partition by run_id order by file_key, target, id) as rank from v_audit where run_id is not null")
+def run_jobs(t: Tables) -> DataFrame:
+    return joblog.run_jobs(t.view("v_audit")).select("run_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("select run_id, id, row_number() over (partition by run_id order by file_key, target, id) as rank from v_audit where run_id is not null and status in ('error', 'failed')")
+def failed_run_jobs(t: Tables) -> DataFrame:
+    return joblog.run_jobs(t.view("v_audit"), ("error", "failed")).select("run_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""select run_id, min(ts) as started, count(*) as jobs, round(sum(duration_ms), 4) as job_ms from v_audit where run_id is not null group by run_id having min(ts) < timestamp '2024-01-20 00:00:00' order by started desc, run_id limit 20""")
+def runs_page(t: Tables) -> DataFrame:
+    return rounded(joblog.runs_page(t.view("v_audit"), 20, "2024-01-20 00:00:00"), 4)
+
+
+@query("""with per as (select user_id, count(*) as jobs, count(*) filter (status in ('error', 'failed')) as failed from v_audit group by 1)
+    select coalesce(c_custkey, user_id) as user_id, c_name as name, coalesce(jobs, 0) as jobs, coalesce(failed, 0) as failed from customer full join per on c_custkey = user_id""")
+def users_and_jobs(t: Tables) -> DataFrame:
+    return joblog.users_and_jobs(t.raw("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")), t.view("v_audit"))
+
+
+def _number(field: str) -> str:
+    return f"try_cast(nullif(json_extract_string(client_metrics, '$.{field}'), '') as double) as {field}"
+
+
+@query(f"""with r as (select file_key, {', '.join(map(_number, joblog.RENDER))} from v_render), m as (select file_key, count(*) as windows, quantile_cont(fps_p50, 0.5) as fps_p50_mid, quantile_cont(frame_ms_p50, 0.5) as frame_ms_p50_mid,
+    quantile_cont(gpu_ms_p50, 0.5) as gpu_ms_p50_mid, quantile_cont(draw_calls, 0.5) as draw_calls_mid, quantile_cont(triangles, 0.5) as triangles_mid, min(fps_min) as fps_min, round(quantile_cont(frame_ms_p95, 0.95), 6) as frame_ms_p95,
+    max(draw_calls) as draw_calls_max, sum(long_frames) as long_frames, sum(frame_count) as frames from r group by 1)
+    select *, case when gpu_ms_p50_mid is null and frame_ms_p50_mid is null then 'unknown' when frame_ms_p50_mid is null or gpu_ms_p50_mid > frame_ms_p50_mid then 'gpu' else 'cpu' end as bound from m""")
+def render_metrics(t: Tables) -> DataFrame:
+    return rounded(joblog.render_metrics(t.view("v_render")))
+
+
+@query("""with e as (select p_brand as scope, md5(coalesce(string_agg('e' || cast(p_partkey as varchar) || ':' || cast(p_size as varchar) || ':' || coalesce(case when p_size % 2 = 0 then p_type end, ''), ',' order by 'e' || cast(p_partkey as varchar)), '')) as eq from part where p_partkey % 10 <> 0 group by 1),
+    s as (select p_brand as scope, md5(string_agg('s' || cast(p_partkey as varchar) || ':' || cast(p_size as varchar), ',' order by 's' || cast(p_partkey as varchar))) as sy from part where p_partkey % 3 = 0 group by 1)
+    select scope, substring(sha256('eq:' || coalesce(eq, md5('')) || '|sy:' || coalesce(sy, md5(''))), 1, 16) as fingerprint from (select distinct p_brand as scope from part) left join e using (scope) left join s using (scope)""")
+def catalogue_fingerprints(t: Tables) -> DataFrame:
+    p = t.raw("part").select(F.col("p_brand").alias("scope"), "p_partkey", F.col("p_size").alias("revision"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("cad_key"))
+    equipment = p.withColumns({"slug": F.concat(F.lit("e"), F.col("p_partkey").cast("string")), "archived": F.col("p_partkey") % 10 == 0})
+    systems = p.withColumns({"slug": F.concat(F.lit("s"), F.col("p_partkey").cast("string")), "archived": F.col("p_partkey") % 3 != 0})
+    return joblog.catalogue_fingerprints(equipment, systems)
+
+
+@query("""with k as (select event_id, case event_id % 4 when 0 then 'corpus:c' || cast(user_id % 3 as varchar) when 1 then 'shared' when 2 then 'user:' || cast(user_id as varchar) else '' end as scope, 'dir/f' || cast(user_id as varchar) || '.stp' as key from events)
+    select event_id, case when scope like 'corpus:%' then scope || '/file-' || substring(sha256(key), 1, 10) when scope <> '' then scope || '/' || key else key end as public_key from k""")
+def public_keys(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_id") % 4 == 0, "corpus").when(F.col("event_id") % 4 == 1, "shared").when(F.col("event_id") % 4 == 2, "user")
+    own = F.when(kind == "corpus", F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"))).otherwise(F.col("user_id").cast("string"))
+    scope = F.when(kind.isNull(), "").otherwise(scope_token(kind, own))
+    key = F.concat(F.lit("dir/f"), F.col("user_id").cast("string"), F.lit(".stp"))
+    return t.raw("events").select("event_id", public_key(scope, key).alias("public_key"))
+
+
+@query("select event_id, case event_id % 3 when 1 then 'top' when 0 then 'mid' else 'bottom' end as layer from events")
+def point_layers(t: Tables) -> DataFrame:
+    height = F.when(F.col("event_id") % 3 == 1, 0.5).when(F.col("event_id") % 3 == 2, -0.5)
+    return t.raw("events").select("event_id", layer_label(height).alias("layer"))
+
+
 @query(r"""select lower(regexp_extract(file_key, '\.([^.]+)$', 1)) as ext, count(*) as n, count(distinct user_id) as users from v_audit group by 1""")
 def file_extensions(t: Tables) -> DataFrame:
     return t.view("v_audit").groupBy(extension(F.col("file_key")).alias("ext")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
@@ -407,9 +494,24 @@ def busiest_users(t: Tables) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).cast("long"))
 
 
-@query("select c_custkey, case when regexp_matches(c_name, '^[0-9]') then '_' else '' end || regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') as safe from customer")
+NAMES = "names as (select c_custkey, case c_custkey % 4 when 0 then '/' || c_name || '/a=b.c' when 1 then '1' || c_name || '.rmed' when 2 then c_name else c_mktsegment || '/x-' || c_name || '.v2.frd' end as name from customer)"
+
+
+def _names(t: Tables) -> DataFrame:
+    t.raw("customer").createOrReplaceTempView("customer")
+    return t.spark.sql(f"with {NAMES} select * from names".replace("varchar", "string"))
+
+
+@query(f"""with {NAMES}, b as (select c_custkey, replace(replace(case when name like '/%' then substring(name, 2) else name end, '/', '_'), '=', '') as n from names)
+    select c_custkey, trim(case when regexp_matches(n, '^[0-9]') then '_' || n else n end) as safe, trim(replace(case when regexp_matches(n, '^[0-9]') then '_' || n else n end, '.', '_')) as no_dot from b""")
 def safe_names(t: Tables) -> DataFrame:
-    return t.raw("customer").select("c_custkey", safe_name(F.col("c_name")).alias("safe"))
+    return _names(t).select("c_custkey", safe_name(F.col("name")).alias("safe"), safe_name(F.col("name"), True).alias("no_dot"))
+
+
+@query(f"""with {NAMES}, b as (select c_custkey, regexp_replace(regexp_replace(regexp_replace(name, '^.*/', ''), '(.)[.][^.]*$', '\\1'), '[^A-Za-z0-9_]', '_', 'g') as n from names)
+    select c_custkey, case when n = '' then 'case' when regexp_matches(n, '^[0-9]') then '_' || n else n end as identifier from b""")
+def safe_identifiers(t: Tables) -> DataFrame:
+    return _names(t).select("c_custkey", safe_identifier(F.col("name")).alias("identifier"))
 
 
 # ---- streams ---------------------------------------------------------------------------------------------------------------------------

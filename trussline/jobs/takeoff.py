@@ -104,3 +104,12 @@ def joint_items(parts: DataFrame) -> DataFrame:
 
 def joints_by_type(items: DataFrame) -> DataFrame:
     return items.groupBy("slug").agg(F.count("*").alias("n"))
+
+
+def statistics(things: DataFrame) -> DataFrame:
+    """By kind, and of all (kind null): n, mass, the mass-weighted centre (only where each thing has a mass) and the volume-weighted one. things: kind, mass, volume, x, y, z."""
+    total, volume = F.sum("mass"), F.sum("volume")
+    sums = [F.count("*").alias("n"), total.alias("mass")]
+    sums += [F.when(F.every(F.col("mass").isNotNull()) & (total > 0), F.sum(F.col("mass") * F.col(c)) / total).alias(f"cog_{c}") for c in "xyz"]
+    sums += [F.when(volume > 0, F.sum(F.col("volume") * F.col(c)) / volume).alias(f"vol_{c}") for c in "xyz"]
+    return things.rollup("kind").agg(*sums)

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that in spark.checkpoint.dir, or the context's. A local one is made only in local mode, elsewhere executors wouldn't see it."""
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if not path:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="trussline-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir; a local one is set only where none is."""
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trussline-"))
+    """Written to the shared folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

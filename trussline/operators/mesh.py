@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.functions.geometry import cell, neighbours, point, triangle_area
-from trussline.operators.graph import components
+from trussline.functions.geometry import cell, neighbours, norm
+from trussline.operators.graph import checkpointed, components
 
 POINT_TOL = 1e-4
 
@@ -36,9 +36,27 @@ def in_cylinder(nodes: DataFrame, p: Sequence[float], r: float, h: float, t: flo
     return near.where((away <= r + t) & (away > r))
 
 
-def corners(elements: DataFrame, columns: Sequence[str] = ("n1", "n2", "n3", "n4")) -> DataFrame:
-    """elem_id, seq, node_id: one row a corner, in order."""
-    return elements.select("elem_id", F.posexplode(F.array(*columns)).alias("seq", "node_id"))
+def node_list(elements: DataFrame) -> Column:
+    """The nodes of each element, in order: column nodes where there is one, else n1, n2, ... without the nulls at its end."""
+    return F.col("nodes") if "nodes" in elements.columns else F.array_compact(F.array(*sorted((c for c in elements.columns if c[0] == "n" and c[1:].isdigit()), key=lambda c: int(c[1:]))))
+
+
+def corners(elements: DataFrame) -> DataFrame:
+    """elem_id, seq, node_id: one row a corner, in order, for elements of any number of nodes; nulls are none."""
+    return elements.select("elem_id", F.posexplode(node_list(elements)).alias("seq", "node_id")).where("node_id is not null")
+
+
+def side_list(nodes: Column) -> Column:
+    """Sides (a < b) of closed polygons; a line of two nodes has one side, a point none."""
+    n = F.size(nodes)
+    last = F.when(n > 2, n).otherwise(n - 1)
+    index = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+
+    def side(i: Column) -> Column:
+        p, q = F.get(nodes, i), F.get(nodes, (i + 1) % n)
+        return F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+
+    return F.transform(index, side)
 
 
 def incidence(elements: DataFrame) -> DataFrame:
@@ -56,24 +74,64 @@ def unknown_corners(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     return corners(elements).join(nodes.select("node_id"), "node_id", "left_anti")
 
 
+def placed(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """elements with p, the array of their nodes' (x, y, z) in order. The elements' columns travel with the corners: one shuffle by node, one by element."""
+    rest = [c for c in elements.columns if c != "elem_id"]
+    wide = elements.select("elem_id", F.struct(*rest, F.size(node_list(elements)).alias("__n")).alias("e"), F.posexplode(node_list(elements)).alias("seq", "node_id"))
+    at = wide.join(nodes.select("node_id", "x", "y", "z"), "node_id")
+    found = at.groupBy("elem_id").agg(F.any_value("e").alias("e"), F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("p"))
+    return found.where(F.size("p") == F.col("e.__n")).select("elem_id", *(F.col(f"e.{c}").alias(c) for c in rest), "p")
+
+
+def area_vector(p: Column) -> tuple[Column, Column, Column]:
+    """Half the sum of the cross products of neighbouring corners: its length is a flat polygon's area, its direction the normal."""
+
+    def part(u: str, v: str) -> Column:
+        def add(total: Column, i: Column) -> Column:
+            a, b = F.get(p, i), F.get(p, (i + 1) % F.size(p))
+            return total + (a[u] * b[v] - a[v] * b[u])
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0.0), add) / 2
+
+    return part("y", "z"), part("z", "x"), part("x", "y")
+
+
+def middle(p: Column, c: str) -> Column:
+    return F.aggregate(p, F.lit(0.0), lambda total, q: total + q[c]) / F.size(p)
+
+
 def with_coordinates(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """elements with ax..dz, the coordinates of four corners. One shuffle by node and one by element, whatever the corners."""
-    placed = corners(elements).join(nodes.select("node_id", "x", "y", "z"), "node_id")
-    wide = placed.groupBy("elem_id").agg(*(F.max(F.when(F.col("seq") == i, F.col(c))).alias(f"{k}{c}") for i, k in enumerate("abcd") for c in "xyz"))
-    return elements.join(wide, "elem_id")
+    """elements with ax..dz, the coordinates of the first four corners; a triangle's third corner stands in for the fourth."""
+    at = placed(nodes, elements).where(F.size("p") >= 3)
+    corner = {k: F.coalesce(F.get("p", F.lit(i)), F.get("p", F.lit(2))) for i, k in enumerate("abcd")}
+    return at.select(*elements.columns, *(corner[k][c].alias(f"{k}{c}") for k in "abcd" for c in "xyz"))
 
 
-def quad_area() -> Column:
-    a, b, c, d = (point(f"{k}x", f"{k}y", f"{k}z") for k in "abcd")
-    return triangle_area(a, b, c) + triangle_area(a, c, d)
+def weighed(nodes: DataFrame, elements: DataFrame, density: float = 7850.0) -> DataFrame:
+    """elem_id, family, mass, x, y, z: shells by area and thickness, lines by length and section area a, point masses as given (solids, by elem_type, have none); the middle of the corners.
+
+    Columns thickness, a and point_mass are used where elements have them; an element without its own has no mass (null).
+    """
+    have = {c: F.col(c) if c in elements.columns else F.lit(None).cast("double") for c in ("thickness", "a", "point_mass")}
+    at = placed(nodes, elements)
+    p, n = F.col("p"), F.size("p")
+    length = F.sqrt(sum(((F.get(p, F.lit(1))[c] - F.get(p, F.lit(0))[c]) ** 2 for c in "yz"), (F.get(p, F.lit(1))["x"] - F.get(p, F.lit(0))["x"]) ** 2))
+    shell = norm(area_vector(p))
+    solid = F.col("elem_type").startswith("C3D") if "elem_type" in elements.columns else F.lit(False)
+    family = F.when(solid, "solid").when(n >= 3, "shell").when(n == 2, "line").otherwise("point")
+    mass = F.when(solid, None).when(n >= 3, shell * have["thickness"] * density).when(n == 2, length * have["a"] * density).otherwise(have["point_mass"])
+    return at.select("elem_id", family.alias("family"), mass.alias("mass"), *(middle(p, c).alias(c) for c in "xyz"))
+
+
+def centre(rows: DataFrame, *by: str) -> DataFrame:
+    """Mass and centre of weighed rows; zero mass has no centre."""
+    total = F.sum("mass")
+    return rows.groupBy(*by).agg(total.alias("mass"), *(F.when(total > 0, F.sum(F.col("mass") * F.col(c)) / total).alias(f"cog_{c}") for c in "xyz"))
 
 
 def centre_of_gravity(nodes: DataFrame, elements: DataFrame, density: float = 7850.0) -> DataFrame:
-    """One row: mass and centre of shells; zero mass has no centre."""
-    mass = quad_area() * F.col("thickness") * density
-    rows = with_coordinates(nodes, elements).select(mass.alias("m"), *(((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}") + F.col(f"d{c}")) / 4).alias(c) for c in "xyz"))
-    total = F.sum("m")
-    return rows.agg(total.alias("mass"), *(F.when(total > 0, F.sum(F.col("m") * F.col(c)) / total).alias(f"cog_{c}") for c in "xyz"))
+    """One row: mass and centre of all elements of a model."""
+    return centre(weighed(nodes, elements, density))
 
 
 def coincident_pairs(nodes: DataFrame, tol: float = POINT_TOL) -> DataFrame:
@@ -115,13 +173,11 @@ def insert_nodes(existing: DataFrame, new: DataFrame, tol: float = POINT_TOL) ->
 def renumber(rows: DataFrame, column: str, start: int = 1, blocks: int | None = None) -> DataFrame:
     """Adds new_id: start, start + 1, ... in the order of the integer `column`, which is unique.
 
-    No row passes through one task: ids are cut into ranges, ranges are counted, and each range numbers its own rows from its offset.
+    No row passes through one task: Spark cuts the ids into ranges of like size by a sample, each range counts its rows, and numbers them from its offset.
     """
-    bounds = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n")).first()
-    blocks = blocks or max(1, (bounds.n or 0) // 100_000)
-    width = max(1, ((bounds.hi or 0) - (bounds.lo or 0)) // blocks + 1)
-    ranged = rows.withColumn("__block", F.floor((F.col(column) - F.lit(bounds.lo or 0)) / width).cast("long"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks or max(1, rows.count() // 100_000)
+    ranged = checkpointed(rows.repartitionByRange(blocks, column).withColumn("__block", F.spark_partition_id()))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = ranged.groupBy("__block").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy("__block").orderBy(column))
     return ranged.join(offsets, "__block").withColumn("new_id", F.col("offset") + within + F.lit(start - 1)).drop("__block", "offset")
@@ -133,10 +189,22 @@ def concat_offsets(parts: DataFrame) -> DataFrame:
     return top.select("part", F.coalesce(F.sum("span").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("offset"))
 
 
+def offsets_by_kind(ids: DataFrame) -> DataFrame:
+    """ids (part, kind, id): the offset of each part's ids of a kind (nodes, elements, sections, materials): the sum of earlier parts' greatest id + 1."""
+    top = ids.groupBy("kind", "part").agg((F.max("id") + 1).alias("span"))
+    before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    return top.select("part", "kind", F.coalesce(F.sum("span").over(before), F.lit(0)).cast("long").alias("offset"))
+
+
+def concatenated_sets(members: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Set members (part, set_name, member_id) of all parts in one mesh: names with the part before them, ids with the part's offset."""
+    rows = members.join(offsets.select("part", "offset"), "part")
+    return rows.select(F.concat_ws("_", "part", "set_name").alias("set_name"), (F.col("member_id") + F.col("offset")).cast("long").alias("member_id"))
+
+
 def hanging_nodes(nodes: DataFrame, elements: DataFrame, tol: float = POINT_TOL, size: float = 1.0) -> DataFrame:
     """node_id, a, b: nodes strictly inside an element edge a-b and not its ends. Edges look into the cells they cover."""
-    n = [F.col(f"n{i}") for i in (1, 2, 3, 4)]
-    pairs = F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in zip(n, [*n[1:], n[0]], strict=True)))
+    pairs = side_list(node_list(elements))
     edges = elements.select(F.explode(pairs).alias("e")).select("e.a", "e.b").distinct()
     for k in "ab":
         edges = edges.join(nodes.select(F.col("node_id").alias(k), *(F.col(c).alias(f"{k}{c}") for c in "xyz")), k)
@@ -153,15 +221,13 @@ def hanging_nodes(nodes: DataFrame, elements: DataFrame, tol: float = POINT_TOL,
 
 def boundary_edges(elements: DataFrame) -> DataFrame:
     """a, b of edges that one element alone has."""
-    n = [F.col(f"n{i}") for i in (1, 2, 3, 4)]
-    pairs = F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in zip(n, [*n[1:], n[0]], strict=True)))
+    pairs = side_list(node_list(elements))
     return elements.select(F.explode(pairs).alias("e")).groupBy("e.a", "e.b").agg(F.count("*").alias("n")).where("n = 1").select("a", "b")
 
 
 def edge_components(elements: DataFrame, by: Sequence[str]) -> DataFrame:
     """elem_id, label: elements joined over shared edges within equal values of `by`."""
-    n = [F.col(f"n{i}") for i in (1, 2, 3, 4)]
-    pairs = F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in zip(n, [*n[1:], n[0]], strict=True)))
+    pairs = side_list(node_list(elements))
     edges = elements.select("elem_id", *by, F.explode(pairs).alias("e"))
     first = edges.groupBy("e", *by).agg(F.min("elem_id").alias("a"))
     links = edges.join(first, ["e", *by]).select("a", F.col("elem_id").alias("b")).where("a <> b")

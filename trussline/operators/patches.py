@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions.geometry import cross, dot, minus, norm, point
 from trussline.operators.graph import components
-from trussline.operators.mesh import with_coordinates
+from trussline.operators.mesh import node_list, side_list, with_coordinates
 
 
 def beam_chains(beams: DataFrame, digits: int = 6, angle: float = 1e-4) -> DataFrame:
@@ -37,8 +37,7 @@ def smooth_patches(nodes: DataFrame, elements: DataFrame, by: list[str], degrees
     placed = with_coordinates(nodes, elements)
     normal = cross(minus(point("cx", "cy", "cz"), point("ax", "ay", "az")), minus(point("dx", "dy", "dz"), point("bx", "by", "bz")))
     placed = placed.withColumns({f"n{c}": normal[i] for i, c in enumerate("xyz")})
-    n = [F.col(f"n{i}") for i in (1, 2, 3, 4)]
-    pairs = F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in zip(n, [*n[1:], n[0]], strict=True)))
+    pairs = side_list(node_list(elements))
     sides = placed.select("elem_id", *by, "nx", "ny", "nz", F.explode(pairs).alias("edge"))
     heading = F.struct("elem_id", "nx", "ny", "nz")
     shared = sides.groupBy("edge", *by).agg(F.count("*").alias("n"), F.min(heading).alias("p"), F.max(heading).alias("q")).where("n = 2 and p.elem_id <> q.elem_id")

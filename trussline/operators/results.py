@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trussline.operators.mesh import corners
@@ -59,3 +59,29 @@ def mode_table(modes: DataFrame, cases: Sequence[int], value: str) -> DataFrame:
 def mode_values(modes: DataFrame, value: str) -> DataFrame:
     """mode, case_id, value for all cases, in long form."""
     return modes.groupBy("mode", "case_id").agg(F.max(value).alias("value"))
+
+
+def magnitude(components: Sequence[str]) -> Column:
+    return F.sqrt(sum((F.col(c) * F.col(c) for c in components[1:]), F.col(components[0]) * F.col(components[0])))
+
+
+def ranges_with_magnitude(wide: DataFrame, components: Sequence[str], *by: str) -> DataFrame:
+    """by, component, low, high of each component and of the magnitude of the first three; as `ranges` otherwise."""
+    values = [*((c, F.col(c)) for c in components), ("magnitude", magnitude(components[:3]))]
+    long = wide.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("component"), v.cast("double").alias("value")) for n, v in values))).alias("e")).select(*by, "e.*")
+    finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    return long.groupBy(*by, "component").agg(F.coalesce(F.min(finite), F.lit(0.0)).alias("low"), F.coalesce(F.max(finite), F.lit(0.0)).alias("high"))
+
+
+def deformed(nodes: DataFrame, displacements: DataFrame, components: Sequence[str], scale: float = 1.0) -> DataFrame:
+    """Nodes moved by `scale` times their displacement; nodes without one are left out."""
+    rows = nodes.join(displacements, "node_id")
+    return rows.withColumns({c: F.col(c) + scale * F.col(d) for c, d in zip("xyz", components, strict=True)}).select(*nodes.columns)
+
+
+def shades(wide: DataFrame, components: Sequence[str], by: str) -> DataFrame:
+    """Adds shade: where the magnitude lies between the least (0) and greatest (1) of its step; 0.5 where all are equal."""
+    rows = wide.withColumn("__v", magnitude(components))
+    span = rows.groupBy(by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    shade = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.5)
+    return rows.join(span, by).withColumn("shade", shade).drop("__v", "__lo", "__hi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trussline.functions.geometry import Point, cell, dot, minus, norm, point
-from trussline.operators.spatial import _in_cells
+from trussline.operators.spatial import in_cells
 
 
 def _boxed(segments: DataFrame, grow: float) -> DataFrame:
@@ -68,7 +68,7 @@ def runs_through_boxes(segments: DataFrame, boxes: DataFrame, half: float, own:
     at = at.select("system", "seq", "sample", *((F.col(c) + (F.col(f"{c}2") - F.col(c)) * F.col("sample") / (samples - 1)).alias(c) for c in "xyz"))
     keyed = at.withColumns({f"c{c}": cell(F.col(c), size) for c in "xyz"})
     grown = boxes.select("box_id", *(e for c in "xyz" for e in ((F.col(f"{c}0") - half).alias(f"{c}0"), (F.col(f"{c}1") + half).alias(f"{c}1"))))
-    hits = _in_cells(grown, size).join(keyed, ["cx", "cy", "cz"])
+    hits = in_cells(grown, size).join(keyed, ["cx", "cy", "cz"])
     for c in "xyz":
         hits = hits.where(F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1")))
     if own is not None:
@@ -98,7 +98,7 @@ def self_collisions(segments: DataFrame, half: float, size: float = 2.0) -> Data
 
     Segments meet in the grid cells of their boxes widened by half; a pair is kept in the one cell of their overlap's low corner.
     """
-    boxed = _in_cells(_boxed(segments, half), size)
+    boxed = in_cells(_boxed(segments, half), size)
 
     def side(k: str, seq: str) -> DataFrame:
         coordinates = [f"{c}{e}" for c in "xyz" for e in ("", "2", "0", "1")]
@@ -128,7 +128,7 @@ def plate_contacts(plates: DataFrame, tol: float = 1e-6, size: float = 2.0) -> D
     plates: plate_id, axis (the normal's direction) and box x0..z1, flat along its axis. Touching is judged by boxes, not by solids.
     contact is mid-span, edge or none; a is the plate that is met.
     """
-    held = _in_cells(plates.withColumns({f"{c}0": F.col(f"{c}0") - tol for c in "xyz"} | {f"{c}1": F.col(f"{c}1") + tol for c in "xyz"}), size)
+    held = in_cells(plates.withColumns({f"{c}0": F.col(f"{c}0") - tol for c in "xyz"} | {f"{c}1": F.col(f"{c}1") + tol for c in "xyz"}), size)
     one = held.select(F.col("plate_id").alias("a"), F.col("axis").alias("axis_a"), *(F.col(f"{c}{i}").alias(f"a{c}{i}") for c in "xyz" for i in "01"), "cx", "cy", "cz")
     two = held.select(F.col("plate_id").alias("b"), F.col("axis").alias("axis_b"), *(F.col(f"{c}{i}").alias(f"b{c}{i}") for c in "xyz" for i in "01"), "cx", "cy", "cz")
     pairs = one.join(two, ["cx", "cy", "cz"]).where("a <> b")

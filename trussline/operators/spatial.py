@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trussline.functions.geometry import cell, closest_approach, dot, minus, norm, point
 
 
-def _in_cells(boxes: DataFrame, size: float) -> DataFrame:
+def in_cells(boxes: DataFrame, size: float) -> DataFrame:
+    """A row for each cell that a box touches: cx, cy, cz. The size is meant to be that of the larger boxes."""
     for c in "xyz":
         boxes = boxes.withColumn(f"c{c}", F.explode(F.sequence(cell(F.col(f"{c}0"), size), cell(F.col(f"{c}1"), size))))
     return boxes
@@ -19,8 +20,8 @@ def overlapping_boxes(boxes: DataFrame, size: float = 2.0, least: float = 1e-4,
 
     A pair is kept in the one cell that holds the low corner of its overlap, so no pairs are formed twice and none need be sorted out.
     """
-    one = _in_cells(boxes, size).select(F.col("box_id").alias("a"), *(F.col(f"{c}{i}").alias(f"a{c}{i}") for c in "xyz" for i in "01"), "cx", "cy", "cz")
-    two = _in_cells(boxes, size).select(F.col("box_id").alias("b"), *(F.col(f"{c}{i}").alias(f"b{c}{i}") for c in "xyz" for i in "01"), "cx", "cy", "cz")
+    one = in_cells(boxes, size).select(F.col("box_id").alias("a"), *(F.col(f"{c}{i}").alias(f"a{c}{i}") for c in "xyz" for i in "01"), "cx", "cy", "cz")
+    two = in_cells(boxes, size).select(F.col("box_id").alias("b"), *(F.col(f"{c}{i}").alias(f"b{c}{i}") for c in "xyz" for i in "01"), "cx", "cy", "cz")
     pairs = one.join(two, ["cx", "cy", "cz"]).where("a < b")
     volume = None
     for c in "xyz":
@@ -33,7 +34,7 @@ def overlapping_boxes(boxes: DataFrame, size: float = 2.0, least: float = 1e-4,
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 2.0) -> DataFrame:
     """box_id, node_id of points inside a box, bounds included."""
     keyed = points.select("node_id", "x", "y", "z", *(cell(F.col(c), size).alias(f"c{c}") for c in "xyz"))
-    hits = _in_cells(boxes, size).join(keyed, ["cx", "cy", "cz"])
+    hits = in_cells(boxes, size).join(keyed, ["cx", "cy", "cz"])
     for c in "xyz":
         hits = hits.where(F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1")))
     return hits.select("box_id", "node_id")
@@ -58,7 +59,12 @@ def beam_crossings(beams: DataFrame, gap: float = 0.1, size: float = 5.0) -> Dat
             rows = rows.withColumn(f"c{c}", F.explode(F.sequence(cell(F.col(f"{c}lo") - wide, size), cell(F.col(f"{c}hi") + wide, size))))
         return rows.select(F.col("beam_id").alias(name), *(F.col(f"{c}{i}").alias(f"{name}{c}{i}") for c in "xyz" for i in "12"), "cx", "cy", "cz")
 
-    pairs = side("a", gap).join(side("b", 0.0), ["cx", "cy", "cz"]).where("a < b").drop("cx", "cy", "cz").distinct()
+    # a pair is kept in the one cell that holds the low corner of what the two boxes share
+    shared = F.lit(True)
+    for c in "xyz":
+        low = F.greatest(F.least(f"a{c}1", f"a{c}2") - gap, F.least(f"b{c}1", f"b{c}2"))
+        shared = shared & (cell(low, size) == F.col(f"c{c}"))
+    pairs = side("a", gap).join(side("b", 0.0), ["cx", "cy", "cz"]).where("a < b").where(shared).drop("cx", "cy", "cz")
     p, q = point("ax1", "ay1", "az1"), point("bx1", "by1", "bz1")
     u, v = minus(point("ax2", "ay2", "az2"), p), minus(point("bx2", "by2", "bz2"), q)
     w = minus(p, q)

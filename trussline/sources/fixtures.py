@@ -16,6 +16,14 @@ VIEWS = {
             cast(substring(o_orderpriority, 1, 1) as double) / 1000 as thickness, o_orderpriority as elset,
             case when o_orderkey % 7 = 0 then 'S3' when o_orderkey % 11 = 0 then 'B31' else 'S4' end as elem_type
         from orders where o_orderkey % 50 < 49 and o_orderkey + 51 < (select count(*) from orders)""",
+    "v_mixed": """
+        select o_orderkey as elem_id, case o_orderkey % 5 when 0 then 'S3' when 1 then 'B31' when 2 then 'MASS' when 3 then 'S4' else 'C3D8' end as elem_type, o_orderpriority as elset,
+            o_orderkey as n1, case when o_orderkey % 5 <> 2 then o_orderkey + 1 end as n2, case when o_orderkey % 5 in (0, 3, 4) then o_orderkey + 51 end as n3, case when o_orderkey % 5 in (3, 4) then o_orderkey + 50 end as n4,
+            case when o_orderkey % 5 = 4 then o_orderkey + 100 end as n5, case when o_orderkey % 5 = 4 then o_orderkey + 101 end as n6, case when o_orderkey % 5 = 4 then o_orderkey + 151 end as n7, case when o_orderkey % 5 = 4 then o_orderkey + 150 end as n8,
+            cast(substring(o_orderpriority, 1, 1) as double) / 1000 as thickness, 1e-2 as a, cast(o_orderkey % 17 as double) as point_mass
+        from orders where o_orderkey % 50 < 49 and o_orderkey + 151 < (select count(*) from orders)""",
+    "v_loose": """
+        select o_orderkey as elem_id, o_orderkey as n1, o_orderkey + 1 as n2, o_orderkey + 51 as n3, o_orderkey + 50 as n4 from orders where o_orderkey % 50 < 49""",
     "v_results": """
         select l_orderkey as elem_id, l_linenumber as int_pt, max(year(l_shipdate)) as step, avg(l_quantity) as s1, avg(l_discount) as s2, avg(l_tax) as s3
         from lineitem group by l_orderkey, l_linenumber""",
@@ -54,7 +62,8 @@ VIEWS = {
         from events""",
     "v_errors": """
         select event_id as id, ts, case event_id % 3 when 0 then 'ifc' when 1 then 'step' else 'sat' end as source_ext, case event_id % 2 when 0 then 'glb' else 'obj' end as target,
-            'failed at 2024-01-0' || cast(1 + event_id % 9 as varchar(5)) || 'T10:00:00 in /tmp/job' || cast(event_id as varchar(20)) || '/part.stp:' || cast(event_id % 500 as varchar(5)) || ' code E' || cast(event_id % 6 as varchar(5)) as message
+            'failed at 2024-01-0' || cast(1 + event_id % 9 as varchar(5)) || 'T10:00:00 in /tmp/job' || cast(event_id as varchar(20)) || '/part.stp:' || cast(event_id % 500 as varchar(5)) || ' code E' || cast(event_id % 6 as varchar(5)) || ' id ' || case event_id % 3 when 0 then 'deadbeef01' when 1 then '0123456789abcdef' else '0xFF' end || ' on 2024-02-03' as message,
+            'Traceback (most recent call last):' || chr(10) || '  File "/app/run.py", line ' || cast(event_id as varchar(20)) || chr(10) || 'ValueError: no mesh ' || cast(event_id % 4 as varchar(5)) || ' at 0x7f3e at 10:0' || cast(event_id % 7 as varchar(5)) || '  ' || chr(10) || '  ' as traceback
         from events where event_type = 'error'""",
     "v_segments": """
         select * from (select system, seq, x, y, z, lead(x) over (partition by system order by seq) as x2, lead(y) over (partition by system order by seq) as y2, lead(z) over (partition by system order by seq) as z2
@@ -86,6 +95,36 @@ VIEWS = {
             || ', "first_render_ms": ' || cast(user_id % 60 as varchar(20)) || ', "profile_frames": [{"fn": "draw' || cast(event_id % 13 as varchar(20)) || '", "self_ms": ' || cast(event_id % 17 as varchar(20)) || ', "total_ms": 20}, {"fn": "wasm-function['
             || cast(event_id % 7 as varchar(20)) || ']", "self_ms": ' || cast(event_id % 11 as varchar(20)) || ', "total_ms": ' || cast(event_id % 90 as varchar(20)) || '}]}' as client_metrics
         from events""",
+    "v_render": """
+        select event_id as id, 'render' as action, 'f' || cast(user_id % 40 as varchar(20)) || '.glb' as file_key, '{"fps_p50": ' || cast(event_id % 61 as varchar(20)) || ', "fps_min": ' || cast(event_id % 23 as varchar(20))
+            || case when event_id % 6 = 0 then '' else ', "frame_ms_p50": ' || cast(event_id % 31 as varchar(20)) || ', "frame_ms_p95": ' || cast(event_id % 71 as varchar(20)) end || case when user_id % 3 = 0 then '' else ', "gpu_ms_p50": ' || cast(event_id % 37 as varchar(20)) end
+            || ', "draw_calls": "' || case when event_id % 9 = 0 then '' else cast(event_id % 900 as varchar(20)) end || '", "triangles": ' || cast(event_id % 5000 as varchar(20)) || ', "long_frames": ' || cast(event_id % 5 as varchar(20)) || ', "frame_count": ' || cast(event_id % 300 as varchar(20)) || '}' as client_metrics
+        from events""",
+    "v_history": """
+        select l_returnflag as region, l_suppkey % 5 as instance_id, l_partkey as elem_id, l_suppkey as point_id, l_linenumber as step_id, l_linenumber % 3 + 1 as field_id, l_discount as frame, l_quantity as value from lineitem""",
+    "v_field_vars": "select 1 as field_id, 'U' as name union all select 2, 'S' union all select 3, 'RF'",
+    "v_steps": "select r_regionkey + 1 as step_id, 'step ' || r_name as name from region",
+    "v_instances": "select r_regionkey as instance_id, r_name as name from region",
+    "v_records": """
+        select o_orderkey as record_id, o_orderkey % 4 as case_id, case when o_orderkey % 11 = 0 then null else o_orderkey % 6 end as points_id, case o_orderkey % 5 when 0 then 15 when 1 then 24 when 2 then 25 when 3 then 18 else 24 end as elem_type, 1 + o_orderkey % 3 as n_points from orders""",
+    "v_members": """
+        select p_partkey as beam_id, case p_size % 5 when 0 then 'HP140x8' when 1 then 'L100' when 2 then 'IPE200' when 3 then 'HEB200' else 'TUB300' end as section, p_brand as host, case when p_partkey % 4 = 0 then 'SEC' else 'PRI' end || cast(p_partkey as varchar(20)) as name,
+            cast(p_partkey % 20 as double) as x1, cast(floor(p_partkey / 20) % 20 as double) as y1, cast(p_size % 3 as double) as z1,
+            cast(p_partkey % 20 as double) + case p_partkey % 3 when 0 then 2e0 else 0e0 end as x2, cast(floor(p_partkey / 20) % 20 as double) + case p_partkey % 3 when 1 then 2e0 else 0e0 end as y2,
+            cast(p_size % 3 as double) + case p_partkey % 3 when 2 then 2e0 else 0e0 end as z2, 2e-1 as h, 1e-1 as w, p_size % 5 = 4 as is_round from part""",
+    "v_runs": """
+        select l_orderkey % 50 as run_id, case when l_linenumber % 3 = 0 then 'elbow' when l_linenumber % 3 = 1 then 'straight' else 'beam' end as object_type,
+            case l_suppkey % 5 when 0 then 'IfcPipeSegment' when 1 then 'IfcDuctSegment' when 2 then 'IfcCableSegment' end as segment_class, case when l_suppkey % 2 = 0 then 'OD60' else 'OD80' end as size,
+            cast(l_partkey % 20 as double) as x1, cast(l_suppkey % 10 as double) as y1, cast(l_linenumber as double) as z1, cast(l_partkey % 20 as double) + 3e0 as x2, cast(l_suppkey % 10 as double) as y2, cast(l_linenumber as double) + 4e0 as z2,
+            case when l_suppkey % 7 = 0 then null else 1e-2 end as a, 0e0 as density, 3e-1 as w, 2e-1 as h from lineitem""",
+    "v_measures": """
+        select p_partkey as source_id, fmt, case when p_partkey % 17 = 0 and fmt = 'ifc' then 0e0 when p_partkey % 13 = 0 and fmt = 'step' then 5e0 else 10e0 + p_size / 1e2 end as bbox,
+            case when p_partkey % 17 = 0 and fmt = 'ifc' then 0e0 when p_partkey % 11 = 0 and fmt = 'xml' then 1e0 when fmt = 'xml' then 5e2 else 1e2 + p_size end as area,
+            case when p_partkey % 17 = 0 and fmt = 'ifc' or p_partkey % 19 = 0 and fmt = 'glb' then 0 else 100 + p_size end as tris
+        from part cross join (select 'step' as fmt union all select 'ifc' union all select 'xml' union all select 'glb') f where not (p_partkey % 23 = 0 and fmt = 'step')""",
+    "v_refs": """
+        select o_orderkey as src, 'next' as attr, o_orderkey * 2 + 1 as dst from orders where o_orderkey * 2 + 1 < (select count(*) from orders)
+        union all select o_orderkey, 'other', o_orderkey * 2 + 2 from orders where o_orderkey * 2 + 2 < (select count(*) from orders)""",
     "v_profiles": """
         select event_id as audit_id, 'fn' || cast((event_id + n * 5) % 23 as varchar(20)) as func, cast(event_id * (n + 3) % 1000 as double) / 4 as cumtime, event_id % 10 + n as ncalls
         from events cross join (select 0 as n union all select 1 union all select 2 union all select 3) four""",
