@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.functions.names import extension, field_category, layer_label, public_key, safe_identifier, safe_name, scope_token
+from trussline.functions.names import extension, failure_fingerprint, field_category, layer_label, public_key, safe_identifier, safe_name, scope_token
 from trussline.functions.sections import area, inertia
-from trussline.jobs import decks, joblog, layout, modelling, resultstore, steelwork, takeoff  # noqa: F401 - most register their own queries
+from trussline.jobs import decks, joblog, layout, modelling, parity, resultstore, shapes, steelwork, takeoff  # noqa: F401 - most register their own queries
 from trussline.jobs.catalogue import QUERIES, SQL, query, rounded  # noqa: F401
 from trussline.operators import compare, mesh, results, spatial
 from trussline.sources.fixtures import Tables
@@ -517,12 +515,50 @@ def safe_identifiers(t: Tables) -> DataFrame:
 # ---- streams ---------------------------------------------------------------------------------------------------------------------------
 
 
+def _local(df: DataFrame, column: str = "start") -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
+
+
 @query("select cast(date_trunc('day', ts) as timestamp) as start, event_type, count(*) as n, round(sum(value), 4) as total, min(value) as low, max(value) as high from events group by 1, 2")
 def stream_daily_windows(t: Tables) -> DataFrame:
-    rows = streams.windowed(streams.read_events(t.spark, t.folder))
-    return rounded(streams.run_to_end(rows, f"daily_{uuid.uuid4().hex}", "complete"), 4).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _local(rounded(streams.run_to_end(streams.windowed(streams.read_events(t.spark, t.folder)), ("start", "event_type")), 4))
 
 
 @query("select event_id % 97 as run_id, count(*) filter (value <= 75) as ok, count(*) filter (value > 75) as failed from events group by 1")
 def stream_run_counters(t: Tables) -> DataFrame:
-    return streams.run_to_end(streams.run_counters(streams.read_events(t.spark, t.folder)), f"runs_{uuid.uuid4().hex}", "complete")
+    return streams.run_to_end(streams.run_counters(streams.read_events(t.spark, t.folder)), ("run_id",))
+
+
+@query("""with c as (select event_id % 97 as run_id, count(*) filter (value <= 75) as ok, count(*) filter (value > 75) as failed from events group by 1)
+    select run_id, ok, failed, case when run_id % 13 = 0 then 'aborted' when ok + failed >= 10 + run_id % 2 then 'ended' else 'running' end as state from c""")
+def stream_run_states(t: Tables) -> DataFrame:
+    counters = streams.run_to_end(streams.run_counters(streams.read_events(t.spark, t.folder)), ("run_id",))
+    totals = t.raw("events").select((F.col("event_id") % 97).alias("run_id")).distinct().withColumns({"total": 10 + F.col("run_id") % 2, "aborted": F.col("run_id") % 13 == 0})
+    return streams.run_states(counters, totals).select("run_id", "ok", "failed", "state")
+
+
+@query("select cast(date_trunc('hour', ts) as timestamp) as start, user_id as job_id, count(*) as n, round(avg(value), 4) as mean, round(max(value), 4) as peak from events group by 1, 2")
+def stream_heartbeats(t: Tables) -> DataFrame:
+    samples = streams.read_events(t.spark, t.folder).withColumnRenamed("user_id", "job_id")
+    return _local(rounded(streams.run_to_end(streams.heartbeats(samples), ("start", "job_id")), 4))
+
+
+@query("select event_type as field, round(min(value), 6) as low, round(max(value), 6) as high from events group by 1")
+def stream_field_ranges(t: Tables) -> DataFrame:
+    return rounded(streams.run_to_end(streams.running_ranges(streams.read_events(t.spark, t.folder).withColumnRenamed("event_type", "field")), ("field",)))
+
+
+@query("""with w as (select event_id, 'f' || cast(user_id % 7 as varchar) as file_key, value, unnest(range(0, 7)) as d, date_trunc('day', ts) as day from events)
+    select cast(day - d * interval 1 day as timestamp) as start, file_key, count(*) as n, round(avg(value), 4) as mean, round(max(value), 4) as worst from w group by 1, 2""")
+def stream_rolling_windows(t: Tables) -> DataFrame:
+    rows = streams.read_events(t.spark, t.folder).withColumn("file_key", F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")))
+    return _local(rounded(streams.run_to_end(streams.rolling(rows), ("start", "file_key")), 4))
+
+
+@query("""select substring(sha256('ifc|glb|job :<n> failed|'), 1, 16) as fingerprint, count(*) as n, min(ts) as first_seen from events where event_type = 'error' and event_id % 2 = 0 having count(*) > 0
+    union all select substring(sha256('ifc|glb|other|'), 1, 16), count(*), min(ts) from events where event_type = 'error' and event_id % 2 = 1 having count(*) > 0""")
+def stream_failures(t: Tables) -> DataFrame:
+    rows = streams.read_events(t.spark, t.folder).where("event_type = 'error'")
+    message = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("job :"), F.col("event_id").cast("string"), F.lit(" failed"))).otherwise("other")
+    print_ = failure_fingerprint(F.lit("IFC"), F.lit("glb"), message, F.lit(None).cast("string"))
+    return _local(streams.run_to_end(streams.failure_counts(rows, print_), ("fingerprint",)), "first_seen")

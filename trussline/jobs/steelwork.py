@@ -166,7 +166,7 @@ def buckling_use(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", F.round(used, 6).alias("used"))
 
 
-@query("select event_id, 0 - sin(radians(event_id % 360)) * (event_id % 5) as fx, cos(radians(event_id % 360)) * (event_id % 5) as fy, cast(coalesce(nullif(event_id % 3, 1), 0) * (event_id % 5) as double) as fz from events")
+@query("select event_id, 0 - sin(radians(event_id % 360)) * (event_id % 5) as fx, 0 + cos(radians(event_id % 360)) * (event_id % 5) as fy, cast(coalesce(nullif(event_id % 3, 1), 0) * (event_id % 5) as double) as fz from events")
 def load_vectors(t: Tables) -> DataFrame:
     k = F.col("event_id")
     dof = F.array(F.lit(None).cast("double"), F.lit(1.0), F.nullif((k % 3).cast("double"), F.lit(1.0)))
