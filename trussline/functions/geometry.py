@@ -52,7 +52,8 @@ def closest_approach(products: DataFrame) -> DataFrame:
 
     Needs the dot products uu, uv, vv, uw, vw, where w = p - q.
     """
-    den = products.withColumn("den", F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")).where(F.abs("den") > 1e-12)
+    den = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
+    den = products.withColumn("den", F.when(F.abs(den) > 1e-12, den)).where("den is not null")
     s = (F.col("uv") * F.col("vw") - F.col("vv") * F.col("uw")) / F.col("den")
     t = (F.col("uu") * F.col("vw") - F.col("uv") * F.col("uw")) / F.col("den")
     return den.withColumns({"s": s, "t": t})

@@ -32,10 +32,11 @@ def takeoff_by_section(t: Tables) -> DataFrame:
     return rounded(takeoff.by_section(_weighed(t)))
 
 
-@query("""select 'PL' || cast(cast(round(t * 1000) as bigint) as varchar) as label, n, cast(n as double) as area, round(n * t * 7850.0::double / 1000, 6) as mass
-    from (select round(cast(thickness as double), 6) as t, count(*) as n from v_plates group by 1)""")
+@query("""select 'PL' || cast(cast(round(t * 1000) as bigint) as varchar) as label, n, area, round(area * t * 7850.0::double / 1000, 6) as mass
+    from (select round(cast(thickness as double), 6) as t, count(*) as n, sum((1 + plate_id % 3) * 0.5::double) as area from v_plates group by 1)""")
 def takeoff_plates(t: Tables) -> DataFrame:
-    return rounded(takeoff.plates_by_thickness(t.view("v_plates").withColumn("thickness", F.col("thickness").cast("double"))))
+    plates = t.view("v_plates").withColumns({"thickness": F.col("thickness").cast("double"), "width": (1 + F.col("plate_id") % 3).cast("double"), "height": F.lit(0.5)})
+    return rounded(takeoff.plates_by_thickness(plates.withColumn("area", F.col("width") * F.col("height"))))
 
 
 @query(f"""with {BEAMS} select model_id, round(sum(mass), 4) as mass, round(sum(mass * mx) / sum(mass), 6) as cog_x, round(sum(mass * my) / sum(mass), 6) as cog_y,

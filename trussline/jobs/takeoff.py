@@ -30,12 +30,11 @@ def by_section(weighed: DataFrame) -> DataFrame:
     return weighed.groupBy("section").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.sum("mass").alias("mass"))
 
 
-def plates_by_thickness(plates: DataFrame, plate_area: float = 1.0, density: float = DENSITY) -> DataFrame:
-    """label PL<mm>, n, area, mass."""
-    t = F.round("thickness", 6)
-    rows = plates.groupBy(t.alias("t")).agg(F.count("*").alias("n"))
+def plates_by_thickness(plates: DataFrame, density: float = DENSITY) -> DataFrame:
+    """label PL<mm>, n, area, mass of plates (thickness, area)."""
+    rows = plates.groupBy(F.round("thickness", 6).alias("t")).agg(F.count("*").alias("n"), F.sum("area").alias("area"))
     mm = F.concat(F.lit("PL"), F.round(F.col("t") * 1000).cast("long").cast("string"))
-    return rows.select(mm.alias("label"), "n", (F.col("n") * plate_area).alias("area"), (F.col("n") * plate_area * F.col("t") * density / 1000).alias("mass"))
+    return rows.select(mm.alias("label"), "n", "area", (F.col("area") * F.col("t") * density / 1000).alias("mass"))
 
 
 def centre(weighed: DataFrame, by: str) -> DataFrame:

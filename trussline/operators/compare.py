@@ -11,15 +11,25 @@ Key = Callable[[DataFrame], list[Column]]
 
 
 def by_identity(a: DataFrame, b: DataFrame, key: Sequence[Column], compare: Sequence[str] = ()) -> DataFrame:
-    """key, change: added (in b only), removed, unchanged or, where compared columns differ, modified. Of equal keys the last in order of all columns counts."""
-    def keyed(df: DataFrame) -> DataFrame:
-        rows = df.select(F.concat_ws("|", *(k.cast("string") for k in key)).alias("key"), F.struct(*compare).alias("v") if compare else F.lit(0).alias("v"))
-        return rows.groupBy("key").agg(F.max("v").alias("v"))
+    """key, change: added (in b only), removed, unchanged or, where compared columns differ, modified.
 
-    both = keyed(a).withColumnRenamed("v", "va").withColumn("ina", F.lit(True)).join(keyed(b).withColumnRenamed("v", "vb").withColumn("inb", F.lit(True)), "key", "full_outer")
+    Rows are the same where all parts of the key are, nulls being equal to nulls; key shows them joined by '|'. Of rows with equal keys that with the greatest compared columns counts.
+    """
+    parts = [f"__k{i}" for i in range(len(key))]
+
+    def keyed(df: DataFrame, v: str) -> DataFrame:
+        rows = df.select(*(k.cast("string").alias(p) for k, p in zip(key, parts, strict=True)), F.struct(*compare).alias("v") if compare else F.lit(0).alias("v"))
+        return rows.groupBy(*parts).agg(F.max("v").alias(v), F.lit(True).alias(f"in_{v}"))
+
+    one, two = keyed(a, "va").alias("l"), keyed(b, "vb").alias("r")
+    match = F.lit(True)
+    for p in parts:
+        match = match & F.col(f"l.{p}").eqNullSafe(F.col(f"r.{p}"))
+    both = one.join(two, match, "full_outer")
     same = F.col("va").eqNullSafe(F.col("vb"))
-    change = F.when(F.col("ina").isNull(), "added").when(F.col("inb").isNull(), "removed").when(same, "unchanged").otherwise("modified")
-    return both.select("key", change.alias("change"))
+    change = F.when(F.col("in_va").isNull(), "added").when(F.col("in_vb").isNull(), "removed").when(same, "unchanged").otherwise("modified")
+    shown = F.concat_ws("|", *(F.when(F.col("in_va").isNull(), F.col(f"r.{p}")).otherwise(F.col(f"l.{p}")) for p in parts))
+    return both.select(shown.alias("key"), change.alias("change"))
 
 
 def coverage(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
