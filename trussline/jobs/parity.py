@@ -80,14 +80,14 @@ def objects_by_metadata(t: Tables) -> DataFrame:
     return parity.physical_objects({"beam": beams, "plate": plates, "pipe": pipes}, ("beam", "plate"), metadata={"host": "A", "class": "1"}).select("kind", "guid")
 
 
-@query("""with recursive walk as (select o_orderkey as root, o_orderkey as node, 0 as level from orders where o_orderkey < 20 union select root, dst, level + 1 from walk join v_refs on src = node where level < 3) select root, node, min(level) as level from walk group by 1, 2""")
+@query("""with recursive walk as (select o_orderkey as root, o_orderkey as node, 0 as level from orders union select root, dst, level + 1 from walk join v_refs on src = node where level < 3) select root, node, min(level) as level from walk group by 1, 2""")
 def instances_reached(t: Tables) -> DataFrame:
-    return parity.reached(t.view("v_refs"), t.raw("orders").where("o_orderkey < 20").select(F.col("o_orderkey").alias("id")), 3)
+    return parity.reached(t.view("v_refs"), t.raw("orders").select(F.col("o_orderkey").alias("id")), 3)
 
 
-@query("select dst, src, attr from v_refs where dst % 3 = 0")
+@query("select dst, src, attr from v_refs where dst in (select o_orderkey from orders where o_orderstatus = 'F')")
 def inverse_references(t: Tables) -> DataFrame:
-    return parity.inverse(t.view("v_refs"), t.raw("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")))
+    return parity.inverse(t.view("v_refs"), t.raw("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
 
 
 @query("select p_partkey as id, 'C' || cast(p_partkey % 12 as varchar) as class from part where p_partkey % 12 in (1, 3, 4, 7, 8, 9, 10)")

@@ -24,10 +24,9 @@ def history_of_variable(t: Tables) -> DataFrame:
     return store.history(_store(t), variable="U", step_id=3, instance_id=2)
 
 
-@query(f"select i.name as instance, elem_id, s.name as step, f.name as variable, step_id % 4 as int_pt, frame, value from {JOINED} where f.name = 'S' and step_id % 4 = 1 and elem_id < 100")
+@query(f"select i.name as instance, elem_id, s.name as step, f.name as variable, step_id % 4 as int_pt, frame, value from {JOINED} where f.name = 'S' and step_id % 4 = 1")
 def element_field(t: Tables) -> DataFrame:
-    s = _store(t)
-    return store.element_field(s._replace(elements=s.elements.where("elem_id < 100")), variable="S", int_pt=1)
+    return store.element_field(_store(t), variable="S", int_pt=1)
 
 
 @query(f"select i.name as instance, point_id, s.name as step, f.name as variable, frame, value from {JOINED} where f.name = 'RF' and point_id = 3")

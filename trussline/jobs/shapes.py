@@ -21,15 +21,15 @@ def _polygons(t: Tables) -> DataFrame:
     return rows.groupBy("poly_id").agg(F.any_value("material").alias("material"), F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("p"))
 
 
-@query("select o_orderkey as poly_id, 5 as n_corners, o_orderkey % 5 = 0 as clockwise, o_orderkey % 3 <> 0 as coplanar, o_orderkey % 2 = 0 as reflex from orders where o_orderkey % 6 <> 3")
+@query("select o_orderkey as poly_id, 5 as n_corners, o_orderkey % 5 = 0 as clockwise, o_orderkey % 3 <> 0 as coplanar, o_orderkey % 2 = 0 as reflex from orders")
 def polygon_facts(t: Tables) -> DataFrame:
-    out = shapes.polygon_facts(_polygons(t)).where("poly_id % 6 <> 3")
+    out = shapes.polygon_facts(_polygons(t))
     return out.select("poly_id", "n_corners", "clockwise", "coplanar", "reflex")
 
 
-@query("select o_orderkey as poly_id, case when o_orderkey % 2 = 0 then 5 else 4 end as n from orders where o_orderkey % 3 <> 0")
+@query("select o_orderkey as poly_id, case when o_orderkey % 2 = 0 then 5 else 4 end as n from orders")
 def polygon_corners_kept(t: Tables) -> DataFrame:
-    return shapes.without_collinear(_polygons(t).where("poly_id % 3 <> 0")).select("poly_id", F.size("p").alias("n"))
+    return shapes.without_collinear(_polygons(t)).select("poly_id", F.size("p").alias("n"))
 
 
 @query(f"""with {CORNERS}, e as (select *, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2, coalesce(lead(z) over w, first_value(z) over w) as z2 from placed window w as (partition by poly_id order by seq))

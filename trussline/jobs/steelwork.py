@@ -65,9 +65,9 @@ def beams_on_plates(t: Tables) -> DataFrame:
     return members.on_plates(shifted, plates)
 
 
-@query(f"""with {BOXES} select r.box_id as a, m.beam_id as b from v_boxes r join mb m on m.name like '%SEC%' and least(r.x1, m.bx1) >= greatest(r.x0, m.bx0) and least(r.y1, m.by1) >= greatest(r.y0, m.by0) and least(r.z1, m.bz1) >= greatest(r.z0, m.bz0) where r.box_id % 5 = 0""")
+@query(f"""with {BOXES} select r.box_id as a, m.beam_id as b from v_boxes r join mb m on m.name like '%SEC%' and least(r.x1, m.bx1) >= greatest(r.x0, m.bx0) and least(r.y1, m.by1) >= greatest(r.y0, m.by0) and least(r.z1, m.bz1) >= greatest(r.z0, m.bz0)""")
 def beams_at_openings(t: Tables) -> DataFrame:
-    openings = t.view("v_boxes").where("box_id % 5 = 0").select("box_id", *(F.col(f"{c}{i}").cast("double").alias(f"{c}{i}") for c in "xyz" for i in "01"))
+    openings = t.view("v_boxes").select("box_id", *(F.col(f"{c}{i}").cast("double").alias(f"{c}{i}") for c in "xyz" for i in "01"))
     return members.meeting_boxes(openings, members.boxes(t.view("v_members").where(F.contains("name", F.lit("SEC")))))
 
 

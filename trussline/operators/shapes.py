@@ -26,16 +26,14 @@ def _part(c: str):
 
 
 def polygon_facts(polygons: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """Adds n_corners, area, clockwise (seen from above), coplanar (all corners within tol of the plane of the first three) and reflex (a corner that turns the other way) to polygons with corners p."""
+    """Adds n_corners, area, clockwise (seen from above), coplanar (all corners within tol of the plane through the first one, normal to the area vector) and reflex (a corner that turns the other way) to polygons with corners p."""
     p = F.col("p")
     v = area_vector(p)
-    rows = polygons.withColumns({"n_corners": F.size(p), "area": norm(v), "__up": v[2]})
-    a, b, c = (_at(p, F.lit(i)) for i in range(3))
-    n = cross(minus(b, a), minus(c, a))
-    rows = rows.withColumns({f"__n{k}": x for k, x in zip("xyz", n, strict=True)})
-    plane = (F.col("__nx"), F.col("__ny"), F.col("__nz"))
+    rows = polygons.withColumns({"n_corners": F.size(p), "area": norm(v), "__nx": v[0], "__ny": v[1], "__up": v[2]})
+    a = _at(p, F.lit(0))
+    plane = (F.col("__nx"), F.col("__ny"), F.col("__up"))
     off = F.transform(p, lambda q: F.abs(dot(plane, (q["x"] - a[0], q["y"] - a[1], q["z"] - a[2]))))
-    rows = rows.withColumns({"clockwise": F.col("__up") < 0, "coplanar": F.array_max(off) <= tol * F.greatest(norm(plane), F.lit(1e-12))})
+    rows = rows.withColumns({"clockwise": F.col("__up") < 0, "coplanar": F.array_max(off) <= tol * F.greatest("area", F.lit(1e-12))})
 
     def turn(i: Column) -> Column:
         u, w = minus(_at(p, i), _at(p, i - 1)), minus(_at(p, i + 1), _at(p, i))
@@ -43,7 +41,7 @@ def polygon_facts(polygons: DataFrame, tol: float = 1e-6) -> DataFrame:
 
     turns = F.transform(F.sequence(F.lit(0), F.size(p) - 1), turn)
     rows = rows.withColumn("reflex", F.exists(turns, lambda t: t * F.col("__up") < -1e-9))
-    return rows.drop("__up", "__nx", "__ny", "__nz")
+    return rows.drop("__up", "__nx", "__ny")
 
 
 def without_collinear(polygons: DataFrame, factor: float = 1e-8) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trussline.operators.graph import checkpointed
+
 #: Lines that are carried forward in one task.
 BLOCK = 100_000
 #: Element types whose blocks are no elements, and the number of a card deck's element types.
@@ -46,22 +48,24 @@ def option(text: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?i),\s*{name}\s*=\s*([^,]+)", 1)), F.lit(""))
 
 
-def expanded(lines: DataFrame, rounds: int = 5) -> DataFrame:
-    """Lines of decks with those of files that they include in their place, up to `rounds` levels; an unknown file gives nothing.
+def expanded(lines: DataFrame, levels: int = 20) -> DataFrame:
+    """Lines of decks with those of files that they include in their place; an unknown file, and one deeper than `levels`, gives nothing.
 
-    file is the deck's, line a number of the whole; lines of included files alone (files that some other includes) are left out.
+    file is the deck's, line a number of the whole; lines of included files alone (files that some other includes) are left out. Each level's lines are written once.
     """
     name = F.nullif(F.trim(F.regexp_extract("text", r"(?i)^\*include\s*,\s*input\s*=\s*(.+)$", 1)), F.lit(""))
-    known = lines.withColumn("included", name)
+    known = checkpointed(lines.withColumn("included", name))
     inner = known.select(F.col("included").alias("file")).where("file is not null").distinct()
-    out = known.join(inner, "file", "left_anti").select("file", F.array(F.col("line").cast("long")).alias("at"), "text", "included")
+    rows = checkpointed(known.join(inner, "file", "left_anti").select("file", F.array(F.col("line").cast("long")).alias("at"), "text", "included"))
     parts = known.select(F.col("file").alias("included"), F.col("line").cast("long").alias("sub"), F.col("text").alias("sub_text"), F.col("included").alias("deeper"))
-    for _ in range(rounds):
-        held = out.where("included is null")
-        opened = out.where("included is not null").join(parts, "included").select("file", F.concat("at", F.array("sub")).alias("at"), F.col("sub_text").alias("text"), F.col("deeper").alias("included"))
-        out = held.unionByName(opened)
-    numbered = out.where("included is null")
-    return numbered.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("long").alias("line"), "text")
+    done = rows.where("included is null")
+    for _ in range(levels):
+        rows = rows.where("included is not null")
+        if not rows.head(1):
+            break
+        rows = checkpointed(rows.join(parts, "included").select("file", F.concat("at", F.array("sub")).alias("at"), F.col("sub_text").alias("text"), F.col("deeper").alias("included")))
+        done = done.unionByName(rows.where("included is null"))
+    return done.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("long").alias("line"), "text")
 
 
 def keyword_lines(lines: DataFrame) -> DataFrame:
@@ -78,7 +82,11 @@ def _fields(text: Column) -> Column:
 
 def deck_nodes(lines: DataFrame) -> DataFrame:
     """file, node_id, x, y, z, nset of the *Node blocks; rows of two coordinates have z = 0."""
-    rows = keyword_lines(lines).where("keyword = 'node'").withColumn("f", _fields(F.col("text")))
+    return _nodes(keyword_lines(lines))
+
+
+def _nodes(keyed: DataFrame) -> DataFrame:
+    rows = keyed.where("keyword = 'node'").withColumn("f", _fields(F.col("text")))
     at = {c: F.coalesce(F.get("f", F.lit(i)).try_cast("double"), F.lit(0.0)) for i, c in enumerate("xyz", 1)}
     return rows.where(F.get("f", F.lit(0)).try_cast("long").isNotNull()).select("file", F.get("f", F.lit(0)).try_cast("long").alias("node_id"), *(v.alias(c) for c, v in at.items()), option(F.col("head"), "nset").alias("nset"))
 
@@ -88,7 +96,11 @@ def deck_elements(lines: DataFrame, special: bool = False) -> DataFrame:
 
     Blocks of special types (masses, springs, connectors) are given apart, with special=True.
     """
-    rows = keyword_lines(lines).where("keyword = 'element'").withColumn("type", F.upper(option(F.col("head"), "type")))
+    return _elements(keyword_lines(lines), special)
+
+
+def _elements(keyed: DataFrame, special: bool = False) -> DataFrame:
+    rows = keyed.where("keyword = 'element'").withColumn("type", F.upper(option(F.col("head"), "type")))
     rows = rows.where(F.col("type").isin(*SPECIAL) if special else ~F.col("type").isin(*SPECIAL))
     # a record starts where the line before doesn't end in a comma
     ends = rows.select("file", "start", (F.col("line") + 1).alias("line"), F.rtrim("text").endswith(",").alias("open"))
@@ -105,13 +117,14 @@ def deck_sets(lines: DataFrame) -> DataFrame:
 
     Members that the deck doesn't define are left out. Sets of sets are one level deep.
     """
-    rows = keyword_lines(lines).where("keyword in ('elset', 'nset')")
+    keyed = checkpointed(keyword_lines(lines))
+    rows = keyed.where("keyword in ('elset', 'nset')")
     rows = rows.select("file", F.col("keyword").alias("set_type"), F.coalesce(option(F.col("head"), "elset"), option(F.col("head"), "nset")).alias("set_name"), F.lower("head").rlike(r",\s*generate").alias("ranged"), _fields(F.col("text")).alias("f"))
     bounds = [F.get("f", F.lit(i)).try_cast("long") for i in range(3)]
     spans = rows.where("ranged").select("file", "set_type", "set_name", F.explode(F.sequence(bounds[0], bounds[1], F.coalesce(bounds[2], F.lit(1)))).alias("member_id"))
     named = rows.where("not ranged").select("file", "set_type", "set_name", F.explode("f").alias("m"))
     plain = named.select("file", "set_type", "set_name", F.col("m").try_cast("long").alias("member_id")).where("member_id is not null")
-    elements, nodes = deck_elements(lines), deck_nodes(lines)
+    elements, nodes = checkpointed(_elements(keyed)), _nodes(keyed)
     inline = elements.where("elset is not null").select("file", F.lit("elset").alias("set_type"), F.col("elset").alias("set_name"), F.col("elem_id").alias("member_id"))
     inline = inline.unionByName(nodes.where("nset is not null").select("file", F.lit("nset").alias("set_type"), F.col("nset").alias("set_name"), F.col("node_id").alias("member_id")))
     direct = spans.unionByName(plain).unionByName(inline)
