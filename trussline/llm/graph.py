@@ -16,13 +16,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
+    digest = (F.sum("label").alias("s"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "label")).alias("x"))
+    before = labels.agg(*digest).first()
     while True:
         sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
         own = labels.select("node", "label")
         jumped = own.select(F.col("label").alias("node"), F.col("node").alias("back")).join(labels, "node").select(F.col("back").alias("node"), "label")
-        new = cut(sent.unionByName(own).unionByName(jumped).groupBy("node").agg(F.min("label").alias("label")))
-        changed = new.agg(F.sum("label").alias("s"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "label")).alias("x")).first()
-        before = labels.agg(F.sum("label").alias("s"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "label")).alias("x")).first()
-        labels = new
-        if changed == before:
+        labels = cut(sent.unionByName(own).unionByName(jumped).groupBy("node").agg(F.min("label").alias("label")))
+        now = labels.agg(*digest).first()
+        if now == before:
             return labels
+        before = now
