@@ -9,7 +9,8 @@ word by word.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -48,6 +49,8 @@ class Notice(NamedTuple):
     size: int
     edits: int
     pieces: tuple[tuple[int, str], ...]
+    text: str
+    letters: Counter
     pattern: regex.Pattern
 
 
@@ -66,7 +69,14 @@ def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT, exact: t
             loose = ""
         else:
             loose += w
-    return Notice(label, len(text), k, pieces, regex.compile("(?b)" + "".join(found + _loosely(loose, k))))
+    return Notice(label, len(text), k, pieces, text, Counter(text), regex.compile("(?b)" + "".join(found + _loosely(loose, k))))
+
+
+def _too_unlike(n: Notice, span: str) -> bool:
+    """Whether letters alone need more edits than the notice admits: an edit puts in, takes out or changes one."""
+    left = Counter(span)
+    left.subtract(n.letters)
+    return max(sum(v for v in left.values() if v > 0), -sum(v for v in left.values() if v < 0)) > n.edits
 
 
 def _loosely(text: str, k: int) -> list[str]:
@@ -104,16 +114,27 @@ def find_notices(folded: str, notices: list[Notice]) -> list[Find]:
                             break
                         candidates.add((a, ends[j]))
                 at = folded.find(piece, at + 1)
-        spans = []
-        for a, b in candidates:
-            m = n.pattern.fullmatch(folded, a, b)
-            if m and sum(m.fuzzy_counts) <= n.edits:
-                spans.append((sum(m.fuzzy_counts), a, b))
         taken: list[tuple[int, int]] = []
-        for edits, a, b in sorted(spans):
+
+        def free(a: int, b: int) -> bool:
             i = bisect_left(taken, (a, b))
-            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
-                taken.insert(i, (a, b))
+            return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b)
+
+        # spans as they should be come first, and most others lie over one of them
+        exact = sorted((a, b) for a, b in candidates if folded[a:b] == n.text)
+        rest = []
+        for a, b in exact:
+            if free(a, b):
+                insort(taken, (a, b))
+                out.append(Find(a, b, n.label, 0, 1.0))
+        for a, b in candidates:
+            if free(a, b) and not _too_unlike(n, folded[a:b]):
+                m = n.pattern.fullmatch(folded, a, b)
+                if m and sum(m.fuzzy_counts) <= n.edits:
+                    rest.append((sum(m.fuzzy_counts), a, b))
+        for edits, a, b in sorted(rest):
+            if free(a, b):
+                insort(taken, (a, b))
                 out.append(Find(a, b, n.label, edits, 1 - edits / n.size))
     return sorted(out)
 
