@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
-    digest = (F.sum("label").alias("s"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "label")).alias("x"))
+    digest = (F.bit_xor(F.xxhash64("label", "node")).alias("s"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "label")).alias("x"))
     before = labels.agg(*digest).first()
     while True:
         sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
