@@ -152,3 +152,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(powers.table[data] * powers.up[: len(data)], out=sums[1:])
     return mix((sums[start + size] - sums[start]) * powers.down[start] + size.astype(np.uint64))
+
+
+def id_hashes(ids: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 7) -> np.ndarray:
+    """64-bit hashes of runs of whole numbers: of a run's numbers and length alone."""
+    powers = _HASHES.setdefault(seed, _Powers(seed))
+    powers.reach(len(ids) + 1)
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(mix(ids.astype(np.uint64) + np.uint64(powers.base)) * powers.up[: len(ids)], out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * powers.down[start] + size.astype(np.uint64))

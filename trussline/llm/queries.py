@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trussline.llm import chat, decontam, licences, mixing, nearcopies, pii, quality, rules, simhash, substring, tokens
+from trussline.llm import alignment, chat, decontam, licences, mixing, nearcopies, pii, quality, rules, simhash, substring, tokens
 from trussline.llm.common import new_path, table
 
 THRESHOLD = 0.3
@@ -78,6 +78,14 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns(spans)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    seen = alignment.align_tokenizers(docs, default_tokenizer(), str(Path(public_tokenizers.path("piece_bpe_32k.model"))))
+    return seen.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return seen.select("doc_id", simhash.as_hex("print").alias("fingerprint"), "component_id")
@@ -93,7 +101,8 @@ QUERIES = {
     "op1_quality_neighbours": op1_quality_neighbours, "op2_decontamination": op2_decontamination, "op3_pseudonyms": op3_pseudonyms,
     "op4_licence_scan": op4_licence_scan, "op5_substring_dedup": op5_substring_dedup, "op6_order_minhash": op6_order_minhash,
     "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_token_shards": op9_token_shards,
-    "op10_preference_pairs": op10_preference_pairs, "op13_simhash": op13_simhash, "pipeline": pipeline,
+    "op10_preference_pairs": op10_preference_pairs, "op12_token_alignment": op12_token_alignment,
+    "op13_simhash": op13_simhash, "pipeline": pipeline,
 }
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

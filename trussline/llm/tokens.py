@@ -108,13 +108,13 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return _scramble(keys, 3).astype(np.uint32)
 
 
-class _Memo:
-    """Ids of pieces by 64-bit hash: an open-addressed table of arrays, 50 bytes or so a piece."""
+class Memo:
+    """Ids of pieces by 64-bit hash: an open-addressed table of arrays, 60 bytes or so a piece. A second hash of each is held to tell pieces apart that share the first."""
 
     def __init__(self, limit: int):
         self.limit, self.n, self.used = limit, 0, 0
         self.mask = np.uint64((1 << (2 * limit).bit_length()) - 1)
-        self.ends, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+        self.ends, self.ids, self.second = np.zeros(1024, np.int64), np.zeros(1024, np.uint32), np.zeros(1024, np.uint64)
         self._clear()
 
     def _clear(self) -> None:
@@ -140,12 +140,13 @@ class _Memo:
             self.place[slot[mine]] = number[mine]
             h, number, slot = h[~mine], number[~mine], slot[~mine] + np.uint64(1) & self.mask
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """New distinct hashes and their ids."""
+    def add(self, h: np.ndarray, second: np.ndarray, ids: list[list[int]]) -> None:
+        """New distinct hashes, their second hashes and their ids."""
         self._insert(h, np.arange(self.n, self.n + len(h)))
         ends = self.used + np.cumsum([len(x) for x in ids])
         self.ends, self.ids = _grown(self.ends, self.n + len(h)), _grown(self.ids, int(ends[-1]))
-        self.ends[self.n : self.n + len(h)] = ends
+        self.second = _grown(self.second, self.n + len(h))
+        self.ends[self.n : self.n + len(h)], self.second[self.n : self.n + len(h)] = ends, second
         self.ids[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - self.used)
         self.n, self.used = self.n + len(h), int(ends[-1])
 
@@ -158,7 +159,7 @@ class _Memo:
             keys, place = self.keys[kept], self.place[kept]
             self._clear()
             self._insert(keys, place)
-            self.ends, self.ids = self.ends[: self.n].copy(), self.ids[: self.used].copy()
+            self.ends, self.ids, self.second = self.ends[: self.n].copy(), self.ids[: self.used].copy(), self.second[: self.n].copy()
 
     def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after the other, and the number of each piece's."""
@@ -206,22 +207,24 @@ def splits_by_words(path: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts as raw bytes.
+    """Ids of whole texts as raw bytes, each with end_id after it (None: without).
 
     With a byte-level tokenizer texts are cut where tokens always end (`piece_starts`), and a distinct piece is encoded once and remembered: all
-    lookups and the laying out of ids are array work on many texts at a time. Texts with an added token or a piece of over MAX_PIECE bytes, and all
-    texts of tokenizers of another kind, are encoded whole.
+    lookups and the laying out of ids are array work on many texts at a time. Texts with an added token or a piece of over MAX_PIECE bytes, texts with a piece that shares
+    its hash with another (a second hash tells), and all texts of tokenizers of another kind, are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, memo_words: int = MEMO_WORDS):
+    piece_starts = staticmethod(piece_starts)
+
+    def __init__(self, path: str, end_id: int | None, memo_words: int = MEMO_WORDS):
         # a task has one core: threads of the library's own would take others' and hold memory each
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = splits_by_words(path)
-        self.memo = _Memo(memo_words if self.by_piece else 1)
-        self.end = np.array([end_id], np.uint32).tobytes()
+        self.memo = Memo(memo_words if self.by_piece else 1)
+        self.end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -251,7 +254,7 @@ class Encoder:
         whole = np.array([not self.by_piece or any(m in t for m in self.marks) for t in texts], bool)
         laid = b"".join([b"" if w else t for t, w in zip(texts, whole.tolist(), strict=True)])
         ends = np.cumsum([0 if w else len(t) for t, w in zip(texts, whole.tolist(), strict=True)])
-        starts = piece_starts(np.frombuffer(laid, np.uint8), np.concatenate(([0], ends[:-1])))
+        starts = self.piece_starts(np.frombuffer(laid, np.uint8), np.concatenate(([0], ends[:-1])))
         sizes = np.diff(np.append(starts, len(laid)))
         of = np.searchsorted(starts, np.concatenate(([0], ends)))  # pieces of text i: of[i] to of[i + 1]
         short = sizes <= MAX_PIECE
@@ -259,13 +262,19 @@ class Encoder:
         whole |= long_before[of[1:]] > long_before[of[:-1]]
         self.memo.trim()
         h = span_hashes(np.frombuffer(laid, np.uint8), starts, sizes) | np.uint64(1)
+        second = span_hashes(np.frombuffer(laid, np.uint8), starts, sizes, seed=5)
         number = self.memo.find(h)
         new = np.flatnonzero((number < 0) & short)
         if len(new):
             distinct, where = np.unique(h[new], return_index=True)
             pieces = [laid[a : a + n].decode("utf-8", "replace") for a, n in zip(starts[new[where]].tolist(), sizes[new[where]].tolist(), strict=True)]
-            self.memo.add(distinct, self._new_ids(pieces))
+            self.memo.add(distinct, second[new[where]], self._new_ids(pieces))
             number[new] = self.memo.find(h[new])
+        unlike = np.zeros(len(sizes), bool)
+        unlike[short] = self.memo.second[number[short]] != second[short]
+        if unlike.any():
+            before = np.concatenate(([0], np.cumsum(unlike)))
+            whole |= before[of[1:]] > before[of[:-1]]
         ids, counts = self.memo.gather(number[short])
         spread = np.zeros(len(sizes), np.int64)
         spread[short] = counts
