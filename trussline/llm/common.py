@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder. For rounds that join a table with itself: a checkpoint keeps the size that Spark expects of its plan, which such joins square each time; a table has its own."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column; one pass over that column."""
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)

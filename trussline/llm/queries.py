@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trussline.llm import alignment, chat, decontam, licences, mixing, nearcopies, pii, quality, rules, simhash, substring, tokens
+from trussline.llm import alignment, chat, decontam, licences, mixing, nearcopies, pii, quality, repair, rules, simhash, substring, tokens
 from trussline.llm.common import new_path, table
 
 THRESHOLD = 0.3
@@ -78,6 +78,10 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns(spans)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,7 +105,7 @@ QUERIES = {
     "op1_quality_neighbours": op1_quality_neighbours, "op2_decontamination": op2_decontamination, "op3_pseudonyms": op3_pseudonyms,
     "op4_licence_scan": op4_licence_scan, "op5_substring_dedup": op5_substring_dedup, "op6_order_minhash": op6_order_minhash,
     "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_token_shards": op9_token_shards,
-    "op10_preference_pairs": op10_preference_pairs, "op12_token_alignment": op12_token_alignment,
+    "op10_preference_pairs": op10_preference_pairs, "op11_conversation_repair": op11_conversation_repair, "op12_token_alignment": op12_token_alignment,
     "op13_simhash": op13_simhash, "pipeline": pipeline,
 }
 
@@ -173,6 +177,81 @@ SQL = {
                 when rank % 3 = 1 then 2 * share / (1.0::double + sqrt(1.0::double + 0 * share))
                 else 2 * share / (0.5::double + sqrt(0.5::double * 0.5::double + 2 * 1.0::double * share)) end as position
         from asked""",
+    "op11_conversation_repair": r"""
+        with recursive crc_steps as (
+            select i, i as c, 0 as k from (select unnest(range(256)) as i)
+            union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc_steps where k < 8
+        ),
+        crc_table as materialized (select list(c order by i) as t from crc_steps where k = 8),
+        ids as materialized (
+            select conv_id, turn, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 as fault
+            from (select distinct conv_id, turn from conversations), crc_table
+        ),
+        convs as materialized (select conv_id, row_number() over () as k from (select distinct conv_id from conversations)),
+        faulty as (
+            select k, c.turn, fault, case when fault = 4 then 'user' else coalesce(role, ' ') end as role,
+                case when fault = 1 then '' when fault = 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text
+            from conversations c join ids on c.conv_id is not distinct from ids.conv_id and c.turn is not distinct from ids.turn
+                join convs on c.conv_id is not distinct from convs.conv_id
+            where fault <> 0
+        ),
+        damaged as (select * from faulty union all select * from faulty where fault = 3),
+        placed as (
+            select *, row_number() over (partition by k, role, text order by i) as again from (
+                select *, left(role, 1) as initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as solid,
+                    row_number() over (partition by k order by turn nulls first, role, text) as i from damaged
+            )
+        ),
+        marked as materialized (
+            select k, i, turn, role, text, initial, solid = '' as blank, solid <> '' and again > 1 as duplicate, solid <> '' and again = 1 and right(solid, 1) not in ('.', '!', '?') as truncated,
+                lead(initial) over (partition by k order by i) as next_initial
+            from placed
+        ),
+        facts as (
+            select k, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+                count(*) filter (truncated) as truncated, count(*) filter (next_initial is not null and initial || next_initial not in ('su', 'ua', 'au')) as illegal, max(i) as n
+            from marked group by k
+        ),
+        -- costs to go before row i, from the states nothing, s, u, a
+        togo as (
+            select k, n + 1 as i, 0::bigint as e, 6::bigint as s, 3::bigint as u, 0::bigint as a from facts
+            union all
+            select k, i, case when gone then e else least(e, u + 3) end, case when gone then s else least(s, u + 3) end, u, a from (
+                select k, i, gone, e, s, case when gone then u else least(u, a + 3) end as u, case when gone then a else least(a, u + 3) end as a from (
+                    select m.k, m.i, blank or duplicate as gone, 3 * truncated::int as x,
+                        case when gone then e + 4 else least(e + 4, u + 3 + x, case initial when 's' then s + x when 'u' then u + x else 1000000000000 end) end as e,
+                        case when gone then s + 4 else least(s + 4, u + 3 + x, case initial when 'u' then u + x else 1000000000000 end) end as s,
+                        case when gone then u + 4 else least(u + 4, a + 3 + x, case initial when 'a' then a + x else 1000000000000 end) end as u,
+                        case when gone then a + 4 else least(a + 4, u + 3 + x, case initial when 'u' then u + x else 1000000000000 end) end as a
+                    from togo join marked m on m.k = togo.k and m.i = togo.i - 1
+                )
+            )
+        ),
+        h as materialized (select k, i, [e, s, u, a] as h from togo),
+        -- one edit a round; state: 1 nothing, 2 s, 3 u, 4 a
+        traced as (
+            select k, 1::bigint as i, 1 as state, '' as audit, []::varchar[] as lines, n from facts
+            union all
+            select k, case when letter = 'I' then i else i + 1 end, case letter when 'D' then state when 'K' then kept else other end, audit || letter,
+                case letter when 'D' then lines when 'K' then list_append(lines, role || ':' || text)
+                    else list_append(lines, case other when 3 then 'user:' else 'assistant:' end || case letter when 'I' then '' else text end) end, n
+            from (
+                select *, case when i <= n and now[state] = after[state] + 4 then 'D' when now[state] = now[other] + 3 then 'I'
+                    when kept > 0 and now[state] = after[kept] + x then 'K' else 'R' end as letter
+                from (
+                    select t.k, t.i, t.state, t.audit, t.lines, t.n, h.h as now, later.h as after, m.role, m.text, case when state = 3 then 4 else 3 end as other, 3 * coalesce(truncated, false)::int as x,
+                        case when initial = 's' and state = 1 then 2 when initial = 'u' and state <> 3 then 3 when initial = 'a' and state = 3 then 4 else 0 end as kept
+                    from traced t join h on h.k = t.k and h.i = t.i left join h later on later.k = t.k and later.i = t.i + 1 left join marked m on m.k = t.k and m.i = t.i
+                    where t.i <= t.n or t.state in (2, 3)
+                )
+            )
+        )
+        select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+            coalesce(h.h[1], 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+        from convs left join facts using (k) left join h on h.k = convs.k and h.i = 1
+            left join (select * from traced where i > n and state in (1, 4)) done on done.k = convs.k""",
     "op10_preference_pairs": """
         with turns as (
             select conv_id // 2 as pair_id, conv_id % 2 = 0 as side, turn, coalesce(role, '') as role, replace(coalesce(text, ''), '<|', '< |') as text
