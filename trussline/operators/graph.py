@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,48 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. For rounds that join a table with itself: a checkpoint keeps the size that Spark expects of its plan, which each such join squares; a table has its own."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked_cycles(steps: DataFrame) -> DataFrame:
+    """Numbers along closed chains: steps (e, next: distinct longs, each e the next of one) to e, cycle (its smallest e), rank (steps from that one), n (steps in all).
+
+    Pointer doubling: after k rounds each e knows the smallest of the 2^k that follow and how far off it is. A round that changes no smallest one has seen all. No chain is walked in one task,
+    and a chain of a million steps takes twenty rounds.
+    """
+    reach = 1
+    at = written(steps.select("e", F.col("next").alias("jump"), F.struct(F.col("e").alias("low"), F.lit(0).cast("long").alias("off")).alias("least")))
+    digest = (F.bit_xor(F.xxhash64("e", "least.low")), F.bit_xor(F.xxhash64("least.low", "e")))
+    seen = at.agg(*digest).first()
+    while True:
+        far = at.select(F.col("e").alias("jump"), F.col("jump").alias("further"), F.struct(F.col("least.low").alias("low"), (F.col("least.off") + reach).alias("off")).alias("then"))
+        at = written(at.join(far, "jump").select("e", F.col("further").alias("jump"), F.least("least", "then").alias("least")))
+        reach *= 2
+        now = at.agg(*digest).first()
+        if now == seen:
+            break
+        seen = now
+    sizes = at.groupBy("least.low").agg(F.count("*").alias("n"))
+    return at.join(sizes, at["least.low"] == sizes["low"]).select("e", F.col("least.low").alias("cycle"), F.pmod(F.col("n") - F.col("least.off"), "n").alias("rank"), "n")
+
+
+def parity_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (node, not negative), links (a, b, odd): node, label (the smallest node it is linked to), flip (an odd number of odd links lies between the two), clash (so does an even number).
+
+    Components of the double cover: each node stands there once with either side, an odd link leads to the other side.
+    """
+    two = lambda c: F.col(c) * 2
+    odd = F.col("odd").cast("long")
+    both = links.select(two("a").alias("a"), (two("b") + odd).alias("b")).union(links.select((two("a") + 1).alias("a"), (two("b") + 1 - odd).alias("b")))
+    cover = components(nodes.select(F.explode(F.array(two("node"), two("node") + 1)).alias("node")), both)
+    sides = cover.groupBy(F.floor(F.col("node") / 2).cast("long").alias("node")).agg(F.min(F.struct(F.col("node") % 2, "label")).alias("first"), F.max(F.struct(F.col("node") % 2, "label")).alias("second"))
+    return sides.select("node", F.floor(F.col("first.label") / 2).cast("long").alias("label"), (F.col("first.label") % 2 == 1).alias("flip"), (F.col("first.label") == F.col("second.label")).alias("clash"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes (node), links (a, b): node and label, the smallest node it is linked to over any path.
 
@@ -35,7 +78,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
     labels = checkpointed(least.select("node", F.least("node", "least").alias("label")))
-    digest = (F.bit_xor(F.xxhash64("node", "label")), F.sum("label"))
+    digest = (F.bit_xor(F.xxhash64("node", "label")), F.bit_xor(F.xxhash64("label", "node")))
     seen = labels.agg(*digest).first()
     while True:
         sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
