@@ -108,3 +108,16 @@ def test_base_phrases_equal_brute_force(spark):
         places = [(i, label) for phrase, label in licences.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
         first, last = (min(places)[0], max(places)[0]) if places else (None, None)
         assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == (len(w), len(places), first, last, ",".join(sorted({x for _, x in places})))
+
+
+def test_repetitive_texts_are_scanned_in_one_go():
+    """Time is in proportion to the text also where every word goes on a match."""
+    import time
+
+    from trussline.llm.decontam import SuffixAutomaton
+
+    automaton = SuffixAutomaton([("a", [b"x"] * 20_000, True), ("b", [b"x"] * 12, True)], 13)
+    began = time.process_time()
+    runs, names = automaton.scan([b"x"] * 100_000)
+    assert runs == [(0, 100_000)] and names == {"a", "b"}
+    assert time.process_time() - began < 5

@@ -56,6 +56,10 @@ class SuffixAutomaton:
             own = tuple((n, frozenset(names)) for n, names in sorted(whole[s].items()))
             self.short[s] = self.short[self.link[s]] + own
             self.need[s] = min([window, *(n for n, _ in self.short[s])])
+        # the shortest state of at least a window on the way up the links: it has all items of those above it
+        self.top = [0] * len(self.length)
+        for s in order:
+            self.top[s] = self.top[self.link[s]] if self.length[self.link[s]] >= window else s
         self.items = [frozenset(x) for x in found]
         self.items[0] = frozenset()
 
@@ -85,7 +89,7 @@ class SuffixAutomaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit runs as (start, end) in order, and the items with an occurring window."""
-        step, link, length, need, window = self.step, self.link, self.length, self.need, self.window
+        step, link, length, need, window, top = self.step, self.link, self.length, self.need, self.window, self.top
         state = n = 0
         runs: list[tuple[int, int]] = []
         names: set[str] = set()
@@ -110,9 +114,7 @@ class SuffixAutomaton:
                     names |= which
                     cover = max(cover, m)
             if n >= window:
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
+                s = top[state]
                 if s not in seen:
                     seen.add(s)
                     names |= self.items[s]
