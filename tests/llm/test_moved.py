@@ -1,0 +1,32 @@
+"""Texts that share most of a page and have the rest in orders of their own: rounds of the finer sketches."""
+
+import random
+
+from trussline.llm import nearcopies
+
+
+def pages(n):
+    r = random.Random(1)
+    common = [f"c{i}" for i in range(600)]
+    blocks = [[f"b{j}x{i}" for i in range(20)] for j in range(20)]
+    out = []
+    for _ in range(n):
+        r.shuffle(blocks)
+        out.append(" ".join(common + [w for b in blocks for w in b]))
+    return out
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    counts, real = [], nearcopies.cut
+
+    def count(df):
+        counts[-1] += 1
+        return real(df)
+
+    monkeypatch.setattr(nearcopies, "cut", count)
+    for n in (4, 16):
+        counts.append(0)
+        texts = pages(n)
+        got = {r.doc_id: r.class_id for r in nearcopies.near_duplicates(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")).collect()}
+        assert got == {**{i: i for i in range(n)}, n: 0}
+    assert counts[1] <= counts[0] + 3 * 3, counts  # three checkpoints a round, and at most three rounds more
