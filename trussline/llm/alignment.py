@@ -2,9 +2,9 @@
 
 Both tokenizers encode the whole text. Where a token of either ends at the same byte and both next tokens begin with a space, the text is cut (an anchor): the ends are
 taken from the tokens' own bytes, which are first held against the text. Between two anchors stands a window, a pair of id tuples. A window's groups and links depend on its
-ids alone, so they are worked out once and remembered by the tuples; most windows are one word and come again and again.
+ids alone, so they are worked out once and remembered by the tuples (in arrays: found by a hash, then held against the ids); most windows are one word and come again and again.
 
-Windows are found by arrays over many texts at a time, and the same windows of a slice are gathered by a hash that is checked against the ids. A long text is encoded in slices that
+Windows are cut, gathered and looked up by arrays over many texts at a time. A long text is encoded in slices that
 end before a space between two solid bytes, where both tokenizers have a boundary, so memory is bounded by the slice and by the text's distinct links.
 """
 
@@ -14,7 +14,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,10 @@ from pyspark.sql import functions as F
 
 from trussline.llm.bytetext import id_hashes, mix, parts
 from trussline.llm.common import cut
-from trussline.llm.tokens import Encoder, Memo
+from trussline.llm.tokens import Encoder, Memo, grown
 
 #: Windows and pieces that a worker remembers; bytes of text that are worked on at once.
-MEMO_WINDOWS, MEMO_PIECES, SLICE = 200_000, 200_000, 1 << 19
+MEMO_WINDOWS, MEMO_PIECES, SLICE = 400_000, 400_000, 1 << 19
 #: Id pairs whose counts are sent to the workers as arrays (17 bytes each); more are joined.
 MAX_SENT_PAIRS = 2_000_000
 _SAFE = re.compile(rb"[\x21-\x7E](?= [^\x09-\x0D\x20])")
@@ -84,28 +83,17 @@ def token_bytes(path_a: str, b: PieceEncoder) -> tuple[list[bytes], list[bytes]]
     return one, two
 
 
-def align(ids_a: tuple[int, ...], ids_b: tuple[int, ...], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups (ids of both between two shared ends) and links (ids of overlapping tokens, each occurrence) of one window."""
-    ends_b = list(accumulate(size_b[i] for i in ids_b))
-    groups, links, j, begin, at = [], [], 0, 0, 0
-    group: tuple[list[int], list[int]] = ([], [])
-    for i in ids_a:
-        begin, at = at, at + size_a[i]
-        group[0].append(i)
-        while True:
-            begin_b = ends_b[j - 1] if j else 0
-            if begin_b >= at:
-                break
-            links.append((i, ids_b[j]))
-            if begin_b >= begin:
-                group[1].append(ids_b[j])
-            if ends_b[j] > at:
-                break
-            j += 1
-        if (ends_b[j - 1] if j else 0) == at:
-            groups.append(group)
-            group = ([], [])
-    return groups, links
+def align(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Alignment of windows laid end to end: two runs of ids that stand for the same bytes.
+
+    Gives the groups' ends (how many tokens of a and of b stand before), and the links: of each a token in turn the b tokens that overlap it, and how many those are.
+    """
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    low = np.searchsorted(ends_b, ends_a - size_a[a], "right")
+    n = np.searchsorted(ends_b - size_b[b], ends_a, "left") - low
+    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1, b[at], n
 
 
 class Aligner:
@@ -115,29 +103,45 @@ class Aligner:
         self.a, self.b = Encoder(path_a, None, MEMO_PIECES), PieceEncoder(path_b, MEMO_PIECES)
         self.a.tokenizer.encode_special_tokens, self.a.marks = True, []
         self.bytes_a, self.bytes_b = token_bytes(path_a, self.b)
-        self.list_a, self.list_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.size_a, self.size_b = np.array(self.list_a), np.array(self.list_b)
+        self.size_a, self.size_b = (np.array([len(x) for x in y]) for y in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([x[:1] == b" " for x in y]) for y in (self.bytes_a, self.bytes_b))
-        self.limit = memo_windows
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.text: list[bytes] = []
-        self.n_groups: list[int] = []
-        self.links: list[np.ndarray] = []
-
-    def window(self, ids_a: tuple[int, ...], ids_b: tuple[int, ...]) -> int:
-        """Number of a window."""
-        key = (ids_a, ids_b)
-        found = self.number.get(key)
-        if found is None:
-            groups, links = align(ids_a, ids_b, self.list_a, self.list_b)
-            found = self.number[key] = len(self.text)
-            self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            self.n_groups.append(len(groups))
-            self.links.append(np.array([i * len(self.list_b) + j for i, j in links], np.int64))
-        return found
+        size = max(len(self.bytes_a), len(self.bytes_b))
+        #: an id's text before each of the marks
+        self.marked = [[f"{i}{mark}" for i in range(size)] for mark in ",|;\n"]
+        self.limit, self.seed = memo_windows, 7
+        self._forget()
+
+    def _forget(self) -> None:
+        #: a window is found by its hash and known by its ids: how many of a, then those of a and of b
+        self.memo = Memo(self.limit)
+        self.text: list[str] = []
+        self.n_groups, self.ends, self.links = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def _learn(self, h: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Aligns new windows, laid end to end, all at once, and remembers them."""
+        known = _keys(a, n_a, b, n_b)
+        self.memo.add(h, np.zeros(len(h), np.uint64), np.split(known, np.cumsum(n_a + n_b + 1)[:-1]))
+        group_a, group_b, other, n_links = align(a, b, self.size_a, self.size_b)
+        # marks: a comma after a token, a bar after a group's last of a, a semicolon after its last of b, a new line after a window
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[group_a - 1], mark_b[group_b - 1], mark_b[np.cumsum(n_b) - 1] = 1, 2, 3
+        order = np.argsort(np.concatenate((2 * np.searchsorted(group_a, np.arange(len(a)), "right"), 2 * np.searchsorted(group_b, np.arange(len(b)), "right") + 1)), kind="stable")
+        marks, ids = np.concatenate((mark_a, mark_b))[order].tolist(), np.concatenate((a, b))[order].tolist()
+        first, marked = len(self.text), self.marked
+        self.text += "".join([marked[m][i] for m, i in zip(marks, ids, strict=True)]).split("\n")[:-1]
+        last = len(self.text)
+        used = int(self.ends[first - 1]) if first else 0
+        ends = used + np.cumsum(np.add.reduceat(n_links, np.cumsum(n_a) - n_a))
+        self.n_groups, self.ends, self.links = grown(self.n_groups, last), grown(self.ends, last), grown(self.links, int(ends[-1]))
+        self.n_groups[first:last] = np.diff(np.append(0, np.searchsorted(group_a, np.cumsum(n_a), "right")))
+        self.ends[first:last] = ends
+        self.links[used : int(ends[-1])] = np.repeat(a, n_links) * len(self.bytes_b) + other
+
+    def links_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of windows one after the other, and the number of each window's."""
+        begin = np.where(windows > 0, self.ends[windows - 1], 0)
+        n = self.ends[windows] - begin
+        return self.links[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
     def encoded(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both for texts that begin with a space; None where the tokens' bytes aren't the text's."""
@@ -159,19 +163,43 @@ class Aligner:
         anchor = last[next_a] | np.append(self.spaced_a[a], True)[next_a] & np.append(self.spaced_b[b], True)[next_b]
         stop_a, stop_b = next_a[anchor], next_b[anchor]
         start_a, start_b = np.append(0, stop_a[:-1]), np.append(0, stop_b[:-1])
-        h = mix(id_hashes(a, start_a, stop_a - start_a) + mix(id_hashes(b, start_b, stop_b - start_b)))
-        _, first, of = np.unique(h, return_index=True, return_inverse=True)
-        if not (_like_first(a, start_a, stop_a, first[of]) and _like_first(b, start_b, stop_b, first[of])):
-            first = of = np.arange(len(h))
-        if len(self.text) > self.limit:
-            self._clear()
-        numbers = np.array([self.window(tuple(a[p:q].tolist()), tuple(b[r:s].tolist())) for p, q, r, s in zip(*(x[first].tolist() for x in (start_a, stop_a, start_b, stop_b)), strict=True)], np.int64)
+        n_a, n_b = stop_a - start_a, stop_b - start_b
+        self.memo.trim()  # beyond the limit the later half is forgotten: what came first is mostly what comes often
+        del self.text[self.memo.n :]
+        while True:
+            h = mix(id_hashes(a, start_a, n_a, self.seed) + mix(id_hashes(b, start_b, n_b, self.seed))) | np.uint64(1)
+            distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
+            numbers = self.memo.find(distinct)
+            old, new = first[numbers >= 0], first[numbers < 0]
+            alike = _like_first(a, start_a, n_a, first[of]) and _like_first(b, start_b, n_b, first[of])
+            if alike and np.array_equal(self.memo.gather(numbers[numbers >= 0])[0], _keys(_runs(a, start_a[old], n_a[old]), n_a[old], _runs(b, start_b[old], n_b[old]), n_b[old])):
+                break
+            # two windows share a hash: another one is taken, and all is learnt anew
+            self.seed += 1
+            self._forget()
+        if len(new):
+            self._learn(h[new], _runs(a, start_a[new], n_a[new]), n_a[new], _runs(b, start_b[new], n_b[new]), n_b[new])
+            numbers = self.memo.find(distinct)
         return numbers[of], np.diff(np.append(0, np.flatnonzero(last[stop_a]) + 1))
 
 
-def _like_first(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> bool:
+def _runs(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ids one after the other."""
+    return ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _keys(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """For each of the windows laid end to end: how many ids of a it has, those of a, those of b."""
+    out = np.empty(len(a) + len(b) + len(n_a), np.uint32)
+    begin = np.cumsum(n_a + n_b + 1) - (n_a + n_b + 1)
+    out[begin] = n_a
+    out[np.repeat(begin + 1 - (np.cumsum(n_a) - n_a), n_a) + np.arange(len(a))] = a
+    out[np.repeat(begin + 1 + n_a - (np.cumsum(n_b) - n_b), n_b) + np.arange(len(b))] = b
+    return out
+
+
+def _like_first(ids: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> bool:
     """Whether each run of ids, which together are all of them in order, is the same as that of number first."""
-    size = stop - start
     return bool((size == size[first]).all()) and bool((ids[np.arange(len(ids)) + np.repeat(start[first] - start, size)] == ids).all())
 
 
@@ -195,15 +223,14 @@ class _Sums:
         self.ok = True
 
     def add(self, aligner: Aligner, ids: tuple[np.ndarray, np.ndarray], windows: np.ndarray) -> None:
-        numbers = windows.tolist()
         found, n = np.unique(windows, return_counts=True)
-        links = [aligner.links[w] for w in found.tolist()]
-        times = np.repeat(n, [len(x) for x in links])
-        self.counts += (len(ids[0]), len(ids[1]), sum(map(aligner.n_groups.__getitem__, numbers)), int(times.sum()))
-        every, of = np.unique(np.concatenate((self.links, *links)), return_inverse=True)
+        links, sizes = aligner.links_of(found)
+        times = np.repeat(n, sizes)
+        self.counts += (len(ids[0]), len(ids[1]), int((aligner.n_groups[found] * n).sum()), int(times.sum()))
+        every, of = np.unique(np.concatenate((self.links, links)), return_inverse=True)
         self.times = np.bincount(of, np.concatenate((self.times, times)), len(every)).astype(np.int64)
         self.links = every
-        data = b";".join(map(aligner.text.__getitem__, numbers))
+        data = ";".join(map(aligner.text.__getitem__, windows.tolist())).encode()
         if self.sha is None:
             self.sha = hashlib.sha256(data)
         else:

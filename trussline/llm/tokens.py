@@ -144,8 +144,8 @@ class Memo:
         """New distinct hashes, their second hashes and their ids."""
         self._insert(h, np.arange(self.n, self.n + len(h)))
         ends = self.used + np.cumsum([len(x) for x in ids])
-        self.ends, self.ids = _grown(self.ends, self.n + len(h)), _grown(self.ids, int(ends[-1]))
-        self.second = _grown(self.second, self.n + len(h))
+        self.ends, self.ids = grown(self.ends, self.n + len(h)), grown(self.ids, int(ends[-1]))
+        self.second = grown(self.second, self.n + len(h))
         self.ends[self.n : self.n + len(h)], self.second[self.n : self.n + len(h)] = ends, second
         self.ids[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - self.used)
         self.n, self.used = self.n + len(h), int(ends[-1])
@@ -170,7 +170,7 @@ class Memo:
         return self.ids[at], counts
 
 
-def _grown(x: np.ndarray, n: int) -> np.ndarray:
+def grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if len(x) >= n else np.concatenate((x, np.zeros(max(n, len(x) + len(x) // 2) - len(x), x.dtype)))
 
 
