@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions.names import extension, failure_fingerprint, field_category, layer_label, public_key, safe_identifier, safe_name, scope_token
 from trussline.functions.sections import area, inertia
-from trussline.jobs import decks, joblog, layout, modelling, parity, resultstore, shapes, steelwork, takeoff  # noqa: F401 - most register their own queries
+from trussline.jobs import decks, joblog, layout, modelling, outlines, parity, resultstore, shapes, steelwork, takeoff  # noqa: F401 - most register their own queries
 from trussline.jobs.catalogue import QUERIES, SQL, query, rounded  # noqa: F401
 from trussline.operators import compare, mesh, results, spatial
 from trussline.sources.fixtures import Tables
