@@ -35,15 +35,20 @@ def stable_text(message: Column) -> Column:
 
 
 def last_line(text: Column) -> Column:
-    """The last line with a character that isn't white space, without white space at its end; '' where there is none."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
-    return F.when(F.size(lines) > 0, F.rtrim(F.element_at(lines, -1))).otherwise("")
+    """The last line with a character that isn't white space, without white space at its end (nor at its start, where it is the only one); '' where there is none."""
+    lines = F.filter(F.split(stripped(F.coalesce(text, F.lit(""))), "\r\n|[\n\r\\x0b\\x0c]"), lambda x: stripped(x) != "")
+    return F.when(F.size(lines) > 0, F.regexp_replace(F.element_at(lines, -1), r"\s+$", "")).otherwise("")
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def failure_fingerprint(source_ext: Column, target: Column, message: Column, traceback: Column) -> Column:
     """16 hex digits: equal for failures of one kind of conversion whose message and last traceback line differ in nothing that lasts."""
-    kinds = [F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (source_ext, target)]
-    return fingerprint(*kinds, stable_text(F.trim(F.coalesce(message, F.lit("")))), stable_text(last_line(traceback)))
+    kinds = [F.lower(stripped(F.coalesce(c, F.lit("")))) for c in (source_ext, target)]
+    return fingerprint(*kinds, stable_text(stripped(F.coalesce(message, F.lit("")))), stable_text(last_line(traceback)))
 
 
 def fingerprint(*parts: Column) -> Column:

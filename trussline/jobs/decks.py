@@ -20,13 +20,18 @@ DECK_SQL = """
     union all select file, 100000000, '*ELEMENT, TYPE=S4, ELSET=Plates' from f
     union all select file, 100000010 + k, concat(cast(k as varchar(20)), ', ', cast(k as varchar(20)), ', ', cast(k + 1 as varchar(20)), ', ', cast(k + 51 as varchar(20)), ', ', cast(k + 50 as varchar(20))) from k where k % 3 = 0
     union all select file, 200000000, '*Element, type=C3D8, elset=Blocks' from f
-    union all select file, 200000010 + 2 * k, concat(cast(k as varchar(20)), ', 1, 2, 3, 4,') from k where k % 3 = 1
-    union all select file, 200000011 + 2 * k, ' 5, 6, 7, 8' from k where k % 3 = 1
+    union all select file, 200000010 + 4 * k, concat(cast(k as varchar(20)), ', 1, 2, 3, 4,') from k where k % 3 = 1
+    union all select file, 200000011 + 4 * k, '** inside a record' from k where k % 9 = 1
+    union all select file, 200000012 + 4 * k, '' from k where k % 9 = 4
+    union all select file, 200000013 + 4 * k, ' 5, 6, 7, 8' from k where k % 3 = 1
     union all select file, 300000000, '*Element, type=MASS, elset=Points' from f
     union all select file, 300000010 + k, concat(cast(k as varchar(20)), ', ', cast(k as varchar(20))) from k where k % 3 = 2
     union all select file, 400000000, '*Elset, elset=Both' from f union all select file, 400000001, 'plates, BLOCKS' from f
     union all select file, 400000002, '*Nset, nset=Some, generate' from f union all select file, 400000003, '0, 400, 3' from f
-    union all select file, 400000004, '*Elset, elset=Few' from f union all select file, 400000005, '3, 4, 6, 7, 9, 10, 13' from f"""
+    union all select file, 400000004, '*Elset, elset=Few' from f union all select file, 400000005, '3, 4, 6, 7, 9, 10, 13' from f
+    union all select file, 400000006, '*Elset, elset=Deep' from f union all select file, 400000007, 'mid' from f
+    union all select file, 400000008, '*Elset, elset=Mid' from f union all select file, 400000009, 'FEW, low' from f
+    union all select file, 400000010, '*Elset, elset=Low' from f union all select file, 400000011, 'points, Mid, 15, 16' from f"""
 
 CARD_SQL = """
     with k as (select s_suppkey as k, 'deck' || cast(s_suppkey % 3 as varchar(5)) || '.fem' as file from supplier)
@@ -82,7 +87,8 @@ def deck_special_elements(t: Tables) -> DataFrame:
 
 @query(f"""with e as (select {FILE} as file, o_orderkey as k, case o_orderkey % 3 when 0 then 'Plates' when 1 then 'Blocks' end as elset from orders)
     select file, 'elset' as set_type, elset as set_name, k as member_id from e where elset is not null union all select file, 'elset', 'Both', k from e where elset is not null
-    union all select file, 'nset', 'ALL', k from e union all select file, 'nset', 'Some', k from e where k <= 400 and k % 3 = 0 union all select file, 'elset', 'Few', k from e where k in (3, 4, 6, 7, 9, 10, 13)""")
+    union all select file, 'nset', 'ALL', k from e union all select file, 'nset', 'Some', k from e where k <= 400 and k % 3 = 0 union all select file, 'elset', 'Few', k from e where k in (3, 4, 6, 7, 9, 10, 13)
+    union all select file, 'elset', s, k from e, (values ('Deep'), ('Mid'), ('Low')) v(s) where k in (3, 4, 6, 7, 9, 10, 13, 15, 16)""")
 def deck_sets(t: Tables) -> DataFrame:
     return decks.deck_sets(lines(t, DECK_SQL))
 

@@ -65,10 +65,13 @@ def newest_per_cell(log: DataFrame, n: int) -> DataFrame:
 
 
 def run_progress(log: DataFrame, expected: int) -> DataFrame:
-    """By run: ok, failed and pending jobs; done once none is pending."""
-    failed = F.col("status").isin("error", "failed")
-    runs = log.where("run_id is not null").groupBy("run_id").agg(F.count_if(~failed).alias("ok"), F.count_if(failed).alias("failed"), F.max_by("file_key", "id").alias("newest_key"))
-    pending = F.greatest(F.lit(expected) - F.col("ok") - F.col("failed"), F.lit(0))
+    """By run: ok, failed, skipped and pending jobs; done once none is pending. Queued and running jobs, and those of no status, are pending."""
+    failed, skipped = F.col("status").isin("error", "failed"), F.col("status") == "skipped"
+    open_ = F.coalesce(F.col("status").isin("queued", "running"), F.lit(True))
+    runs = log.where("run_id is not null").groupBy("run_id").agg(
+        F.count_if(~(failed | skipped | open_)).alias("ok"), F.count_if(failed).alias("failed"), F.count_if(skipped).alias("skipped"), F.max_by("file_key", "id").alias("newest_key")
+    )
+    pending = F.greatest(F.lit(expected) - F.col("ok") - F.col("failed") - F.col("skipped"), F.lit(0))
     return runs.withColumn("pending", pending.cast("long")).withColumn("state", F.when(pending == 0, "done").otherwise("running"))
 
 

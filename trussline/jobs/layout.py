@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from trussline.jobs import joblog
 from trussline.jobs.catalogue import query, rounded
-from trussline.operators import health, patches, routes
+from trussline.operators import flat, health, patches, routes
+from trussline.operators.mesh import placed
 from trussline.sources.fixtures import Tables
 
 
@@ -106,7 +107,7 @@ SMOOTH = """with recursive nb as (select a.elem_id as a, b.elem_id as b from v_e
 
 def _roof(t: Tables) -> DataFrame:
     """Nodes lifted to a roof that folds along every fifth line."""
-    return t.view("v_nodes").where("node_id < 10000000").withColumn("z", F.abs(F.col("x") % 10 - 5) * 2)
+    return t.view("v_nodes").withColumn("z", F.abs(F.col("x") % 10 - 5) * 2)
 
 
 @query(f"{SMOOTH} select elem_id, label from patch")
@@ -114,6 +115,20 @@ def smooth_patches(t: Tables) -> DataFrame:
     return patches.smooth_patches(_roof(t), t.view("v_elements"), ["material", "thickness"])
 
 
+@query(f"{SMOOTH} select elem_id as facet_id, label as seed from patch")
+def flat_patches(t: Tables) -> DataFrame:
+    facets = placed(_roof(t), t.view("v_elements")).select(F.col("elem_id").alias("facet_id"), "material", "thickness", "p")
+    return flat.flat_patches(facets, ["material", "thickness"], 1e-3)
+
+
+@query(f"""{SMOOTH} select label as patch, 'planar' as surface, count(*) as n from patch group by 1""")
+def patch_surfaces(t: Tables) -> DataFrame:
+    labels = patches.smooth_patches(_roof(t), t.view("v_elements"), ["material", "thickness"]).withColumnRenamed("label", "patch")
+    facets = placed(_roof(t), t.view("v_elements")).select("elem_id", "p").join(labels, "elem_id")
+    sizes = labels.groupBy("patch").agg(F.count("*").alias("n"))
+    return flat.classify_patches(facets, ["patch"]).select("patch", "surface").join(sizes, "patch")
+
+
 @query(f"""{SMOOTH}, sized as (select material, label, count(*) as size from patch join v_elements using (elem_id) group by 1, 2)
     select material, cast(sum(size) as bigint) as n_elements, count(*) as n_patches, count(*) filter (size = 1) as n_single, max(size) as largest, round(sum(size) / count(*), 6) as reduction from sized group by 1""")
 def patch_report(t: Tables) -> DataFrame:

@@ -378,7 +378,7 @@ def newest_per_cell(t: Tables) -> DataFrame:
     return joblog.newest_per_cell(t.view("v_audit"), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""select run_id, count(*) filter (status = 'ok') as ok, count(*) filter (status <> 'ok') as failed, arg_max(file_key, id) as newest_key, greatest(110 - count(*), 0) as pending,
+@query("""select run_id, count(*) filter (status = 'ok') as ok, count(*) filter (status in ('error', 'failed')) as failed, count(*) filter (status = 'skipped') as skipped, arg_max(file_key, id) as newest_key, greatest(110 - count(*), 0) as pending,
     case when greatest(110 - count(*), 0) = 0 then 'done' else 'running' end as state from v_audit where run_id is not null group by run_id""")
 def run_progress(t: Tables) -> DataFrame:
     return joblog.run_progress(t.view("v_audit"), 110)

@@ -101,9 +101,9 @@ def nodes_in_turned_box(t: Tables) -> DataFrame:
     return shapes.in_oriented_box(t.view("v_nodes"), (20.25, 6.25, 0), 30, (8, 3, 1)).select("node_id")
 
 
-@query("""select node_id, round((x * cos(radians(90)) - y * sin(radians(90)) + 1) * 2000, 3) as x, round((x * sin(radians(90)) + y * cos(radians(90)) + 2) * 2000, 3) as y, round((z + 3) * 2000, 3) as z from v_nodes where node_id < 10000000""")
+@query("""select node_id, round((x * cos(radians(90)) - y * sin(radians(90)) + 1) * 2000, 3) as x, round((x * sin(radians(90)) + y * cos(radians(90)) + 2) * 2000, 3) as y, round((z + 3) * 2000, 3) as z from v_nodes""")
 def moved_nodes(t: Tables) -> DataFrame:
-    return shapes.moved(t.view("v_nodes").where("node_id < 10000000"), (1, 2, 3), 90, 2.0, ("m", "mm"), 3)
+    return shapes.moved(t.view("v_nodes"), (1, 2, 3), 90, 2.0, ("m", "mm"), 3)
 
 
 @query("select node_id, round(sqrt((x - 7.2) * (x - 7.2) + (y - 3.1) * (y - 3.1) + z * z), 6) as distance from v_nodes order by sqrt((x - 7.2) * (x - 7.2) + (y - 3.1) * (y - 3.1) + z * z), node_id limit 50")

@@ -88,7 +88,9 @@ def nodes_on_side(t: Tables) -> DataFrame:
     return members.on_side(t.view("v_nodes"), boxes, "z0")
 
 
-@query("""with e as (select beam_id, 1 as "end", x1 as ex, y1 as ey, z1 as ez from v_members union all select beam_id, 2, x2, y2, z2 from v_members) select beam_id, "end", node_id from e join v_nodes on abs(x - ex) <= 0.001 and abs(y - ey) <= 0.001 and abs(z - ez) <= 0.001""")
+@query(f"""with {BOXES}, e as (select *, 1 as "end", x1 as ex, y1 as ey, z1 as ez from mb union all select *, 2, x2, y2, z2 from mb)
+    select beam_id, "end", node_id from e join v_nodes on x between case when x1 <> x2 then ex else bx0 end - 0.001 and case when x1 <> x2 then ex else bx1 end + 0.001
+        and y between case when y1 <> y2 then ey else by0 end - 0.001 and case when y1 <> y2 then ey else by1 end + 0.001 and z between case when z1 <> z2 then ez else bz0 end - 0.001 and case when z1 <> z2 then ez else bz1 end + 0.001""")
 def nodes_at_ends(t: Tables) -> DataFrame:
     return members.at_ends(t.view("v_nodes"), t.view("v_members"))
 
@@ -102,14 +104,16 @@ def nodes_along_edges(t: Tables) -> DataFrame:
 
 # ---- sections, steel, loads -----------------------------------------------------------------------------------------------------------
 
-TEXTS = """texts as (select p_partkey, case p_partkey % 7 when 0 then 'BG' || cast(200 + p_size as varchar(9)) || 'x150x10x12' when 1 then 'IPE' || cast(p_size * 10 as varchar(9)) when 2 then 'TUB' || cast(300 + p_size as varchar(9)) || 'x15' when 3 then 'SHS150x6.3'
-    when 4 then 'IG800x300x12x20.5' when 5 then 'rhs200x100x8' else 'unknown ' || p_brand end as text from part)"""
+TEXTS = """texts as (select p_partkey, case p_partkey % 16 when 0 then 'BG' || cast(200 + p_size as varchar(9)) || 'x150x10x12' when 1 then 'IPE' || cast(p_size * 10 as varchar(9)) when 2 then 'TUB' || cast(300 + p_size as varchar(9)) || 'x15' when 3 then 'SHS150x6.3'
+    when 4 then 'IG800x300x12x20.5' when 5 then 'rhs200x100x8' when 6 then 'T650x300x25x40' when 7 then 'HP180x10' when 8 then 'UNP' || cast(p_size * 10 as varchar(9)) || 'x10' when 9 then 'CIRC100' when 10 then 'FB100x10' when 11 then 'OD400x10' when 12 then 'L100x8'
+    when 13 then 'L120x80x9' when 14 then 'HE300B' else 'unknown ' || p_brand end as text from part)"""
 
 
-@query(f"""with {TEXTS} select p_partkey, text, case p_partkey % 7 when 0 then 'box' when 1 then 'profile' when 2 then 'tube' when 3 then 'box' when 4 then 'i' when 5 then 'box' end as kind,
-    case p_partkey % 7 when 0 then cast(regexp_extract(text, '([0-9]+)x', 1) as double) / 1000 when 2 then cast(regexp_extract(text, '([0-9]+)x', 1) as double) / 1000 * 2 when 3 then 0.15 when 4 then 0.8 when 5 then 0.2 end::double as h,
-    case p_partkey % 7 when 0 then 0.15 when 3 then 0.15 when 4 then 0.3 when 5 then 0.1 end::double as w, case p_partkey % 7 when 0 then 0.01 when 2 then 0.015 when 3 then 0.0063 when 4 then 0.012 when 5 then 0.008 end::double as t,
-    case p_partkey % 7 when 0 then 0.012 when 3 then 0.0063 when 4 then 0.0205 when 5 then 0.008 end::double as tf, case when p_partkey % 7 = 1 then text end as profile from texts""")
+@query(f"""with {TEXTS}, shapes as (select * from (values (0, 'box', null, 0.15, 0.01, 0.012), (1, 'profile', null, null, null, null), (2, 'tube', null, null, 0.015, null), (3, 'box', 0.15, 0.15, 0.0063, 0.0063), (4, 'i', 0.8, 0.3, 0.012, 0.0205), (5, 'box', 0.2, 0.1, 0.008, 0.008),
+        (6, 'tee', 0.65, 0.3, 0.025, 0.04), (7, 'profile', null, null, null, null), (8, 'profile', null, null, null, null), (9, 'round', 0.2, null, null, null), (10, 'bar', 0.1, 0.01, null, null), (11, 'tube', 0.4, null, 0.01, null),
+        (12, 'angle', 0.1, 0.1, 0.008, 0.008), (13, 'angle', 0.12, 0.08, 0.009, 0.009), (14, 'profile', null, null, null, null), (15, null, null, null, null, null)) s(k, kind, h, w, t, tf))
+    select p_partkey, text, kind, case k when 0 then cast(regexp_extract(text, '([0-9]+)x', 1) as double) / 1000 when 2 then cast(regexp_extract(text, '([0-9]+)x', 1) as double) / 1000 * 2 else h end::double as h, w::double as w, t::double as t, tf::double as tf,
+        case k when 1 then text when 7 then text when 8 then regexp_extract(text, '^UNP[0-9]+') when 14 then 'HEB300' end as profile from texts join shapes on k = p_partkey % 16""")
 def section_texts(t: Tables) -> DataFrame:
     t.raw("part").createOrReplaceTempView("part")
     rows = t.spark.sql(f"with {TEXTS} select * from texts")

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.functions.geometry import cell, neighbours
 from trussline.operators.graph import checkpointed
+from trussline.operators.spatial import points_in_boxes
 
 #: How much smaller than the largest a format's extent may be, the least share of the median area, and the formats whose areas count.
 EXTENT_SHARE, AREA_SHARE, CAD = 0.98, 0.34, ("step", "stp", "ifc", "xml")
@@ -45,19 +45,17 @@ def count_parity(counts: DataFrame, baseline: str, formats: Sequence[str]) -> Da
 def match_by_centroid(a: DataFrame, b: DataFrame, size: float, least_ratio: float = 1 / 3) -> DataFrame:
     """name_a, name_b, distance: one-to-one matches of parts (name, cx, cy, cz, diagonal, area) of two models.
 
-    A pair may match within half the smaller diagonal plus `size`, and where the smaller area is at least least_ratio of the larger. Pairs that are nearest to each other match
-    first, then those nearest among the rest, until none is left: rounds are few, as each settles every locally nearest pair. Ties go by names. Diagonals are at most `size`
-    times two, so that 27 cells of twice the size hold all partners.
+    A pair may match within half the smaller diagonal plus `size`, and where the smaller area is at least least_ratio of the larger. Partners of parts of any size are found: b's centre is sought in a box about a's that reaches half of a's
+    diagonal plus `size` to each side, on the level of that box. Pairs that are nearest to each other match first, then those nearest among the rest, until none is left. Ties go by names. Each round settles every locally nearest
+    pair, so rounds are few where parts have twins; in a row of parts whose gaps shrink, each pair waits for the next and takes a round of its own.
     """
-    wide = 2 * size
-
-    def celled(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select(F.col("name").alias(f"name_{side}"), *(F.col(f"c{c}").alias(f"{side}{c}") for c in "xyz"), F.col("diagonal").alias(f"d_{side}"), F.col("area").alias(f"area_{side}"), *(cell(F.col(f"c{c}"), wide).alias(f"g{c}") for c in "xyz"))
-
-    probe = celled(b, "b")
-    for c in "xyz":
-        probe = probe.withColumn(f"g{c}", F.explode(neighbours(F.col(f"g{c}"))))
-    pairs = celled(a, "a").join(probe, ["gx", "gy", "gz"])
+    reach = F.col("diagonal") / 2 + size
+    around = a.select(F.col("name").alias("box_id"), *(e for c in "xyz" for e in ((F.col(f"c{c}") - reach).alias(f"{c}0"), (F.col(f"c{c}") + reach).alias(f"{c}1"))))
+    near = points_in_boxes(b.select(F.col("name").alias("node_id"), *(F.col(f"c{c}").alias(c) for c in "xyz")), around, size)
+    pairs = near.select(F.col("box_id").alias("name_a"), F.col("node_id").alias("name_b"))
+    for side, rows in (("a", a), ("b", b)):
+        own = rows.select(F.col("name").alias(f"name_{side}"), *(F.col(f"c{c}").alias(f"{side}{c}") for c in "xyz"), F.col("diagonal").alias(f"d_{side}"), F.col("area").alias(f"area_{side}"))
+        pairs = pairs.join(own, f"name_{side}")
     distance = F.sqrt(sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in "yz"), (F.col("ax") - F.col("bx")) ** 2))
     ratio = F.least("area_a", "area_b") / F.greatest("area_a", "area_b")
     left = checkpointed(pairs.select("name_a", "name_b", distance.alias("distance"), "d_a", "d_b", ratio.alias("r")).where(F.col("distance") <= F.least("d_a", "d_b") / 2 + size).where(F.col("r") >= least_ratio).select("name_a", "name_b", "distance"))

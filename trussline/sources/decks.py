@@ -43,37 +43,53 @@ def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce("__own", "__held")).drop("__v", "__b", "__own", "__held")
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds `name`: 0, 1, 2 and so on in each file, by `order`; numbers within ranges of rows first, then from range to range."""
+    dealt = checkpointed(rows.repartitionByRange("file", order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("file", "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__range")) - F.col("__n")  # one row a range
+    rank = F.row_number().over(Window.partitionBy("file", "__range").orderBy(order)) - 1
+    out = dealt.withColumn("__rank", rank).join(sizes.select("file", "__range", before.alias("__before")), ["file", "__range"])
+    return out.withColumn(name, (F.col("__before") + F.col("__rank")).cast("long")).drop("__range", "__rank", "__before")
+
+
 def option(text: Column, name: str) -> Column:
     """Value of an option name=value of a keyword line, null where it has none."""
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?i),\s*{name}\s*=\s*([^,]+)", 1)), F.lit(""))
 
 
-def expanded(lines: DataFrame, levels: int = 20) -> DataFrame:
-    """Lines of decks with those of files that they include in their place; an unknown file, and one deeper than `levels`, gives nothing.
+def expanded(lines: DataFrame) -> DataFrame:
+    """Lines of decks with those of files that they include in their place, to any depth; an unknown file gives nothing.
 
-    file is the deck's, line a number of the whole; lines of included files alone (files that some other includes) are left out. Each level's lines are written once.
+    file is the deck's, line a number of the whole; lines of included files alone (files that some other includes) are left out. Each level's lines are written once. Files that include each other are an error.
     """
     name = F.nullif(F.trim(F.regexp_extract("text", r"(?i)^\*include\s*,\s*input\s*=\s*(.+)$", 1)), F.lit(""))
     known = checkpointed(lines.withColumn("included", name))
     inner = known.select(F.col("included").alias("file")).where("file is not null").distinct()
     rows = checkpointed(known.join(inner, "file", "left_anti").select("file", F.array(F.col("line").cast("long")).alias("at"), "text", "included"))
     parts = known.select(F.col("file").alias("included"), F.col("line").cast("long").alias("sub"), F.col("text").alias("sub_text"), F.col("included").alias("deeper"))
-    done = rows.where("included is null")
-    for _ in range(levels):
+    done, level, n_files = rows.where("included is null"), 0, None
+    while True:
         rows = rows.where("included is not null")
         if not rows.head(1):
             break
+        level += 1
+        if level > 20:
+            n_files = known.select("file").distinct().count() if n_files is None else n_files
+            if level > n_files:
+                raise ValueError("files include each other")
         rows = checkpointed(rows.join(parts, "included").select("file", F.concat("at", F.array("sub")).alias("at"), F.col("sub_text").alias("text"), F.col("deeper").alias("included")))
         done = done.unionByName(rows.where("included is null"))
-    return done.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("long").alias("line"), "text")
+    return numbered(done, "at", "line").select("file", "line", "text")
 
 
 def keyword_lines(lines: DataFrame) -> DataFrame:
-    """Data lines of a keyword deck with head (the keyword's line), start (its number) and keyword (lower case); comments and blank lines are dropped."""
-    real = lines.where(~F.col("text").startswith("**") & (F.trim("text") != ""))
+    """Data lines of a keyword deck with head (the keyword's line), start (its number), keyword (lower case) and seq; comments and blank lines are dropped, and seq numbers what is left."""
+    real = lines.select("file", "line", "text").where(~F.col("text").startswith("**") & (F.trim("text") != ""))
+    real = numbered(real, "line", "seq")
     head = F.struct(F.col("line").alias("start"), F.col("text").alias("head"))
     out = carried(real, F.when(F.col("text").startswith("*"), head), "h").where(~F.col("text").startswith("*") & F.col("h").isNotNull())
-    return out.select("file", "line", "text", "h.start", "h.head", F.lower(F.trim(F.regexp_extract("h.head", r"^\*([^,]+)", 1))).alias("keyword"))
+    return out.select("file", "line", "seq", "text", "h.start", "h.head", F.lower(F.trim(F.regexp_extract("h.head", r"^\*([^,]+)", 1))).alias("keyword"))
 
 
 def _fields(text: Column) -> Column:
@@ -102,10 +118,10 @@ def deck_elements(lines: DataFrame, special: bool = False) -> DataFrame:
 def _elements(keyed: DataFrame, special: bool = False) -> DataFrame:
     rows = keyed.where("keyword = 'element'").withColumn("type", F.upper(option(F.col("head"), "type")))
     rows = rows.where(F.col("type").isin(*SPECIAL) if special else ~F.col("type").isin(*SPECIAL))
-    # a record starts where the line before doesn't end in a comma
-    ends = rows.select("file", "start", (F.col("line") + 1).alias("line"), F.rtrim("text").endswith(",").alias("open"))
+    # a record starts where the line before, comments and blank lines aside, doesn't end in a comma
+    ends = rows.select("file", "start", (F.col("seq") + 1).alias("seq"), F.rtrim("text").endswith(",").alias("open"))
     first = ~F.coalesce("open", F.lit(False))
-    rows = carried(rows.join(ends, ["file", "start", "line"], "left"), F.when(first, F.col("line")), "record")
+    rows = carried(rows.join(ends, ["file", "start", "seq"], "left"), F.when(first, F.col("line")), "record")
     words = rows.select("file", "type", "head", "record", "line", _fields(F.col("text")).alias("f"))
     whole = words.groupBy("file", "record").agg(F.any_value("type").alias("elem_type"), F.any_value("head").alias("head"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line", "f"))), lambda x: x["f"])).alias("f"))
     ids = F.transform("f", lambda x: x.try_cast("long"))
@@ -115,7 +131,7 @@ def _elements(keyed: DataFrame, special: bool = False) -> DataFrame:
 def deck_sets(lines: DataFrame) -> DataFrame:
     """file, set_type (elset, nset), set_name, member_id: explicit members, `generate` ranges and sets named in sets (by any case); inline sets of element and node blocks too.
 
-    Members that the deck doesn't define are left out. Sets of sets are one level deep.
+    Members that the deck doesn't define are left out. Sets may be named in sets to any depth, also in a circle; each level is a round.
     """
     keyed = checkpointed(keyword_lines(lines))
     rows = keyed.where("keyword in ('elset', 'nset')")
@@ -127,11 +143,18 @@ def deck_sets(lines: DataFrame) -> DataFrame:
     elements, nodes = checkpointed(_elements(keyed)), _nodes(keyed)
     inline = elements.where("elset is not null").select("file", F.lit("elset").alias("set_type"), F.col("elset").alias("set_name"), F.col("elem_id").alias("member_id"))
     inline = inline.unionByName(nodes.where("nset is not null").select("file", F.lit("nset").alias("set_type"), F.col("nset").alias("set_name"), F.col("node_id").alias("member_id")))
-    direct = spans.unionByName(plain).unionByName(inline)
+    direct = checkpointed(spans.unionByName(plain).unionByName(inline).distinct())
     of_sets = named.where(F.col("m").try_cast("long").isNull()).select("file", "set_type", "set_name", F.lower("m").alias("inner"))
-    nested = of_sets.join(direct.select("file", "set_type", F.lower("set_name").alias("inner"), "member_id"), ["file", "set_type", "inner"]).drop("inner")
+    of_sets = checkpointed(of_sets.distinct())
+    found = fresh = direct
+    while True:
+        inner = fresh.select("file", "set_type", F.lower("set_name").alias("inner"), "member_id")
+        fresh = checkpointed(of_sets.join(inner, ["file", "set_type", "inner"]).select(*direct.columns).distinct().join(found, direct.columns, "left_anti"))
+        if not fresh.head(1):
+            break
+        found = found.unionByName(fresh)
     known = elements.select("file", F.lit("elset").alias("set_type"), F.col("elem_id").alias("member_id")).unionByName(nodes.select("file", F.lit("nset").alias("set_type"), F.col("node_id").alias("member_id")))
-    return direct.unionByName(nested.select(*direct.columns)).distinct().join(known, ["file", "set_type", "member_id"], "left_semi").select(*direct.columns)
+    return found.join(known, ["file", "set_type", "member_id"], "left_semi").select(*direct.columns)
 
 
 def cards(lines: DataFrame) -> DataFrame:
