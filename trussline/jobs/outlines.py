@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trussline.jobs.catalogue import query, rounded
-from trussline.operators import outlines
+from trussline.operators import outlines, simplify, tree
 from trussline.operators.mesh import area_vector, placed
 from trussline.sources.fixtures import Tables
 
@@ -59,3 +59,23 @@ def merged_outlines(t: Tables) -> DataFrame:
     whole = corners.groupBy("i", "j", "material").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("p"))
     spin = area_vector(F.col("p"))
     return rounded(whole.select("i", "j", "material", F.size("p").cast("long").alias("n"), F.abs(spin[2]).alias("area")))
+
+
+@query()
+def simplified_rings(t: Tables) -> DataFrame:
+    """Rings of patches without steps of less than a tenth of their size; tests hold the operator against a plain version, as its recursion is no SQL."""
+    rings = outlines.boundary_rings(_facets(t), ["material"])
+    named = rings.select(F.concat_ws("/", F.col("piece").cast("string"), F.col("ring").cast("string")).alias("poly_id"), "seq", "x", "y", "z")
+    return simplify.simplified(named, 0.1, 0.1).groupBy("poly_id", "changed").agg(F.count("*").alias("n_corners"))
+
+
+@query("""with recursive p as (select p_partkey as part_id, p_partkey // 3 as parent_id from part where p_partkey > 0 union all select 0, null where exists (select 1 from part where p_partkey = 0)),
+    up as (select part_id as own, part_id from p union all select up.own, q.part_id from up join p c on c.part_id = up.part_id join p q on q.part_id = c.parent_id),
+    pairs as (select distinct up.part_id, o_orderkey as weld_id, l_suppkey as member_id from orders join up on up.own = o_custkey join lineitem on l_orderkey = o_orderkey)
+    select part_id, count(distinct weld_id) as n_welds, count(distinct member_id) as n_members, count(*) as n_links from pairs group by 1""")
+def welds_below_parts(t: Tables) -> DataFrame:
+    parts = t.raw("part").select(F.col("p_partkey").alias("part_id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3)).alias("parent_id"))
+    welds = t.raw("orders").select(F.col("o_orderkey").alias("weld_id"), F.col("o_custkey").alias("part_id"))
+    members = t.raw("lineitem").select(F.col("l_orderkey").alias("weld_id"), F.col("l_suppkey").alias("member_id"))
+    found = tree.welds_for(welds, members, tree.intervals(parts))
+    return found.groupBy("part_id").agg(F.count_distinct("weld_id").alias("n_welds"), F.count_distinct("member_id").alias("n_members"), F.count("*").alias("n_links"))
