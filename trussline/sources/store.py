@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions.names import safe_identifier
 from trussline.operators.graph import shared_folder
+from trussline.sources.database import SUFFIXES, read_database
 
 #: Tables of a result store and their columns.
 SCHEMAS = {
@@ -41,10 +42,11 @@ class ResultStore(NamedTuple):
 
 
 def read_store(spark: SparkSession, path: str) -> ResultStore:
-    """A store of Parquet tables, one folder each, named and typed as in SCHEMAS."""
+    """A store of Parquet tables, one folder each, named and typed as in SCHEMAS, or a database file with these tables (by its ending)."""
 
-    def table(name: str, **renamed: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}").select(*(F.col(v).alias(k) for k, v in renamed.items()))
+    def table(which: str, /, **renamed: str) -> DataFrame:
+        rows = read_database(spark, path, which, SCHEMAS[which]) if path.lower().endswith(SUFFIXES) else spark.read.schema(SCHEMAS[which]).parquet(f"{path}/{which}")
+        return rows.select(*(F.col(v).alias(k) for k, v in renamed.items()))
 
     keys = {"instance_id": "InstanceID", "step_id": "StepID", "field_id": "FieldVarID", "frame": "Frame", "value": "Value"}
     return ResultStore(
@@ -68,7 +70,7 @@ def history(store: ResultStore, variable: str | None = None, step_id: int | None
     return rows.select("region", "instance", "elem_id", "point_id", "step", "variable", "frame", "value")
 
 
-def element_field(store: ResultStore, variable: str, step_id: int | None = None, instance_id: int | None = None, elem_id: int | None = None, int_pt: int | None = None) -> DataFrame:
+def element_field(store: ResultStore, variable: str | None = None, step_id: int | None = None, instance_id: int | None = None, elem_id: int | None = None, int_pt: int | None = None) -> DataFrame:
     rows = _named(store.elements, store, variable, {"step_id": step_id, "instance_id": instance_id, "elem_id": elem_id, "int_pt": int_pt})
     return rows.select("instance", "elem_id", "step", "variable", "int_pt", "frame", "value")
 
