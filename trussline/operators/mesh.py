@@ -135,12 +135,12 @@ def centre_of_gravity(nodes: DataFrame, elements: DataFrame, density: float = 78
 
 
 def coincident_pairs(nodes: DataFrame, tol: float = POINT_TOL) -> DataFrame:
-    """Pairs a < b of nodes at most tol apart along each axis. Cells are of the size tol; one side looks into 27 of them."""
-    size = tol * 1.000001
+    """Pairs a < b of nodes at most tol apart along each axis. Cells are 64 tolerances wide; one side stands in its own cell, the other also in those that lie within tol of it, which are hardly ever more than one."""
+    size = 64 * tol
     keyed = nodes.select("node_id", "x", "y", "z", *(cell(F.col(c), size).alias(f"c{c}") for c in "xyz"))
-    wide = keyed.select(F.col("node_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xyz"), "cx", "cy", "cz")
-    for c in ("cx", "cy", "cz"):
-        wide = wide.withColumn(c, F.explode(neighbours(F.col(c))))
+    wide = nodes.select(F.col("node_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
+    for c in "xyz":
+        wide = wide.withColumn(f"c{c}", F.explode(F.sequence(cell(F.col(f"b{c}") - 1.000001 * tol, size), cell(F.col(f"b{c}") + 1.000001 * tol, size))))
     near = keyed.withColumnRenamed("node_id", "a").join(wide, ["cx", "cy", "cz"]).where("a < b")
     for c in "xyz":
         near = near.where(F.abs(F.col(c) - F.col(f"b{c}")) <= tol)
@@ -150,12 +150,16 @@ def coincident_pairs(nodes: DataFrame, tol: float = POINT_TOL) -> DataFrame:
 def merge_coincident(nodes: DataFrame, elements: DataFrame, tol: float = POINT_TOL) -> DataFrame:
     """node_id, survivor: of nodes linked by coincidence the one in most elements, then the smallest id, stays.
 
-    Chains count as one group, so the outcome does not hang on an order of visits.
+    Chains count as one group, so the outcome does not hang on an order of visits. Only nodes that have a twin go through the rounds.
     """
-    labels = components(nodes.select(F.col("node_id").alias("node")), coincident_pairs(nodes, tol))
-    refs = labels.join(incidence(elements).withColumnRenamed("node_id", "node"), "node", "left").withColumn("refs", F.coalesce("degree", F.lit(0)))
+    pairs = checkpointed(coincident_pairs(nodes, tol))
+    twins = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = checkpointed(components(twins, pairs))
+    degrees = corners(elements).join(labels.select(F.col("node").alias("node_id")), "node_id", "left_semi").groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("degree"))
+    refs = labels.join(degrees, "node", "left").withColumn("refs", F.coalesce("degree", F.lit(0)))
     best = refs.groupBy("label").agg(F.max(F.struct("refs", (-F.col("node")).alias("minus"))).alias("best"))
-    return labels.join(best, "label").select(F.col("node").alias("node_id"), (-F.col("best.minus")).alias("survivor"))
+    moved = labels.join(best, "label").select(F.col("node").alias("node_id"), (-F.col("best.minus")).alias("survivor"))
+    return nodes.select("node_id").join(moved, "node_id", "left").select("node_id", F.coalesce("survivor", "node_id").alias("survivor"))
 
 
 def insert_nodes(existing: DataFrame, new: DataFrame, tol: float = POINT_TOL) -> DataFrame:
