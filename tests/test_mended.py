@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions import names, sections
 from trussline.jobs import joblog
-from trussline.operators import members, parity
+from trussline.operators import members, parity, spatial
 from trussline.sources import decks
 
 
@@ -170,3 +170,17 @@ def test_all_properties(spark):
     assert got[4].cz == pytest.approx(325) and got[4].shcenz == pytest.approx(0, abs=1e-9)
     assert got[6].cgz == pytest.approx(got[6].cgy) and got[6].shceny < 0
     assert got[7].cgy == pytest.approx((2 * 70 * 11 * 35 + 158 * 8 * 4) / (2 * 70 * 11 + 158 * 8)) and got[7].cz == 90
+
+
+def test_near_joints_and_a_factory(spark):
+    """Places either side of a rounding limit are one joint; a function may make nothing of a joint."""
+    lines = [(1, 0.0, 0.0, 10.0, 0.0), (2, 2.00004, -1.0, 2.00004, 1.0), (3, 2.00006, -1.0, 2.00006, 1.0), (4, 7.0, -1.0, 7.0, 1.0)]
+    beams = spark.createDataFrame([(i, a, b, 0.0, c, d, 0.0) for i, a, b, c, d in lines], "beam_id long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    crossings = spatial.beam_crossings(beams)
+    assert members.joints(crossings, beams).count() == 3
+    found = members.near_joints(crossings, beams)
+    got = sorted((round(r.x, 5), tuple(r.members)) for r in found.collect())
+    assert got == [(2.00005, (1, 2, 3)), (7.0, (1, 4))]
+    made = members.made_joints(found, lambda number, who, at: {"kind": "big", "n": len(who)} if len(who) > 2 else None, "kind string, n long, weight double")
+    assert [tuple(r) for r in made.collect()] == [("big", 3, None)]
+    assert members.near_joints(crossings.limit(0), beams).collect() == []
