@@ -3,10 +3,11 @@
 import random
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trussline.llm import chat, decontam, licences, mixing, nearcopies, pii, quality, rules, substring, tokens
+from trussline.llm import alignment, chat, decontam, licences, mixing, nearcopies, pii, quality, rules, simhash, substring, tokens
 from trussline.llm.queries import default_tokenizer
 
 #: Columns that operators add themselves.
@@ -46,6 +47,9 @@ OPERATORS = {
     "repeats": lambda spark, docs, m: substring.repeated_passages(docs),
     "near copies": lambda spark, docs, m: nearcopies.near_duplicates(docs),
     "one of each": lambda spark, docs, m: nearcopies.keep_one_of_each(docs),
+    "alignment": lambda spark, docs, m: alignment.align_tokenizers(docs, default_tokenizer(), public_tokenizers.path("piece_bpe_32k.model")),
+    "alignment, pairs joined": lambda spark, docs, m: alignment.align_tokenizers(docs, default_tokenizer(), public_tokenizers.path("piece_bpe_32k.model"), max_sent=0),
+    "simhash": lambda spark, docs, m: simhash.simhash_groups(docs),
     "rules": lambda spark, docs, m: rules.apply_rules(docs, m[1]),
     "mix": lambda spark, docs, m: mixing.mix(docs),
     "curriculum": lambda spark, docs, m: mixing.curriculum(docs),
@@ -63,6 +67,33 @@ def test_odd_rows(spark, odd, models, name):
         assert {r.score for r in rows} <= {"mine"}
 
 
+#: What operators give for a null, an empty and a blank text.
+BARE = {
+    "decontamination": {"n_words": 0, "n_hit": 0, "contaminated": False},
+    "pseudonyms": {"n_private": 0, "private_kinds": ""},
+    "licences": {"n_words": 0, "n_base": 0, "first_word": None, "last_word": None, "labels": ""},
+    "repeats": {"n_words": 0, "n_removed": 0, "kept_text": ""},
+    "near copies": {"class_id": 1, "n_copies": 3},
+    "simhash": {"print": 0, "component_id": 1},
+    "rules": {"n_words": 0, "base_failed": True, "kept": False},
+}
+
+
+@pytest.mark.parametrize("name", BARE)
+def test_values_of_bare_texts(spark, odd, models, name):
+    got = {r.doc_id: r for r in OPERATORS[name](spark, odd.where("doc_id in (1, 2, 3)"), models).collect()}
+    assert set(got) == {1, 2, 3}
+    for r in got.values():
+        assert {k: r[k] for k in BARE[name]} == BARE[name]
+
+
+def test_equal_support_and_equal_votes_give_the_same_again(spark, odd, models):
+    """Ties: rows in another order and other partitions give the same classes, groups and scores."""
+    for name in ("near copies", "simhash", "vote"):
+        one, two = ({tuple(map(str, (r.doc_id, *(r[c] for c in ("class_id", "component_id", "score") if c in r)))) for r in OPERATORS[name](spark, d, models).collect()} for d in (odd, odd.orderBy(F.desc("doc_id")).repartition(5)))
+        assert one == two
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_no_rows(spark, odd, models, name):
     assert OPERATORS[name](spark, odd.limit(0), models).collect() == []

@@ -1,14 +1,12 @@
 """The pipeline's stages and whole run on one small folder with nulls, empty texts and clashing columns, against plain versions."""
 
 import random
-from pathlib import Path
 
 import corpus_pipeline
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from trussline.jobs import registry
 from trussline.llm import queries
 
 DOCS = "doc_id long, text string, source string, score string, size string, contaminated string, starts string"
@@ -84,8 +82,3 @@ def test_run(spark, folder):
         assert r.least == r.most == len(tk.encode(texts[r.doc_id] or "", add_special_tokens=False).ids) + 1
     good = {i for i, t in texts.items() if i < 100 or i in (203,)}
     assert {r.doc_id for r in got} <= set(near_by_force(texts)) - {202} - set(range(100, 130)) and len({r.doc_id for r in got} & good) > 40
-
-
-def test_mode_values_grow_with_the_table(spark):
-    n = registry.QUERIES["mode_values"](spark, "/root/testdata/sf0.001").count()
-    assert n == 6 * spark.read.parquet(str(Path("/root/testdata/sf0.001/supplier.parquet"))).count()
