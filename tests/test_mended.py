@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trussline.functions import names, sections
-from trussline.jobs import joblog
+from trussline.jobs import joblog, registry
 from trussline.operators import members, parity, spatial
 from trussline.sources import decks
 
@@ -184,3 +184,8 @@ def test_near_joints_and_a_factory(spark):
     made = members.made_joints(found, lambda number, who, at: {"kind": "big", "n": len(who)} if len(who) > 2 else None, "kind string, n long, weight double")
     assert [tuple(r) for r in made.collect()] == [("big", 3, None)]
     assert members.near_joints(crossings.limit(0), beams).collect() == []
+
+
+def test_mode_values_grow_with_the_table(spark):
+    folder = "/root/testdata/sf0.001"
+    assert registry.QUERIES["mode_values"](spark, folder).count() == 6 * spark.read.parquet(f"{folder}/supplier.parquet").count()
