@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions import names, sections
 from trussline.jobs import joblog, registry
-from trussline.operators import members, parity, spatial
+from trussline.operators import members, parity, routes, spatial
 from trussline.sources import decks
 
 
@@ -189,3 +189,34 @@ def test_near_joints_and_a_factory(spark):
 def test_mode_values_grow_with_the_table(spark):
     folder = "/root/testdata/sf0.001"
     assert registry.QUERIES["mode_values"](spark, folder).count() == 6 * spark.read.parquet(f"{folder}/supplier.parquet").count()
+
+
+def test_slanted_faces_equal_all_pairs(spark):
+    r = random.Random(5)
+    spot = lambda w=12: tuple(r.uniform(-w, w) for _ in range(3))
+    faces = []
+    for i in range(60):
+        o, u, v = spot(), *((spot(1), spot(1)) if i % 3 else (spot(9), spot(9)))
+        faces.append((i, [o, tuple(a + b for a, b in zip(o, u, strict=True)), tuple(a + b + c for a, b, c in zip(o, u, v, strict=True)), tuple(a + c for a, c in zip(o, v, strict=True))]))
+    faces.append((99, [(0.0, 0.0, 0.0), (4.0, 0.0, 0.0), (4.0, 4.0, 0.0), (0.0, 4.0, 0.0)]))
+    segments = [(0, k, *spot(), *spot()) for k in range(150)] + [(1, 0, 2.0, 2.0, -1.0, 2.0, 2.0, 1.0), (1, 1, 2.0, 2.0, 0.0, 2.0, 2.0, 8.0), (1, 2, 1.0, 1.0, 0.0, 3.0, 1.0, 0.0), (1, 3, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    want = set()
+    for f, p in faces:
+        n = [0.0, 0.0, 0.0]
+        for a, b in zip(p, p[1:] + p[:1], strict=True):
+            n = [n[0] + a[1] * b[2] - a[2] * b[1], n[1] + a[2] * b[0] - a[0] * b[2], n[2] + a[0] * b[1] - a[1] * b[0]]
+        n = [x / math.hypot(*n) for x in n]
+        for system, seq, *ends in segments:
+            a, d = ends[:3], [y - x for x, y in zip(ends[:3], ends[3:], strict=True)]
+            across = sum(x * y for x, y in zip(n, d, strict=True))
+            if abs(across) < 1e-6:
+                continue
+            t = sum(x * (y - z) for x, y, z in zip(n, p[0], a, strict=True)) / across
+            hit = [x + t * y for x, y in zip(a, d, strict=True)]
+            if 0 <= t <= 1 and all(min(c) - 1e-6 <= h <= max(c) + 1e-6 for h, c in zip(hit, zip(*p, strict=True), strict=True)):
+                want.add((system, seq, f))
+    kind = "face_id long, p array<struct<x double, y double, z double>>"
+    for size in (0.7, 2.0, 30.0):
+        got = routes.polygon_crossings(spark.createDataFrame(segments, "system long, seq long, x double, y double, z double, x2 double, y2 double, z2 double"), spark.createDataFrame(faces, kind), size=size)
+        assert {(r.system, r.seq, r.face_id) for r in got.collect()} == want
+    assert len(want) > 30 and {(1, 0, 99), (1, 1, 99)} <= want

@@ -36,6 +36,20 @@ def face_crossings(t: Tables) -> DataFrame:
     return rounded(hits.groupBy("face_id").agg(F.count("*").alias("n"), F.sum("hx").alias("hx"), F.sum("hz").alias("hz")), 4)
 
 
+@query("""with f as (select p_partkey as face_id, cast(p_partkey % 20 as double) + 0.5 as x0, cast(floor(p_partkey / 20) % 10 as double) + 0.5 as y0, cast(p_size % 5 as double) + 0.5 as z0 from part),
+    d as (select *, (3 * (z2 - z) - (x2 - x) - (y2 - y)) / sqrt(11) as across, (3 * (z0 - z) - (x0 - x) - (y0 - y)) / sqrt(11) as away from v_segments cross join f),
+    h as (select face_id, x0, y0, z0, x + away / across * (x2 - x) as hx, y + away / across * (y2 - y) as hy, z + away / across * (z2 - z) as hz from d where abs(across) >= 0.000001 and away / across between 0 and 1)
+    select face_id, count(*) as n, round(sum(hx), 4) as hx, round(sum(hz), 4) as hz from h
+    where hx between x0 - 0.000001 and x0 + 3.000001 and hy between y0 - 0.000001 and y0 + 3.000001 and hz between z0 - 0.000001 and z0 + 2.000001 group by 1""")
+def polygon_crossings(t: Tables) -> DataFrame:
+    """Slanted squares of z = z0 + (x - x0 + y - y0) / 3."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    base = t.raw("part").select(k.alias("face_id"), ((k % 20).cast("double") + 0.5).alias("x0"), ((F.floor(k / 20) % 10).cast("double") + 0.5).alias("y0"), ((n % 5).cast("double") + 0.5).alias("z0"))
+    corners = F.array(*(F.struct((F.col("x0") + 3.0 * i).alias("x"), (F.col("y0") + 3.0 * j).alias("y"), (F.col("z0") + 1.0 * (i + j)).alias("z")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))))
+    hits = routes.polygon_crossings(t.view("v_segments"), base.select("face_id", corners.alias("p")))
+    return rounded(hits.groupBy("face_id").agg(F.count("*").alias("n"), F.sum("hx").alias("hx"), F.sum("hz").alias("hz")), 4)
+
+
 @query("""with b as (select box_id, cast(x0 as double) - 0.11 as x0, cast(x1 as double) + 0.11 as x1, cast(y0 as double) - 0.11 as y0, cast(y1 as double) + 0.11 as y1, cast(z0 as double) - 0.11 as z0, cast(z1 as double) + 0.11 as z1 from v_boxes),
     near as (select * from v_segments join b on least(x, x2) <= x1 and greatest(x, x2) >= x0 and least(y, y2) <= y1 and greatest(y, y2) >= y0 and least(z, z2) <= z1 and greatest(z, z2) >= z0 where box_id <> system % 50),
     pts as (select *, x + (x2 - x) * k / 23 as px, y + (y2 - y) * k / 23 as py, z + (z2 - z) * k / 23 as pz from near cross join range(24) r(k)),

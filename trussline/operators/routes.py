@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trussline.functions.geometry import Point, cell, dot, minus, norm, point
-from trussline.operators.spatial import in_cells
+from trussline.operators.mesh import area_vector
+from trussline.operators.spatial import CELL, at_home, in_cells, levelled, levels_of
 
 
 def _boxed(segments: DataFrame, grow: float) -> DataFrame:
@@ -59,6 +60,62 @@ def face_crossings(segments: DataFrame, faces: DataFrame, tol: float = 1e-6, siz
     return hits.select("system", "seq", "face_id", "hx", "hy", "hz")
 
 
+def _passed(a: Column, b: Column, size: Column):
+    """For a transform: how far along from a to b the k-th limit of cells is."""
+    return lambda k: (k * size - a) / (b - a)
+
+
+def _coordinate(c: str):
+    return lambda q: q[c]
+
+
+def cells_crossed(p: Point, q: Point, size: Column) -> Column:
+    """Cells (cx, cy, cz) of one size that the segment from p to q runs through: some three for each cell's width of its length, not all those of its box.
+
+    The segment is cut where it passes from one cell to the next along any axis; each part lies in the cell of its middle.
+    """
+    cuts = []
+    for a, b in zip(p, q, strict=True):
+        low, high = F.floor(F.least(a, b) / size) + 1, F.floor(F.greatest(a, b) / size)
+        planes = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
+        cuts.append(F.transform(planes, _passed(a, b, size)))
+    ts = F.array_sort(F.concat(F.array(F.lit(0.0)), *cuts, F.array(F.lit(1.0))))
+
+    def cell_of(pair: Column) -> Column:
+        t = (pair["0"] + pair["1"]) / 2
+        return F.struct(*(F.floor((a + t * (b - a)) / size).cast("long").alias(f"c{c}") for c, a, b in zip("xyz", p, q, strict=True)))
+
+    return F.array_distinct(F.transform(F.arrays_zip(F.slice(ts, F.lit(1), F.size(ts) - 1), F.slice(ts, F.lit(2), F.size(ts) - 1)), cell_of))
+
+
+def polygon_crossings(segments: DataFrame, faces: DataFrame, tol: float = 1e-6, size: float = 2.0) -> DataFrame:
+    """system, seq, face_id, hx, hy, hz: where a segment meets a flat face of any normal, within the box of its corners; segments along the plane have none.
+
+    faces: face_id and p, its corners in order. A face sits in the few cells of the level of its box, a segment walks through the cells of each level that there is.
+    """
+    spun = area_vector(F.col("p"))
+    flat = faces.where(F.size("p") >= 3).select("face_id", F.get("p", F.lit(0)).alias("p0"), *(v.alias(f"w{c}") for v, c in zip(spun, "xyz", strict=True)), *(e for c in "xyz" for e in (
+        F.array_min(F.transform("p", _coordinate(c))).alias(f"{c}0"), F.array_max(F.transform("p", _coordinate(c))).alias(f"{c}1"))))
+    length = norm(point("wx", "wy", "wz"))
+    flat = flat.withColumn("l", length).where("l > 0").select("face_id", *((F.col(f"w{c}") / F.col("l")).alias(f"n{c}") for c in "xyz"), *(F.col("p0")[c].alias(f"o{c}") for c in "xyz"), *(
+        e for c in "xyz" for e in ((F.col(f"{c}0") - tol).alias(f"{c}0"), (F.col(f"{c}1") + tol).alias(f"{c}1"))))
+    wide = flat.select("face_id", *(e for c in "xyz" for e in ((F.col(f"{c}0") - tol).alias(f"{c}0"), (F.col(f"{c}1") + tol).alias(f"{c}1"))))
+    held = levelled(wide, size)
+    levels = levels_of(held) or [0]
+    held = at_home(held, size).select("face_id", *CELL)
+    walk = segments.select("system", "seq", *"xyz", "x2", "y2", "z2", F.explode(F.array(*(F.lit(v) for v in levels))).alias("level"))
+    walk = walk.withColumn("c", F.explode(cells_crossed(point("x", "y", "z"), point("x2", "y2", "z2"), size * F.pow(F.lit(2.0), F.col("level"))))).select("system", "seq", "level", "c.cx", "c.cy", "c.cz")
+    pairs = walk.join(held, CELL).select("system", "seq", "face_id").distinct()
+    met = pairs.join(segments.select("system", "seq", *"xyz", "x2", "y2", "z2"), ["system", "seq"]).join(flat.select("face_id", *(F.col(f"{k}{c}") for k in "no" for c in "xyz"), *(F.col(f"{c}{i}").alias(f"b{c}{i}") for c in "xyz" for i in "01")), "face_id")
+    across = dot(point("nx", "ny", "nz"), minus(point("x2", "y2", "z2"), point("x", "y", "z")))
+    away = dot(point("nx", "ny", "nz"), minus(point("ox", "oy", "oz"), point("x", "y", "z")))
+    met = met.withColumns({"across": across, "away": away}).where(F.abs("across") >= tol).withColumn("t", F.try_divide("away", "across")).where("t between 0 and 1")
+    met = met.withColumns({f"h{c}": F.col(c) + F.col("t") * (F.col(f"{c}2") - F.col(c)) for c in "xyz"})
+    for c in "xyz":
+        met = met.where(F.col(f"h{c}").between(F.col(f"b{c}0"), F.col(f"b{c}1")))
+    return met.select("system", "seq", "face_id", "hx", "hy", "hz")
+
+
 def runs_through_boxes(segments: DataFrame, boxes: DataFrame, half: float, own: DataFrame | None = None, samples: int = 24, size: float = 2.0) -> DataFrame:
     """system, box_id, seq, sample: the first of `samples` points a segment, ends included, inside a box grown by half the run's width.
 
