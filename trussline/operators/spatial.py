@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from trussline.functions.geometry import cell, closest_approach, dot, minus, norm, point
 
 
+def exploded(rows: DataFrame) -> DataFrame:
+    """Rows of an explode, for a join that shuffles both sides: Spark counts none of an explode's rows in its estimates and would send such a side whole through the driver."""
+    return rows.hint("merge")
+
+
 def in_cells(boxes: DataFrame, size: float) -> DataFrame:
     """A row for each cell of one size that a box touches: cx, cy, cz. For boxes of like size; see `at_home` for others."""
     for c in "xyz":
         boxes = boxes.withColumn(f"c{c}", F.explode(F.sequence(cell(F.col(f"{c}0"), size), cell(F.col(f"{c}1"), size))))
-    return boxes
+    return exploded(boxes)
 
 
 def levelled(boxes: DataFrame, size: float) -> DataFrame:
@@ -29,7 +34,7 @@ def at_home(boxes: DataFrame, size: float) -> DataFrame:
     """Levelled boxes with a row for each cell of their level that they touch."""
     for c in "xyz":
         boxes = boxes.withColumn(f"c{c}", F.explode(F.sequence(_grid(F.col(f"{c}0"), size), _grid(F.col(f"{c}1"), size))))
-    return boxes
+    return exploded(boxes)
 
 
 def levels_of(boxes: DataFrame) -> list[int]:
@@ -89,8 +94,11 @@ def overlapping_boxes(boxes: DataFrame, size: float = 2.0, least: float = 1e-4,
     return pairs.select("a", "b", (sides[0] * sides[1] * sides[2]).alias("volume")).where(F.col("volume") > least_volume)
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 2.0) -> DataFrame:
-    """box_id, node_id of points inside a box, bounds included. A box is in at most eight cells of its level, a point in one of each level."""
+def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 2.0, also: Column | None = None) -> DataFrame:
+    """box_id, node_id of points inside a box, bounds included. A box is in at most eight cells of its level, a point in one of each level.
+
+    also: a further condition on the point's x, y, z and the box's x0..z1.
+    """
     held = levelled(boxes, size)
     levels = levels_of(held) or [0]
     keyed = points.select("node_id", "x", "y", "z", F.explode(F.array(*(F.lit(v) for v in levels))).alias("level"))
@@ -98,7 +106,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 2.0) -> D
     hits = at_home(held, size).join(keyed, CELL)
     for c in "xyz":
         hits = hits.where(F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1")))
-    return hits.select("box_id", "node_id")
+    return (hits if also is None else hits.where(also)).select("box_id", "node_id")
 
 
 def segments(route: DataFrame) -> DataFrame:
