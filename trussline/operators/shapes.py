@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trussline.functions.geometry import cross, dot, minus, norm
 from trussline.operators.mesh import area_vector
 from trussline.operators.patches import cell_faces
+from trussline.operators.spatial import exploded
 
 
 def _at(p: Column, i: Column) -> tuple[Column, Column, Column]:
@@ -128,7 +129,7 @@ def coplanar_neighbours(cells: DataFrame) -> DataFrame:
     level = F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z"))
     rows = edges.withColumn("level", level).select("cell_id", "axis", "side", "level", "x", "y", "z")
     other = rows.select(F.col("cell_id").alias("b"), F.col("side").alias("side_b"), "axis", "level", "x", "y", "z")
-    return rows.withColumnRenamed("cell_id", "a").join(other, ["axis", "level", "x", "y", "z"]).where("a < b and side = side_b").select("a", "b", "side").distinct()
+    return exploded(rows.withColumnRenamed("cell_id", "a")).join(other, ["axis", "level", "x", "y", "z"]).where("a < b and side = side_b").select("a", "b", "side").distinct()
 
 
 def coincident_cells(cells: DataFrame, digits: int = 6) -> DataFrame:
