@@ -23,8 +23,7 @@ SPAN = "case axis when 0 then {f}(x, x2) when 1 then {f}(y, y2) else {f}(z, z2)
 
 @query(f"select plane_id, count(*) as n, count(distinct system) as systems from v_segments join v_planes on level > {SPAN.format(f='least')} and level < {SPAN.format(f='greatest')} group by 1")
 def plane_penetrations(t: Tables) -> DataFrame:
-    hits = routes.plane_penetrations(t.view("v_segments"), t.view("v_planes"))
-    return hits.groupBy("plane_id").agg(F.count("*").alias("n"), F.count_distinct("system").alias("systems"))
+    return routes.plane_counts(t.view("v_segments"), t.view("v_planes"))
 
 
 @query("""with d as (select *, nx * (x2 - x) + ny * (y2 - y) + nz * (z2 - z) as across, nx * (x0 - x) + ny * (y0 - y) + nz * (z0 - z) as away from v_segments cross join v_faces),
@@ -32,8 +31,7 @@ def plane_penetrations(t: Tables) -> DataFrame:
     select face_id, count(*) as n, round(sum(hx), 4) as hx, round(sum(hz), 4) as hz from h
     where hx between x0 - 0.000001 and x1 + 0.000001 and hy between y0 - 0.000001 and y1 + 0.000001 and hz between z0 - 0.000001 and z1 + 0.000001 group by 1""")
 def face_crossings(t: Tables) -> DataFrame:
-    hits = routes.face_crossings(t.view("v_segments"), t.view("v_faces"))
-    return rounded(hits.groupBy("face_id").agg(F.count("*").alias("n"), F.sum("hx").alias("hx"), F.sum("hz").alias("hz")), 4)
+    return rounded(routes.face_crossing_sums(t.view("v_segments"), t.view("v_faces")).drop("hy"), 4)
 
 
 @query("""with f as (select p_partkey as face_id, cast(p_partkey % 20 as double) + 0.5 as x0, cast(floor(p_partkey / 20) % 10 as double) + 0.5 as y0, cast(p_size % 5 as double) + 0.5 as z0 from part),
@@ -46,8 +44,7 @@ def polygon_crossings(t: Tables) -> DataFrame:
     k, n = F.col("p_partkey"), F.col("p_size")
     base = t.raw("part").select(k.alias("face_id"), ((k % 20).cast("double") + 0.5).alias("x0"), ((F.floor(k / 20) % 10).cast("double") + 0.5).alias("y0"), ((n % 5).cast("double") + 0.5).alias("z0"))
     corners = F.array(*(F.struct((F.col("x0") + 3.0 * i).alias("x"), (F.col("y0") + 3.0 * j).alias("y"), (F.col("z0") + 1.0 * (i + j)).alias("z")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))))
-    hits = routes.polygon_crossings(t.view("v_segments"), base.select("face_id", corners.alias("p")))
-    return rounded(hits.groupBy("face_id").agg(F.count("*").alias("n"), F.sum("hx").alias("hx"), F.sum("hz").alias("hz")), 4)
+    return rounded(routes.polygon_crossing_sums(t.view("v_segments"), base.select("face_id", corners.alias("p"))).drop("hy"), 4)
 
 
 @query("""with b as (select box_id, cast(x0 as double) - 0.11 as x0, cast(x1 as double) + 0.11 as x1, cast(y0 as double) - 0.11 as y0, cast(y1 as double) + 0.11 as y1, cast(z0 as double) - 0.11 as z0, cast(z1 as double) + 0.11 as z1 from v_boxes),
