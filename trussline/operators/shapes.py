@@ -102,9 +102,14 @@ def wall_groups(faces: DataFrame, digits: int = 6) -> DataFrame:
     return faces.where("wall").groupBy(axis.alias("axis"), level.alias("level")).agg(F.count("*").alias("n"))
 
 
+#: So many cells a task at most before they become 24 edges each.
+CELLS_A_TASK = 50_000
+
+
 def face_edges(cells: DataFrame) -> DataFrame:
-    """cell_id, side and the middles (x, y, z) of each face's four edges."""
-    faces = cell_faces(cells).select("cell_id", "side", "key")
+    """cell_id, side and the middles (x, y, z) of each face's four edges. Cells are dealt anew first: a small file of many cells is one task, which would hold all their edges."""
+    dealt = cells.repartition(max(1, -(-cells.count() // CELLS_A_TASK)), "cell_id")
+    faces = cell_faces(dealt).select("cell_id", "side", "key")
     low, high = {c: F.col("key")[i] for i, c in enumerate("xyz")}, {c: F.col("key")[i + 3] for i, c in enumerate("xyz")}
     out = []
     for free in "xyz":
