@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,9 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder, so that a lost executor costs no recomputation. As a table: Spark's own checkpoint works out its last stage twice and keeps rows as Java objects."""
+    return written(df)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -37,23 +36,31 @@ def written(df: DataFrame) -> DataFrame:
 def ranked_cycles(steps: DataFrame) -> DataFrame:
     """Numbers along closed chains: steps (e, next: distinct longs, each e the next of one) to e, cycle (its smallest e), rank (steps from that one), n (steps in all).
 
-    Pointer doubling: after k rounds each e knows the smallest of the 2^k that follow and how far off it is. A round that changes no smallest one has seen all. No chain is walked in one task,
-    and a chain of a million steps takes twenty rounds.
+    Pointer doubling: after k rounds each e knows the smallest of the 2^k that follow and how far off it is. A chain whose smallest e finds itself again within reach is done and leaves the rounds, so later ones hold long chains only.
+    No chain is walked in one task, and a chain of a million steps takes twenty rounds.
     """
-    reach = 1
-    at = written(steps.select("e", F.col("next").alias("jump"), F.struct(F.col("e").alias("low"), F.lit(0).cast("long").alias("off")).alias("least")))
-    digest = (F.bit_xor(F.xxhash64("e", "least.low")), F.bit_xor(F.xxhash64("least.low", "e")))
-    seen = at.agg(*digest).first()
-    while True:
-        far = at.select(F.col("e").alias("jump"), F.col("jump").alias("further"), F.struct(F.col("least.low").alias("low"), (F.col("least.off") + reach).alias("off")).alias("then"))
-        at = written(at.join(far, "jump").select("e", F.col("further").alias("jump"), F.least("least", "then").alias("least")))
+    reach, done = 1, []
+    at = written(steps.select("e", F.col("next").alias("jump"), F.col("e").alias("low"), F.lit(0).cast("long").alias("off")))
+    while (left := at.count()) and reach <= 2 * left:  # further than that no chain reaches
+        far = at.select(F.col("e").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("then"), (F.col("off") + reach).alias("further_off"))
+        nearer = F.col("low") <= F.col("then")
+        met = at.join(far, "jump").select(
+            "e", F.col("further").alias("jump"), F.when(nearer, F.col("low")).otherwise(F.col("then")).alias("low"), F.when(nearer, F.col("off")).otherwise(F.col("further_off")).alias("off"),
+            ((F.col("e") == F.col("low")) & (F.col("e") == F.col("then"))).alias("round"),
+        )
+        at = written(met)
         reach *= 2
-        now = at.agg(*digest).first()
-        if now == seen:
-            break
-        seen = now
-    sizes = at.groupBy("least.low").agg(F.count("*").alias("n"))
-    return at.join(sizes, at["least.low"] == sizes["low"]).select("e", F.col("least.low").alias("cycle"), F.pmod(F.col("n") - F.col("least.off"), "n").alias("rank"), "n")
+        if reach < 4:  # hardly a chain is shorter
+            continue
+        closed = at.where("round").select("low")
+        if closed.head(1):
+            done.append(at.join(closed, "low", "left_semi").select("e", "low", "off"))
+            at = written(at.join(closed, "low", "left_anti"))
+    every = at.select("e", "low", "off")
+    for rows in done:
+        every = every.union(rows)
+    sizes = every.groupBy("low").agg(F.count("*").alias("n"))
+    return every.join(sizes, "low").select("e", F.col("low").alias("cycle"), F.pmod(F.col("n") - F.col("off"), "n").alias("rank"), "n")
 
 
 def parity_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -70,21 +77,35 @@ def parity_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (node), links (a, b): node and label, the smallest node it is linked to over any path.
+    """nodes (node, a whole number), links (a, b) between them: node and label, the smallest node it is linked to over any path.
 
-    Labels travel along links and meet in partial minima; each round also follows labels of labels. Rounds are checkpointed and
-    grow with the logarithm of the longest path.
+    Links are contracted: each node moves to its least neighbour's least neighbour, links lead between what their ends moved to, and those that have become one leave. So rounds get smaller, and components that are done cost none.
+    Least by the hash of a node (one to one for whole numbers), as a chain numbered along itself would hardly get shorter otherwise: rounds grow with the logarithm of the longest path. The way back goes over the written moves.
     """
-    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    labels = checkpointed(least.select("node", F.least("node", "least").alias("label")))
-    digest = (F.bit_xor(F.xxhash64("node", "label")), F.bit_xor(F.xxhash64("label", "node")))
-    seen = labels.agg(*digest).first()
-    while True:
-        sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
-        back = labels.select(F.col("label").alias("node"), F.col("node").alias("from")).join(labels, "node").select(F.col("from").alias("node"), "label")
-        labels = checkpointed(sent.union(labels.select("node", "label")).union(back).groupBy("node").agg(F.min("label").alias("label")))
-        now = labels.agg(*digest).first()
-        if now == seen:
-            return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        seen = now
+    kind = nodes.schema["node"].dataType
+
+    def key(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("long")))
+
+    def ordered(p: Column, q: Column) -> list[Column]:
+        return [F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")]
+
+    open_ = written(links.where("a <> b").select(*ordered(key("a"), key("b"))).distinct())
+    moves = []
+    while open_.head(1):
+        to = open_.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("to"))
+        then = to.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        moved = written(to.join(then, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+        moves.append(moved)
+        ends = open_.join(moved.select(F.col("node").alias("hi"), F.col("to").alias("q")), "hi").join(moved.select(F.col("node").alias("lo"), F.col("to").alias("p")), "lo", "left")
+        open_ = written(ends.select(F.coalesce("p", "lo").alias("p"), "q").where("p <> q").select(*ordered(F.col("p"), F.col("q"))).distinct())
+    if not moves:
+        return nodes.select("node", F.col("node").alias("label"))
+    last = moves[-1]
+    for moved in reversed(moves[:-1]):
+        on = moved.join(last.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+        # nodes that stayed in this round and moved in a later one
+        last = on.union(last.join(moved.select("node"), "node", "left_anti"))
+    found = written(nodes.select("node", key("node").alias("key")).join(last.withColumnRenamed("node", "key"), "key", "left").select("node", F.coalesce("to", "key").alias("root")))
+    least = found.groupBy("root").agg(F.min("node").alias("label"))
+    return found.join(least, "root", "left").select("node", F.coalesce("label", "node").cast(kind).alias("label"))

@@ -6,7 +6,7 @@ an array of (x, y, z); corners are the same where they agree to `digits` decimal
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +19,16 @@ def _spot(q: Column, digits: int) -> Column:
     return F.struct(*((F.round(q[c], digits) + 0.0).alias(c) for c in "xyz"))  # + 0.0: no negative zero
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def facet_sides(facets: DataFrame, by: Sequence[str], digits: int = 9) -> DataFrame:
     """facet_id, *by, a, b: the sides of facets from corner to corner, in the facet's direction. A corner that follows itself counts once; facets of fewer than three corners give none."""
-    spots = F.transform("p", lambda q: _spot(q, digits))
-    clean = facets.select("facet_id", *by, spots.alias("s")).withColumn("s", F.filter(F.col("s"), lambda q, i: q != F.get(F.col("s"), F.pmod(i - 1, F.size("s")))))
-    sides = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", F.pmod(i + 1, F.size("s"))).alias("b")))
-    return clean.where(F.size("s") >= 3).select("facet_id", *by, F.explode(sides).alias("e")).select("facet_id", *by, "e.a", "e.b")
+    spots = _once(F.transform("p", lambda q: _spot(q, digits)), lambda s: F.filter(s, lambda q, i: q != F.get(s, F.pmod(i - 1, F.size(s)))))
+    sides = _once(spots, lambda s: F.when(F.size(s) >= 3, F.transform(s, lambda q, i: F.struct(q.alias("a"), F.get(s, F.pmod(i + 1, F.size(s))).alias("b")))))
+    return facets.select("facet_id", *by, F.inline(sides))
 
 
 def agreeing_sides(sides: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -32,10 +36,11 @@ def agreeing_sides(sides: DataFrame, by: Sequence[str]) -> DataFrame:
 
     Facets are neighbours over a side that exactly two sides of the same `by` share. A piece is what is linked so, named by its smallest facet, whose direction holds for all; clash: it can't be had (a band that is twisted).
     """
-    side = F.struct("facet_id", (F.col("a") < F.col("b")).alias("up"))
+    # a facet and its direction in one number: extremes of numbers are found by hashing, those of structs by sorting
+    side = F.col("facet_id").cast("long") * 2 + (F.col("a") < F.col("b")).cast("long")
     shared = sides.groupBy(*by, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n"), F.min(side).alias("p"), F.max(side).alias("q")).where("n = 2")
-    links = shared.where("p.facet_id <> q.facet_id").select(F.col("p.facet_id").alias("a"), F.col("q.facet_id").alias("b"), (F.col("p.up") == F.col("q.up")).alias("odd"))
-    turned = parity_components(sides.select(F.col("facet_id").alias("node")).distinct(), links)
+    met = shared.select(*(F.shiftright(c, 1).alias(n) for c, n in (("p", "a"), ("q", "b"))), (F.col("p") % 2 == F.col("q") % 2).alias("odd"))
+    turned = checkpointed(parity_components(sides.select(F.col("facet_id").alias("node")).distinct(), met.where("a <> b")))
     turned = turned.join(turned.groupBy("label").agg(F.bool_or("clash").alias("__clash")), "label")
     turned = turned.select(F.col("node").alias("facet_id"), F.col("label").alias("piece"), "flip", F.col("__clash").alias("clash"))
     out = sides.join(turned, "facet_id")
@@ -80,31 +85,32 @@ def boundary_rings(facets: DataFrame, by: Sequence[str] = (), digits: int = 9, s
     With split_pinches=False such a piece has no rings. Pieces that can't be turned to agree, and pieces whose edges don't close, have none either.
     """
     by = list(by)
-    sides = checkpointed(agreeing_sides(facet_sides(facets, by, digits), by))
+    sides = checkpointed(agreeing_sides(checkpointed(facet_sides(facets, by, digits)), by))
     sides = sides.where("not clash")
     one = [*by, "piece"]
     # ids stay as they are written
     edges = checkpointed(net_edges(sides.drop("facet_id", "clash"), one).withColumn("e", F.monotonically_increasing_id()))
     spins = cross(_xyz("a"), _xyz("b"))
     normals = _with_axis(sides.groupBy("piece").agg(*(F.sum(v).alias(f"n{c}") for v, c in zip(spins, "xyz", strict=True))), tuple(F.col(f"n{c}") for c in "xyz")).select("piece", "drop", "sign")
-    leaving = edges.groupBy("piece", F.col("a").alias("at")).agg(F.count("*").alias("n_out"))
-    arriving = edges.groupBy("piece", F.col("b").alias("at")).agg(F.count("*").alias("n_in"))
+    # corners with the edges that leave and arrive: where that is one of each, one follows the other without a join
+    ends = [edges.select("piece", F.col(c).alias("at"), *(F.when(F.lit(c == k), F.col("e")).alias(n) for k, n in (("a", "out"), ("b", "into")))) for c in "ab"]
+    corners = ends[0].union(ends[1]).groupBy("piece", "at").agg(F.count("out").alias("n_out"), F.count("into").alias("n_in"), F.min("out").alias("next"), F.min("into").alias("e"))
+    corners = checkpointed(corners)
     # a corner that not as many edges leave as arrive at
-    open_ = leaving.join(arriving, ["piece", "at"], "full").where("n_out is null or n_in is null or n_out <> n_in")
-    bad = open_.select("piece") if split_pinches else open_.select("piece").union(leaving.where("n_out > 1").select("piece"))
-    usual = edges.join(bad.distinct(), "piece", "left_anti")
-    then = usual.select("piece", F.col("a").alias("b"), F.col("b").alias("c"), F.col("e").alias("next"))
-    meets = checkpointed(usual.join(then, ["piece", "b"]).join(leaving.withColumnRenamed("at", "b"), ["piece", "b"]))
-    steps = meets.where("n_out = 1").select("piece", "e", "next")
+    bad = corners.where("n_out <> n_in" if split_pinches else "n_out <> n_in or n_out > 1").select("piece").distinct()
+    usual = corners.join(bad, "piece", "left_anti")
+    steps = usual.where("n_out = 1").select("piece", "e", "next")
     if split_pinches:
-        sharp = meets.where("n_out > 1").join(normals, "piece")
+        pinches = usual.where("n_out > 1").select("piece", F.col("at").alias("b"))
+        then = edges.select("piece", F.col("a").alias("b"), F.col("b").alias("c"), F.col("e").alias("next"))
+        sharp = edges.join(pinches, ["piece", "b"]).join(then.join(pinches, ["piece", "b"]), ["piece", "b"]).join(normals, "piece")
         back, on = (_flat(minus(_xyz(x), _xyz("b")), F.col("drop"), F.col("sign")) for x in ("a", "c"))
         turn = F.pmod(F.atan2(on[1], on[0]) - F.atan2(back[1], back[0]) + F.lit(1e-12), F.lit(2 * 3.141592653589793))
         best = sharp.groupBy("piece", "e").agg(F.max(F.struct(turn.alias("turn"), "next")).alias("best")).select("piece", "e", F.col("best.next").alias("next"))
         steps = checkpointed(steps.union(best))
         torn = steps.groupBy("piece", "next").agg(F.count("*").alias("n")).where("n > 1").select("piece").distinct()
         steps = steps.join(torn, "piece", "left_anti")
-    rings = ranked_cycles(steps.select("e", "next"))
+    rings = checkpointed(ranked_cycles(steps.select("e", "next")))
     rows = checkpointed(edges.join(rings, "e").select(*one, "cycle", "rank", "n", "a"))
     first = rows.groupBy(*one, "cycle", "n").agg(F.min(F.struct("a", "rank")).alias("first"))
     order = Window.partitionBy(*one).orderBy(F.desc("n"), "first.a", "cycle")  # one row for each ring of a piece
