@@ -128,14 +128,14 @@ def smooth_patches(t: Tables) -> DataFrame:
 
 @query(f"{SMOOTH} select elem_id as facet_id, label as seed from patch")
 def flat_patches(t: Tables) -> DataFrame:
-    facets = placed(_roof(t), t.view("v_elements")).select(F.col("elem_id").alias("facet_id"), "material", "thickness", "p")
+    facets = placed(_roof(t), t.view("v_elements"), ("material", "thickness")).select(F.col("elem_id").alias("facet_id"), "material", "thickness", "p")
     return flat.flat_patches(facets, ["material", "thickness"], 1e-3)
 
 
 @query(f"""{SMOOTH} select label as patch, 'planar' as surface, count(*) as n from patch group by 1""")
 def patch_surfaces(t: Tables) -> DataFrame:
     labels = patches.smooth_patches(_roof(t), t.view("v_elements"), ["material", "thickness"]).withColumnRenamed("label", "patch")
-    facets = placed(_roof(t), t.view("v_elements")).select("elem_id", "p").join(labels, "elem_id")
+    facets = placed(_roof(t), t.view("v_elements"), ()).join(labels, "elem_id")
     sizes = labels.groupBy("patch").agg(F.count("*").alias("n"))
     return flat.classify_patches(facets, ["patch"]).select("patch", "surface").join(sizes, "patch")
 

@@ -13,7 +13,7 @@ from trussline.sources.fixtures import Tables
 
 def _facets(t: Tables) -> DataFrame:
     """The shells with their corners in place; every third one runs the other way round and starts at another corner."""
-    shells = placed(t.view("v_nodes"), t.view("v_elements").select("elem_id", "n1", "n2", "n3", "n4", "material"))
+    shells = placed(t.view("v_nodes"), t.view("v_elements"), ("material",))
     turned = F.concat(F.slice(F.reverse("p"), 2, 3), F.slice(F.reverse("p"), 1, 1))
     return shells.select(F.col("elem_id").alias("facet_id"), "material", F.when(F.col("elem_id") % 3 == 0, turned).otherwise(F.col("p")).alias("p"))
 

@@ -41,7 +41,7 @@ def polygon_edges(t: Tables) -> DataFrame:
 @query("""select material, 0.0::double as nx, 0.0::double as ny, 1.0::double as nz, floor(o_orderkey / 100)::double as "offset", count(*) as n, cast(count(*) as double) as area from (select *, o_orderstatus as material from orders) where o_orderkey % 50 < 49 and o_orderkey + 51 < (select count(*) from orders) group by material, 5""")
 def plane_buckets(t: Tables) -> DataFrame:
     """Unit squares of each element, lifted by their row: two rows a level."""
-    flat = mesh.placed(t.view("v_nodes"), t.view("v_elements").select("elem_id", "material", "n1", "n2", "n3", "n4"))
+    flat = mesh.placed(t.view("v_nodes"), t.view("v_elements"), ("material",))
     level = F.floor(F.col("elem_id") / 100).cast("double")
     lifted = flat.withColumn("p", F.transform("p", lambda q: F.struct(q["seq"].alias("seq"), q["x"].alias("x"), q["y"].alias("y"), level.alias("z"))))
     return rounded(shapes.plane_buckets(lifted, ["material"]))

@@ -74,13 +74,15 @@ def unknown_corners(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     return corners(elements).join(nodes.select("node_id"), "node_id", "left_anti")
 
 
-def placed(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """elements with p, the array of their nodes' (x, y, z) in order. The elements' columns travel with the corners: one shuffle by node, one by element."""
-    rest = [c for c in elements.columns if c != "elem_id"]
-    wide = elements.select("elem_id", F.struct(*rest, F.size(node_list(elements)).alias("__n")).alias("e"), F.posexplode(node_list(elements)).alias("seq", "node_id"))
-    at = wide.join(nodes.select("node_id", "x", "y", "z"), "node_id")
-    found = at.groupBy("elem_id").agg(F.any_value("e").alias("e"), F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("p"))
-    return found.where(F.size("p") == F.col("e.__n")).select("elem_id", *(F.col(f"e.{c}").alias(c) for c in rest), "p")
+def placed(nodes: DataFrame, elements: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """elements (their columns in `keep`, or all) with p, the array of their nodes' (x, y, z) in order. Corners are shuffled bare, once by node and once by element, where they meet one row of the element's columns."""
+    rest = [c for c in elements.columns if c != "elem_id" and (keep is None or c in keep)]
+    # corners come from an explode, whose rows Spark doesn't count: a merge join, no broadcast of them
+    at = corners(elements).hint("merge").join(nodes.select("node_id", "x", "y", "z"), "node_id").select("elem_id", F.struct("seq", "x", "y", "z").alias("q"), F.lit(None).alias("e"))
+    own = elements.select("elem_id", F.lit(None).alias("q"), F.struct(*rest, F.size(node_list(elements)).alias("__n")).alias("e"))
+    # raw rows are shuffled: a corner's own array in a partial grouping would be larger
+    met = at.union(own).repartition("elem_id").groupBy("elem_id").agg(F.any_value("e", True).alias("e"), F.sort_array(F.collect_list("q")).alias("p"))
+    return met.where((F.size("p") == F.col("e.__n")) & (F.size("p") > 0)).select("elem_id", *(F.col(f"e.{c}").alias(c) for c in rest), "p")
 
 
 def area_vector(p: Column) -> tuple[Column, Column, Column]:
@@ -100,11 +102,11 @@ def middle(p: Column, c: str) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda total, q: total + q[c]) / F.size(p)
 
 
-def with_coordinates(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """elements with ax..dz, the coordinates of the first four corners; a triangle's third corner stands in for the fourth."""
-    at = placed(nodes, elements).where(F.size("p") >= 3)
+def with_coordinates(nodes: DataFrame, elements: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """elements (their columns in `keep`, or all) with ax..dz, the coordinates of the first four corners; a triangle's third corner stands in for the fourth."""
+    at = placed(nodes, elements, keep).where(F.size("p") >= 3)
     corner = {k: F.coalesce(F.get("p", F.lit(i)), F.get("p", F.lit(2))) for i, k in enumerate("abcd")}
-    return at.select(*elements.columns, *(corner[k][c].alias(f"{k}{c}") for k in "abcd" for c in "xyz"))
+    return at.select(*(c for c in at.columns if c != "p"), *(corner[k][c].alias(f"{k}{c}") for k in "abcd" for c in "xyz"))
 
 
 def weighed(nodes: DataFrame, elements: DataFrame, density: float = 7850.0) -> DataFrame:
@@ -113,10 +115,11 @@ def weighed(nodes: DataFrame, elements: DataFrame, density: float = 7850.0) -> D
     Columns thickness, a and point_mass are used where elements have them; an element without its own has no mass (null).
     """
     have = {c: F.col(c) if c in elements.columns else F.lit(None).cast("double") for c in ("thickness", "a", "point_mass")}
-    at = placed(nodes, elements)
+    at = placed(nodes, elements, ("thickness", "a", "point_mass", "elem_type"))
+    at = at.withColumns({f"__{c}": v for c, v in zip("xyz", area_vector(F.col("p")), strict=True)})
     p, n = F.col("p"), F.size("p")
     length = F.sqrt(sum(((F.get(p, F.lit(1))[c] - F.get(p, F.lit(0))[c]) ** 2 for c in "yz"), (F.get(p, F.lit(1))["x"] - F.get(p, F.lit(0))["x"]) ** 2))
-    shell = norm(area_vector(p))
+    shell = norm((F.col("__x"), F.col("__y"), F.col("__z")))
     solid = F.col("elem_type").startswith("C3D") if "elem_type" in elements.columns else F.lit(False)
     family = F.when(solid, "solid").when(n >= 3, "shell").when(n == 2, "line").otherwise("point")
     mass = F.when(solid, None).when(n >= 3, shell * have["thickness"] * density).when(n == 2, length * have["a"] * density).otherwise(have["point_mass"])

@@ -34,7 +34,7 @@ def smooth_patches(nodes: DataFrame, elements: DataFrame, by: list[str], degrees
 
     The sign of normals doesn't count. An edge of more than two shells joins none.
     """
-    placed = with_coordinates(nodes, elements)
+    placed = with_coordinates(nodes, elements, [*by, *(c for c in elements.columns if c == "nodes" or c[0] == "n" and c[1:].isdigit())])
     normal = cross(minus(point("cx", "cy", "cz"), point("ax", "ay", "az")), minus(point("dx", "dy", "dz"), point("bx", "by", "bz")))
     placed = placed.withColumns({f"n{c}": normal[i] for i, c in enumerate("xyz")})
     pairs = side_list(node_list(elements))
