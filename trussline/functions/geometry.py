@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,8 @@ def closest_approach(products: DataFrame) -> DataFrame:
     s = (F.col("uv") * F.col("vw") - F.col("vv") * F.col("uw")) / F.col("den")
     t = (F.col("uu") * F.col("vw") - F.col("uv") * F.col("uw")) / F.col("den")
     return den.withColumns({"s": s, "t": t})
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

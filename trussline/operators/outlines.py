@@ -6,12 +6,12 @@ an array of (x, y, z); corners are the same where they agree to `digits` decimal
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.functions.geometry import Point, cross, dot, minus, norm
+from trussline.functions.geometry import Point, cross, dot, minus, norm, once
 from trussline.operators.graph import checkpointed, parity_components, ranked_cycles
 
 
@@ -19,15 +19,10 @@ def _spot(q: Column, digits: int) -> Column:
     return F.struct(*((F.round(q[c], digits) + 0.0).alias(c) for c in "xyz"))  # + 0.0: no negative zero
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), where value is worked out once, however often `then` uses it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def facet_sides(facets: DataFrame, by: Sequence[str], digits: int = 9) -> DataFrame:
     """facet_id, *by, a, b: the sides of facets from corner to corner, in the facet's direction. A corner that follows itself counts once; facets of fewer than three corners give none."""
-    spots = _once(F.transform("p", lambda q: _spot(q, digits)), lambda s: F.filter(s, lambda q, i: q != F.get(s, F.pmod(i - 1, F.size(s)))))
-    sides = _once(spots, lambda s: F.when(F.size(s) >= 3, F.transform(s, lambda q, i: F.struct(q.alias("a"), F.get(s, F.pmod(i + 1, F.size(s))).alias("b")))))
+    spots = once(F.transform("p", lambda q: _spot(q, digits)), lambda s: F.filter(s, lambda q, i: q != F.get(s, F.pmod(i - 1, F.size(s)))))
+    sides = once(spots, lambda s: F.when(F.size(s) >= 3, F.transform(s, lambda q, i: F.struct(q.alias("a"), F.get(s, F.pmod(i + 1, F.size(s))).alias("b")))))
     return facets.select("facet_id", *by, F.inline(sides))
 
 

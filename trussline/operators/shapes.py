@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.functions.geometry import cross, dot, minus, norm
+from trussline.functions.geometry import cross, dot, minus, norm, once
 from trussline.operators.mesh import area_vector
 from trussline.operators.patches import cell_faces
 from trussline.operators.spatial import exploded
@@ -52,10 +52,14 @@ def without_collinear(polygons: DataFrame, factor: float = 1e-8) -> DataFrame:
     scale = F.greatest(*(F.array_max(v) - F.array_min(v) for v in along.values()))
 
     def bend(i: Column) -> Column:
-        return norm(cross(minus(_at(p, i), _at(p, i - 1)), minus(_at(p, i + 1), _at(p, i))))
+        three = F.struct(*(F.get(p, F.pmod(i + k, F.size(p))).alias(n) for k, n in ((-1, "a"), (0, "b"), (1, "c"))))
+        a, b, c = (lambda t, n=n: tuple(t[n][k] for k in "xyz") for n in "abc")
+        steps = once(three, lambda t: F.struct(*(v.alias(f"{n}{k}") for n, step in (("u", minus(b(t), a(t))), ("w", minus(c(t), b(t)))) for k, v in zip("xyz", step, strict=True))))
+        turn = once(steps, lambda s: F.struct(*(v.alias(k) for k, v in zip("xyz", cross(tuple(s[f"u{k}"] for k in "xyz"), tuple(s[f"w{k}"] for k in "xyz")), strict=True))))
+        return once(turn, lambda v: norm((v["x"], v["y"], v["z"])))
 
     kept = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: bend(i) > factor * F.col("__scale") * F.col("__scale"))
-    clean = F.when(F.size(kept) >= 3, F.transform(kept, lambda i: F.get(p, i))).otherwise(p)
+    clean = once(kept, lambda k: F.when(F.size(k) >= 3, F.transform(k, lambda i: F.get(p, i))).otherwise(p))
     return polygons.withColumn("__scale", scale).withColumn("p", clean).drop("__scale")
 
 
@@ -68,12 +72,13 @@ def polygon_edges(polygons: DataFrame, key: str) -> DataFrame:
 def plane_buckets(polygons: DataFrame, by: Sequence[str], digits: int = 6) -> DataFrame:
     """Polygons by `by` and plane: n, area, and the plane as its normal (first part that isn't 0 is positive) and offset, rounded."""
     v = area_vector(F.col("p"))
-    rows = polygons.withColumns({"__x": v[0], "__y": v[1], "__z": v[2]}).withColumn("__l", norm((F.col("__x"), F.col("__y"), F.col("__z")))).where("__l > 0")
+    rows = polygons.withColumns({"__x": v[0], "__y": v[1], "__z": v[2]}).withColumn("__l", norm((F.col("__x"), F.col("__y"), F.col("__z"))))
     sign = F.when(F.abs("__x") > 1e-9 * F.col("__l"), F.signum("__x")).when(F.abs("__y") > 1e-9 * F.col("__l"), F.signum("__y")).otherwise(F.signum("__z"))
-    rows = rows.withColumns({f"n{c}": F.round(sign * F.col(f"__{c}") / F.col("__l"), digits) + 0.0 for c in "xyz"})
+    rows = rows.withColumns({f"n{c}": F.round(sign * F.col(f"__{c}") / F.when(F.col("__l") > 0, F.col("__l")), digits) + 0.0 for c in "xyz"})
     first = _at(F.col("p"), F.lit(0))
     offset = F.round(F.col("nx") * first[0] + F.col("ny") * first[1] + F.col("nz") * first[2], digits) + 0.0
-    return rows.withColumn("offset", offset).groupBy(*by, "nx", "ny", "nz", "offset").agg(F.count("*").alias("n"), F.sum("__l").alias("area"))
+    # polygons without an area have no plane and go as a group: a condition on rows would be pushed below their area, which would be worked out many times over
+    return rows.withColumn("offset", offset).groupBy(*by, "nx", "ny", "nz", "offset").agg(F.count("*").alias("n"), F.sum("__l").alias("area")).where("area > 0")
 
 
 def face_flags(cells: DataFrame) -> DataFrame:
