@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trussline.operators import mesh, shapes
+from trussline.operators import graph, mesh, results, shapes
 
 
 def optimized(df):
@@ -40,3 +40,26 @@ def test_bends_are_worked_out_once(spark):
     out = shapes.without_collinear(polygons)
     assert {r.id: [q.x for q in r.p] for r in out.collect()} == {1: [0, 2, 2], 2: [0, 1, 2]}
     assert optimized(out.select("p")).count("SQRT") == 1
+
+
+def test_corners_are_never_broadcast(spark):
+    nodes, elements = nodes_and_elements(spark)
+    out = mesh.standalone(nodes.unionByName(nodes.withColumn("node_id", F.col("node_id") + 10)), elements)
+    assert sorted(r.node_id for r in out.collect()) == [11, 12, 13, 14]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_rows(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "Repartition" not in optimized(graph.dealt(rows, own * graph.ROWS_A_TASK, "k"))
+    more = graph.dealt(rows, (own + 3) * graph.ROWS_A_TASK, "k")
+    assert more.rdd.getNumPartitions() == own + 3 and more.count() == 1000
+
+
+def test_averages_at_nodes_are_dealt_by_rows(spark):
+    _, elements = nodes_and_elements(spark)
+    long = spark.createDataFrame([(1, 1, 1, "s", 2.0), (1, 2, 1, "s", 4.0)], "step int, elem_id long, int_pt int, component string, value double")
+    out = results.nodal_average(long, elements, 10**9)
+    assert {r.node_id: r.value for r in out.collect()} == {1: 3.0, 2: 3.0, 3: 3.0, 4: 2.0}
+    assert "RepartitionByExpression" in optimized(out)

@@ -10,7 +10,8 @@ from trussline.functions.sections import area, inertia
 from trussline.jobs import decks, joblog, layout, modelling, outlines, parity, resultstore, shapes, steelwork, takeoff  # noqa: F401 - most register their own queries
 from trussline.jobs.catalogue import QUERIES, SQL, query, rounded  # noqa: F401
 from trussline.operators import compare, mesh, results, spatial
-from trussline.sources.fixtures import Tables
+from trussline.operators.graph import dealt
+from trussline.sources.fixtures import VIEWS, Tables
 from trussline.streaming import events as streams
 
 AREA = "case kind when 'box' then h * w - (h - 2 * t) * (w - 2 * t) when 'tube' then pi() / 4 * (h * h - (h - 2 * t) * (h - 2 * t)) when 'bar' then h * w else pi() / 4 * h * h end"
@@ -188,6 +189,14 @@ def _long(t: Tables) -> DataFrame:
     return results.long_form(t.view("v_results"), ("s1", "s2", "s3"))
 
 
+def _long_by_element(t: Tables) -> tuple[DataFrame, int]:
+    """The same rows, all of an element in one partition from the start, and about how many there are at most."""
+    lines = t.raw("lineitem")
+    rows = lines.count()
+    dealt(lines, rows, "l_orderkey").createOrReplaceTempView("lineitem")
+    return results.long_form(t.spark.sql(VIEWS["v_results"]), ("s1", "s2", "s3")), 3 * rows
+
+
 @query(f"with {LONG} select step, elem_id, int_pt, component, round(value, 6) as value from rows_ where step = (select max(step) from v_results)")
 def results_last_step(t: Tables) -> DataFrame:
     return rounded(results.last_step(_long(t)))
@@ -200,7 +209,8 @@ def results_in_set(t: Tables) -> DataFrame:
 
 @query(f"with {LONG}, {CORNERS} select step, node_id, component, round(avg(value), 6) as value from rows_ join corners using (elem_id) group by 1, 2, 3")
 def results_nodal_average(t: Tables) -> DataFrame:
-    return rounded(results.nodal_average(_long(t), t.view("v_elements")))
+    rows, n = _long_by_element(t)
+    return rounded(results.nodal_average(rows, t.view("v_elements"), n))
 
 
 @query(f"with {LONG} select component, round(min(value), 6) as low, round(max(value), 6) as high from rows_ group by component")
@@ -211,7 +221,7 @@ def result_ranges(t: Tables) -> DataFrame:
 @query(f"""with {LONG} select step, elem_id, component, round(max(value) filter (int_pt = 1), 6) as p1, round(max(value) filter (int_pt = 2), 6) as p2, round(max(value) filter (int_pt = 3), 6) as p3
     from rows_ group by 1, 2, 3""")
 def result_point_matrix(t: Tables) -> DataFrame:
-    return rounded(results.point_matrix(_long(t), (1, 2, 3)))
+    return rounded(results.point_matrix(_long_by_element(t)[0], (1, 2, 3)))
 
 
 @query("select case_id, round(sum(coalesce(efx, 0)), 6) as efx, round(sum(coalesce(efy, 0)), 6) as efy, round(sum(efz), 6) as efz from v_modes group by case_id")

@@ -21,6 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: Fixed value: so many rows a task in steps that sort or hash them.
+ROWS_A_TASK = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df shuffled by keys over so many tasks that each has some ROWS_A_TASK of `rows`, so that a task's memory doesn't grow with the table; as it is where the session's shuffle partitions are enough."""
+    tasks = -(-rows // ROWS_A_TASK)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder, so that a lost executor costs no recomputation. As a table: Spark's own checkpoint works out its last stage twice and keeps rows as Java objects."""
     return written(df)

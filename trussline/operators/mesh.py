@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussline.functions.geometry import cell, neighbours, norm
-from trussline.operators.graph import checkpointed, components
+from trussline.operators.graph import checkpointed, components, dealt
 
 POINT_TOL = 1e-4
 
@@ -65,8 +65,9 @@ def incidence(elements: DataFrame) -> DataFrame:
 
 
 def standalone(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """Nodes of no element."""
-    return nodes.join(corners(elements).select("node_id"), "node_id", "left_anti")
+    """Nodes of no element. Corners come from an explode, whose rows Spark doesn't count: a merge join, as they would be broadcast whole, over tasks dealt by their number."""
+    used = corners(elements).select("node_id")
+    return nodes.join(dealt(used, used.count(), "node_id").hint("merge"), "node_id", "left_anti")
 
 
 def unknown_corners(nodes: DataFrame, elements: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trussline.operators.graph import dealt
 from trussline.operators.mesh import corners
 
 
@@ -28,11 +29,13 @@ def in_set(results: DataFrame, members: DataFrame, int_points: Sequence[int] = (
     return rows.join(members.select("elem_id"), "elem_id", "left_semi")
 
 
-def nodal_average(results: DataFrame, elements: DataFrame) -> DataFrame:
-    """step, node_id, component, value: the mean over all elements at a node; averaged per element first, so that corners are few."""
+def nodal_average(results: DataFrame, elements: DataFrame, rows: int = 0) -> DataFrame:
+    """step, node_id, component, value: the mean over all elements at a node; averaged per element first, so that corners are few.
+
+    rows: about how many rows results has; the averages at nodes are dealt over tasks by it."""
     per = results.groupBy("step", "elem_id", "component").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
-    at = per.join(corners(elements).select("elem_id", "node_id"), "elem_id")
-    return at.groupBy("step", "node_id", "component").agg((F.sum("s") / F.sum("n")).alias("value"))
+    at = per.join(corners(elements).select("elem_id", "node_id").hint("merge"), "elem_id")
+    return dealt(at, 4 * rows, "node_id").groupBy("step", "node_id", "component").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 
 def ranges(results: DataFrame) -> DataFrame:
