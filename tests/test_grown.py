@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trussline.operators import graph, mesh, results, shapes
+from trussline.operators import graph, health, mesh, results, shapes
 
 
 def optimized(df):
@@ -63,3 +63,13 @@ def test_averages_at_nodes_are_dealt_by_rows(spark):
     out = results.nodal_average(long, elements, 10**9)
     assert {r.node_id: r.value for r in out.collect()} == {1: 3.0, 2: 3.0, 3: 3.0, 4: 2.0}
     assert "RepartitionByExpression" in optimized(out)
+
+
+def test_health_of_a_mesh_is_the_same_over_many_tasks(spark, monkeypatch):
+    vertices = spark.createDataFrame([("p", i, x, y, 0.0) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], "part string, vertex_id long, x double, y double, z double")
+    triangles = spark.createDataFrame([("p", 0, 0, 1, 2), ("p", 1, 3, 4, 5), ("p", 2, 0, 0, 1)], "part string, tri_id long, v0 long, v1 long, v2 long")
+    seen = []
+    monkeypatch.setattr(health, "dealt", lambda df, rows, *keys: seen.append(rows) or df.repartition(5, *keys))
+    row = health.mesh_health(vertices, triangles).first()
+    assert (row.n_verts, row.n_tris, row.welded_verts, row.boundary_edges, row.collapsed_tris, row.degenerate_tris, row.area) == (6, 3, 4, 4, 1, 1, 1.0)
+    assert seen == [6, 9, 9, 9]
