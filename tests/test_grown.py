@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trussline.operators import graph, health, mesh, results, shapes
+from trussline.operators import graph, health, mesh, results, shapes, tree
 
 
 def optimized(df):
@@ -73,3 +73,12 @@ def test_health_of_a_mesh_is_the_same_over_many_tasks(spark, monkeypatch):
     row = health.mesh_health(vertices, triangles).first()
     assert (row.n_verts, row.n_tris, row.welded_verts, row.boundary_edges, row.collapsed_tris, row.degenerate_tris, row.area) == (6, 3, 4, 4, 1, 1, 1.0)
     assert seen == [6, 9, 9, 9]
+
+
+def test_welds_below_parts_are_counted_without_their_pairs(spark):
+    spans = tree.intervals(spark.createDataFrame([(1, None), (2, 1), (3, 1)], "part_id long, parent_id long"))
+    welds = spark.createDataFrame([(10, 2), (11, 3), (11, 2), (12, 1), (13, 3)], "weld_id long, part_id long")
+    members = spark.createDataFrame([(10, 5), (10, 6), (10, 6), (11, 5), (12, 7)], "weld_id long, member_id long")
+    plain = tree.welds_for(welds, members, spans).distinct().groupBy("part_id").agg(F.count_distinct("weld_id"), F.count_distinct("member_id"), F.count("*"))
+    got = {tuple(r) for r in tree.weld_counts(welds, members, spans).collect()}
+    assert got == {tuple(r) for r in plain.collect()} == {(1, 3, 3, 4), (2, 2, 2, 3), (3, 1, 1, 1)}

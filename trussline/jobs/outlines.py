@@ -77,5 +77,4 @@ def welds_below_parts(t: Tables) -> DataFrame:
     parts = t.raw("part").select(F.col("p_partkey").alias("part_id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3)).alias("parent_id"))
     welds = t.raw("orders").select(F.col("o_orderkey").alias("weld_id"), F.col("o_custkey").alias("part_id"))
     members = t.raw("lineitem").select(F.col("l_orderkey").alias("weld_id"), F.col("l_suppkey").alias("member_id"))
-    found = tree.welds_for(welds, members, tree.intervals(parts))
-    return found.groupBy("part_id").agg(F.count_distinct("weld_id").alias("n_welds"), F.count_distinct("member_id").alias("n_members"), F.count("*").alias("n_links"))
+    return tree.weld_counts(welds, members, tree.intervals(parts))
