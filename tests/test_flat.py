@@ -129,3 +129,15 @@ def test_surfaces_of_odd_patches(spark):
     rows = [(1, "one", one), (2, "none", one[:2]), (3, "null", None), (4, "spot", [one[0]] * 3), (5, "line", [one[0], one[1], (2.0, 0.0, 0.0)])]
     got = {x.part: x.surface for x in flat.classify_patches(spark.createDataFrame(rows, KIND), ["part"]).collect()}
     assert got == {"one": "planar", "spot": "planar", "line": "planar"}
+
+
+def test_flat_strips_need_no_rounds(spark, monkeypatch):
+    """A strip of 64 squares with a fold in its middle: the state is written twice, however wide a patch is."""
+    states, write = [], flat.written
+    monkeypatch.setattr(flat, "written", lambda df: states.append(1) or write(df))
+    z = lambda x: float(abs(x - 32))
+    rows = [(i, "a", [(float(i + dx), float(dy), z(i + dx)) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))]) for i in range(64)]
+    facets = spark.createDataFrame(rows, "facet_id long, part string, p array<struct<x: double, y: double, z: double>>")
+    got = dict(flat.flat_patches(facets, ["part"], 1e-3).select("facet_id", "seed").collect())
+    assert got == {i: 0 if i < 32 else 32 for i in range(64)}
+    assert len(states) == 2

@@ -32,23 +32,42 @@ def auto_deviation(facets: DataFrame, share: float = 1e-3) -> float:
     return share * max(math.dist([ends[f"{c}0"] for c in "xyz"], [ends[f"{c}1"] for c in "xyz"]), 1e-9)
 
 
+def _in_one_plane(near: DataFrame, planes: DataFrame, max_dev: float) -> DataFrame:
+    """Of near those links a < b whose ends' means lie within max_dev of each other's planes and whose normals hardly differ. A guess to begin with: corners aren't looked at."""
+    ends = [planes.select(F.col("facet_id").alias(e), *(F.col(f"{k}{c}").alias(f"{k}{c}_{e}") for k in "mn" for c in "xyz")) for e in "ab"]
+    met = near.where("a < b").join(ends[0], "a").join(ends[1], "b")
+    n, m = ({e: tuple(F.col(f"{k}{c}_{e}") for c in "xyz") for e in "ab"} for k in "nm")
+    gap = minus(m["b"], m["a"])
+    return met.where((F.abs(dot(gap, n["a"])) <= max_dev) & (F.abs(dot(gap, n["b"])) <= max_dev) & (F.abs(dot(n["a"], n["b"])) > 0.9999)).select("a", "b")
+
+
 def flat_patches(facets: DataFrame, by: Sequence[str] = (), max_dev: float | None = None, digits: int = 9, links: DataFrame | None = None) -> DataFrame:
     """facet_id, seed: facets in patches none of whose corners is further than max_dev from the plane of the patch's seed, so that errors don't add up along a curve.
 
     The result is that of growing one after the other: the smallest facet left is a seed; it takes neighbours over and over, as long as all their corners lie within max_dev of its plane (through the mean of its corners, by its normal).
     Here all grow at once and the smaller seed wins. A facet takes the least seed among those of its neighbours and of its own seed's seed whose plane it is near to; it falls back to itself where its seed is itself taken. When
     nothing changes, patches must hang together with their seeds; parts that don't fall back too, and from then on seeds only travel from neighbour to neighbour. A state in which nothing changes and all hangs together is the one that growing
-    one after the other gives: the smallest seed has all that it can reach, the next one all that is left to it, and so on. Rounds are written to the shared folder.
+    one after the other gives: the smallest seed has all that it can reach, the next one all that is left to it, and so on. So any state will do to begin with whose facets are near their seeds' planes: here the components of neighbours
+    that lie in each other's planes by their means and normals, without the facets that are off their component's smallest one. Where that is the result already, one round finds nothing to change. Rounds are written to the shared folder.
     """
     max_dev = auto_deviation(facets) if max_dev is None else max_dev
+    solid = F.size("p") >= 3
     spun = area_vector(F.col("p"))
-    planes = facets.where(F.size("p") >= 3).withColumns({f"n{c}": v for c, v in zip("xyz", spun, strict=True)} | {f"m{c}": middle(F.col("p"), c) for c in "xyz"})
+    known = facets.select("facet_id", *by, "p", *(F.when(solid, v).alias(f"n{c}") for c, v in zip("xyz", spun, strict=True)), *(F.when(solid, middle(F.col("p"), c)).alias(f"m{c}") for c in "xyz"))
     length = norm(tuple(F.col(f"n{c}") for c in "xyz"))
-    planes = checkpointed(planes.select("facet_id", "p", *(f"m{c}" for c in "xyz"), *((F.col(f"n{c}") / F.when(length > 0, length).otherwise(1.0)).alias(f"n{c}") for c in "xyz")))
-    near = checkpointed(neighbours_by_side(facets, list(by), digits) if links is None else links.select("a", "b"))
-    state = written(facets.select("facet_id", F.col("facet_id").alias("seed")))
+    # whatever facets are made of is worked out once
+    known = checkpointed(known.select("facet_id", *by, "p", *(f"m{c}" for c in "xyz"), *((F.col(f"n{c}") / F.when(length > 0, length).otherwise(1.0)).alias(f"n{c}") for c in "xyz")))
+    planes = known.where(solid)
+    near = checkpointed(neighbours_by_side(known, list(by), digits) if links is None else links.select("a", "b"))
     seed_planes = planes.select(F.col("facet_id").alias("to"), *(F.col(f"{k}{c}") for k in "mn" for c in "xyz"))
     corners = planes.select("facet_id", "p")
+    off = F.array_max(F.transform("p", lambda q: F.abs(sum(((q[c] - F.col(f"m{c}")) * F.col(f"n{c}") for c in "yz"), (q["x"] - F.col("mx")) * F.col("nx")))))
+    parts = components(known.select(F.col("facet_id").alias("node")), _in_one_plane(near, planes, max_dev)).select(F.col("node").alias("facet_id"), F.col("label").alias("to"))
+    parts = parts.join(corners, "facet_id", "left").join(seed_planes, "to", "left")
+    begun = written(parts.select("facet_id", F.when(off <= max_dev, F.col("to")).otherwise(F.col("facet_id")).alias("seed"), "to"))
+    state = begun.select("facet_id", "seed")
+    # components that nothing was left out of hang together
+    whole_parts = not begun.where("seed <> to").head(1)
     jumping = True
     while True:
         valid = state.where("facet_id = seed").select(F.col("seed").alias("to"))
@@ -59,12 +78,14 @@ def flat_patches(facets: DataFrame, by: Sequence[str] = (), max_dev: float | Non
             offers = offers.union(state.join(state.select(F.col("facet_id").alias("seed"), F.col("seed").alias("to")), "seed").select("facet_id", "to"))
         offers = offers.join(kept, "facet_id").where(F.col("to") < F.col("seed")).select("facet_id", "to").distinct().join(valid, "to")
         tried = offers.join(corners, "facet_id").join(seed_planes, "to")
-        off = F.transform("p", lambda q: F.abs(sum(((q[c] - F.col(f"m{c}")) * F.col(f"n{c}") for c in "yz"), (q["x"] - F.col("mx")) * F.col("nx"))))
-        taken = tried.where(F.array_max(off) <= max_dev).groupBy("facet_id").agg(F.min("to").alias("to"))
+        taken = tried.where(off <= max_dev).groupBy("facet_id").agg(F.min("to").alias("to"))
         after = written(kept.join(taken, "facet_id", "left").join(state.withColumnRenamed("seed", "was"), "facet_id").select("facet_id", F.least("seed", "to").alias("seed"), "was"))
         state = after.select("facet_id", "seed")
         if after.where("seed <> was").head(1):
+            whole_parts = False
             continue
+        if whole_parts:
+            return state
         seeds = [state.select(F.col("facet_id").alias(e), F.col("seed").alias(f"s{e}")) for e in "ab"]
         inner = near.join(seeds[0], "a").join(seeds[1], "b").where("sa = sb").select("a", "b")
         whole = components(state.select(F.col("facet_id").alias("node")), inner).withColumnRenamed("node", "facet_id")
