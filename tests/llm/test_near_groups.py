@@ -70,3 +70,33 @@ def test_two_blocks_give_the_links_that_join_classes():
         assert len(pairs) == 35 and all(i % 5 == j % 5 and block[i] != block[j] for i, j in pairs)  # five trees over eight texts
     assert joined(label=[i % 5 for i in range(40)]) == [] and joined(best=[7] * 40) == []
     assert len(joined(hi=[0] * 40, block=[0] * 40)) == 35
+
+
+def test_blocks_leave_no_link_out_after_alignments_in_vain(monkeypatch):
+    """Moved, edited and repeated passages about the bound: classes as by aligning every pair."""
+    monkeypatch.setattr(nearcopies, "IN_VAIN", 0)
+    least, r, texts = Fraction(4, 5), np.random.default_rng(3), []
+    for k in range(12):
+        base = r.integers(0, 2**32, 60, dtype=np.uint32)
+        if k % 2:
+            texts += [np.tile(base, 9), np.tile(base, 2)]  # the shorter one is in order within the longer one
+        texts.append(r.permutation(base))
+        for share in (3, 6, 9, 12, 13):
+            moved = base.copy()
+            moved[20 : 20 + share], moved[20 + share : 40] = base[40 - share : 40].copy(), base[20 : 40 - share].copy()
+            moved[r.integers(0, 60, share // 4)] = r.integers(0, 2**32)
+            texts += [moved, np.roll(base, share)]
+    n = len(texts)
+    rows = {"a": [-1] * n, "lo": [0] * n, "hi": [0] * n, "block": [0] * n, "label": np.arange(n), "best": [-1] * n, "packed": [t.tobytes() for t in texts]}
+    out = nearcopies._joins(least)(pa.table(rows))
+
+    def classes(pairs):
+        label = list(range(n))
+        for i, j in pairs:
+            low, high = sorted((label[i], label[j]))
+            label = [low if v == high else v for v in label]
+        return label
+
+    linked = [(i, j) for i in range(n) for j in range(i) if nearcopies.similar(texts[i], texts[j], least)]
+    got = classes(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+    assert 30 < len(linked) and len(set(got)) > 12 and got == classes(linked)
