@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,47 @@ def ranked_cycles(steps: DataFrame) -> DataFrame:
     return every.join(sizes, "low").select("e", F.col("low").alias("cycle"), F.pmod(F.col("n") - F.col("off"), "n").alias("rank"), "n")
 
 
+#: Steps of one group up to which its chains are numbered in one task, and so many steps a task numbers at once.
+IN_TASK, AT_ONCE = 50_000, 50_000
+
+
+def _chain_numbers():
+    def run(rows: pa.Table) -> pa.Table:
+        """Of whole chains: pointer doubling in arrays, until no e learns of a smaller one before it."""
+        e, prev = rows["e"].to_numpy(), rows["prev"].to_numpy()
+        order = np.argsort(e)
+        jump = order[np.searchsorted(e, prev, sorter=order)]
+        low, rank, reach = e, np.zeros(len(e), np.int64), 1
+        while (less := low[jump] < low).any():
+            low, rank = np.where(less, low[jump], low), np.where(less, rank[jump] + reach, rank)
+            jump, reach = jump[jump], 2 * reach
+        _, of, n = np.unique(low, return_inverse=True, return_counts=True)
+        out = rows.drop_columns(["__bucket"])
+        for name, values in (("cycle", low), ("rank", rank), ("n", n[of])):
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out
+
+    return run  # goes to the workers by value
+
+
+def ranked_within(steps: DataFrame, group: str) -> DataFrame:
+    """steps (e, prev, a column `group` and others: each e the prev of one e of its group) with cycle, rank and n as `ranked_cycles` gives them.
+
+    A chain lies within one group, so groups of up to IN_TASK steps are dealt over tasks whole and numbered there, in one exchange; chains of larger groups are numbered by rounds over the table.
+    """
+    steps = written(steps)
+    large = written(steps.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > IN_TASK).select(group))
+    some = bool(large.head(1))
+    small = steps.join(large, group, "left_anti").select(steps.columns) if some else steps
+    dealt_ = small.withColumn("__bucket", F.pmod(F.xxhash64(group), F.lit(-(-steps.count() // AT_ONCE) or 1)))
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.schema), "cycle long, rank long, n long"])
+    out = dealt_.groupBy("__bucket").applyInArrow(_chain_numbers(), fields)
+    if not some:
+        return out
+    rest = steps.join(large, group, "left_semi").select(steps.columns)
+    return out.union(rest.join(ranked_cycles(rest.select(F.col("prev").alias("e"), F.col("e").alias("next"))), "e").select(*steps.columns, "cycle", "rank", "n"))
+
+
 def parity_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes (node, not negative), links (a, b, odd): node, label (the smallest node it is linked to), flip (an odd number of odd links lies between the two), clash (so does an even number).
 

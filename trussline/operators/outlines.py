@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussline.functions.geometry import Point, cross, dot, minus, norm, once
-from trussline.operators.graph import checkpointed, parity_components, ranked_cycles
+from trussline.operators.graph import checkpointed, parity_components, ranked_cycles, ranked_within
 
 
 def _spot(q: Column, digits: int) -> Column:
@@ -88,25 +88,26 @@ def boundary_rings(facets: DataFrame, by: Sequence[str] = (), digits: int = 9, s
     spins = cross(_xyz("a"), _xyz("b"))
     normals = _with_axis(sides.groupBy("piece").agg(*(F.sum(v).alias(f"n{c}") for v, c in zip(spins, "xyz", strict=True))), tuple(F.col(f"n{c}") for c in "xyz")).select("piece", "drop", "sign")
     # corners with the edges that leave and arrive: where that is one of each, one follows the other without a join
-    ends = [edges.select("piece", F.col(c).alias("at"), *(F.when(F.lit(c == k), F.col("e")).alias(n) for k, n in (("a", "out"), ("b", "into")))) for c in "ab"]
-    corners = ends[0].union(ends[1]).groupBy("piece", "at").agg(F.count("out").alias("n_out"), F.count("into").alias("n_in"), F.min("out").alias("next"), F.min("into").alias("e"))
+    ends = [edges.select(*one, F.col(c).alias("at"), *(F.when(F.lit(c == k), F.col("e")).alias(n) for k, n in (("a", "out"), ("b", "into")))) for c in "ab"]
+    corners = ends[0].union(ends[1]).groupBy(*one, "at").agg(F.count("out").alias("n_out"), F.count("into").alias("n_in"), F.min("out").alias("next"), F.min("into").alias("e"))
     corners = checkpointed(corners)
     # a corner that not as many edges leave as arrive at
     bad = corners.where("n_out <> n_in" if split_pinches else "n_out <> n_in or n_out > 1").select("piece").distinct()
     usual = corners.join(bad, "piece", "left_anti")
-    steps = usual.where("n_out = 1").select("piece", "e", "next")
+    # a step from an edge to the next one, whose first corner is where they meet
+    steps = usual.where("n_out = 1").select(*one, "at", "e", "next")
     if split_pinches:
         pinches = usual.where("n_out > 1").select("piece", F.col("at").alias("b"))
         then = edges.select("piece", F.col("a").alias("b"), F.col("b").alias("c"), F.col("e").alias("next"))
-        sharp = edges.join(pinches, ["piece", "b"]).join(then.join(pinches, ["piece", "b"]), ["piece", "b"]).join(normals, "piece")
+        sharp = edges.select(*one, "a", "b", "e").join(pinches, ["piece", "b"]).join(then.join(pinches, ["piece", "b"]), ["piece", "b"]).join(normals, "piece")
         back, on = (_flat(minus(_xyz(x), _xyz("b")), F.col("drop"), F.col("sign")) for x in ("a", "c"))
         turn = F.pmod(F.atan2(on[1], on[0]) - F.atan2(back[1], back[0]) + F.lit(1e-12), F.lit(2 * 3.141592653589793))
-        best = sharp.groupBy("piece", "e").agg(F.max(F.struct(turn.alias("turn"), "next")).alias("best")).select("piece", "e", F.col("best.next").alias("next"))
+        best = sharp.groupBy(*one, "b", "e").agg(F.max(F.struct(turn.alias("turn"), "next")).alias("best")).select(*one, F.col("b").alias("at"), "e", F.col("best.next").alias("next"))
         steps = checkpointed(steps.union(best))
         torn = steps.groupBy("piece", "next").agg(F.count("*").alias("n")).where("n > 1").select("piece").distinct()
         steps = steps.join(torn, "piece", "left_anti")
-    rings = checkpointed(ranked_cycles(steps.select("e", "next")))
-    rows = checkpointed(edges.join(rings, "e").select(*one, "cycle", "rank", "n", "a"))
+    numbered = ranked_within(steps.select(*one, F.col("at").alias("a"), F.col("next").alias("e"), F.col("e").alias("prev")), "piece")
+    rows = checkpointed(numbered.select(*one, "cycle", "rank", "n", "a"))
     first = rows.groupBy(*one, "cycle", "n").agg(F.min(F.struct("a", "rank")).alias("first"))
     order = Window.partitionBy(*one).orderBy(F.desc("n"), "first.a", "cycle")  # one row for each ring of a piece
     first = first.withColumn("ring", F.row_number().over(order) - 1).select("cycle", "ring", F.col("first.rank").alias("from"))
